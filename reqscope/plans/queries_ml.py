@@ -360,3 +360,61 @@ select gr.y_true, cast(i as integer) as i, g0 + i * gs as x,
 from gr join dv on gr.y_true = dv.y_true group by gr.y_true, i, g0, gs, n, h""", ["x", "density"]))
 def q_kde_scores(spark, sf):
     return rounded(dist.kde(_scored(spark, sf), "y_score", ["y_true"]).withColumn("i", F.col("i").cast("int")))
+
+
+# ------------------------------------------------------------------ A11–A13 correlations
+
+from ..functions.features import NUMERIC_FEATURES  # noqa: E402
+from ..operators import correlation as corr  # noqa: E402
+from .queries import _PAGES_FEATURES, _page_features  # noqa: E402
+
+_CORR_COLS = list(NUMERIC_FEATURES)
+
+
+def _corr_matrix_sql(src: str, cols, ranked: bool) -> str:
+    if ranked:
+        rank_cols = ", ".join(
+            f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in cols)
+        src_sql = f"(select {rank_cols} from {src})"
+    else:
+        src_sql = src
+    parts = []
+    for a in cols:
+        for b in cols:
+            parts.append(f"select '{a}' as x, '{b}' as y, corr({a}::double, {b}::double) as r from {src_sql} t")
+    return ("select x, y, case when isnan(r) then null else r end as r from ("
+            + " union all ".join(parts) + ")")
+
+
+@register("corr_pearson", sql_round(_PAGES_FEATURES + " " + _corr_matrix_sql("ff", _CORR_COLS, False), ["r"]))
+def q_corr_pearson(spark, sf):
+    return rounded(corr.pearson(_page_features(spark, sf), _CORR_COLS))
+
+
+@register("corr_spearman", sql_round(_PAGES_FEATURES + " " + _corr_matrix_sql("ff", _CORR_COLS, True), ["r"]))
+def q_corr_spearman(spark, sf):
+    return rounded(corr.spearman(_page_features(spark, sf), _CORR_COLS))
+
+
+_KENDALL_COLS = ["quality", "toxic", "n_chars"]
+
+
+def _kendall_sql() -> str:
+    parts = []
+    for a in _KENDALL_COLS:
+        for b in _KENDALL_COLS:
+            parts.append(f"""select '{a}' as x, '{b}' as y,
+  (sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b})) / 2.0) /
+  sqrt((count(*) / 2.0 - sum(case when p.{a} = q.{a} then 1 else 0 end) / 2.0)
+     * (count(*) / 2.0 - sum(case when p.{b} = q.{b} then 1 else 0 end) / 2.0)) as r
+from lj p join lj q on p.rid <> q.rid""")
+    return ("WITH lj as (select row_number() over () as rid, l.quality::double as quality, "
+            "l.toxic::double as toxic, d.n_chars::double as n_chars from labels l join documents d "
+            "on l.doc_id = d.doc_id) select x, y, case when isnan(r) then null else r end as r from ("
+            + " union all ".join(parts) + ")")
+
+
+@register("corr_kendall", sql_round(_kendall_sql(), ["r"]))
+def q_corr_kendall(spark, sf):
+    lj = views.table(spark, sf, "labels").join(views.table(spark, sf, "documents"), "doc_id")
+    return rounded(corr.kendall(lj, _KENDALL_COLS))
