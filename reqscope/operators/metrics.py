@@ -141,10 +141,10 @@ def aggregate_cv(long: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame
 
 
 def metric_delta(a: DataFrame, b: DataFrame, metrics=("f1", "mcc", "fpr_at_99")) -> DataFrame:
-    """(metric, full, dedup, delta = dedup − full) from two one-row wide tables."""
-    la = metrics_long(a.select(*metrics)).withColumnRenamed("value", "full")
-    lb = metrics_long(b.select(*metrics)).withColumnRenamed("value", "dedup")
-    return la.join(lb, "metric").withColumn("delta", F.col("dedup") - F.col("full"))
+    """(metric, value_full, value_dedup, delta = dedup − full) from two one-row wide tables."""
+    la = metrics_long(a.select(*metrics)).withColumnRenamed("value", "value_full")
+    lb = metrics_long(b.select(*metrics)).withColumnRenamed("value", "value_dedup")
+    return la.join(lb, "metric").withColumn("delta", F.col("value_dedup") - F.col("value_full"))
 
 
 def nan_to_null(c: Column) -> Column:

@@ -7,6 +7,7 @@ def _load():
     from . import queries  # noqa: F401  (registers on import)
     from . import queries_ml  # noqa: F401
     from . import queries_text  # noqa: F401
+    from . import queries_models  # noqa: F401
     return queries.QUERIES, queries.ORACLE
 
 
