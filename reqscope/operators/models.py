@@ -20,8 +20,11 @@ from . import splits as sp
 
 PRED_COLS = ("model", "fold", "pos", "y_true", "y_pred", "y_score")
 
-# Fixed values that must equal the reference's defaults.
+# Fixed values that must equal the reference's defaults (scikit-learn's tol=1e-4
+# for the linear models).
 LR_MAX_ITER = 2000
+LINEAR_TOL = 1e-4
+PARALLELISM = 4
 RF_TREES = 100
 SVC_C = 1.0
 SVC_MAX_ITER = 5000
@@ -59,11 +62,12 @@ def build_classifiers(seed: int = 42) -> list[ModelSpec]:
     from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 
     return [
-        ModelSpec("logistic_regression", lambda n: LogisticRegression(maxIter=LR_MAX_ITER, labelCol="y"), _prob1),
+        ModelSpec("logistic_regression", lambda n: LogisticRegression(maxIter=LR_MAX_ITER, tol=LINEAR_TOL,
+                                                                      labelCol="y"), _prob1),
         ModelSpec("random_forest", lambda n: RandomForestClassifier(numTrees=RF_TREES, seed=seed, labelCol="y"),
                   _prob1, standardize=False),
         ModelSpec("linear_svc", lambda n: LinearSVC(maxIter=SVC_MAX_ITER, regParam=1.0 / (SVC_C * max(n, 1)),
-                                                    labelCol="y"), _raw1),
+                                                    tol=LINEAR_TOL, labelCol="y"), _raw1),
         ModelSpec("gradient_boosting", lambda n: GBTClassifier(maxIter=GBT_ROUNDS, seed=seed, labelCol="y"),
                   _prob1, standardize=False),
     ]
@@ -106,18 +110,32 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = KNN_K, fold: int = -
         "y_pred", "y_score")
 
 
+def _run_parallel(tasks, parallelism: int = PARALLELISM) -> list[DataFrame]:
+    """Fit independent models concurrently (Spark schedules the jobs side by side),
+    as ``CrossValidator(parallelism=...)`` does."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(lambda t: t(), tasks))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for p in frames[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def holdout_predictions(frame: DataFrame, specs: Sequence[ModelSpec] | None = None, with_knn: bool = True,
                         seed: int = 42, test_size: float = 0.3) -> DataFrame:
     """Every model fitted on the shared training split and scored on the shared test split."""
     split = sp.holdout_split(frame, "y", "pos", test_size, seed).cache()
     train, test = split.where(sp.is_train()).drop("split"), split.where(sp.is_test()).drop("split")
-    preds = [fit_predict(s, train, test) for s in (specs if specs is not None else build_classifiers(seed))]
+    tasks = [(lambda s=s: fit_predict(s, train, test).cache())
+             for s in (specs if specs is not None else build_classifiers(seed))]
     if with_knn:
-        preds.append(knn_predict(train, test))
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    return out
+        tasks.append(lambda: knn_predict(train, test))
+    return _union(_run_parallel(tasks))
 
 
 def cross_validate(frame: DataFrame, specs: Sequence[ModelSpec] | None = None, folds: int = 5,
@@ -127,17 +145,14 @@ def cross_validate(frame: DataFrame, specs: Sequence[ModelSpec] | None = None, f
     k = sp.safe_folds(counts, folds)
     folded = sp.kfold(frame, k, "y", "pos", seed).cache()
     specs = list(specs if specs is not None else build_classifiers(seed))
-    preds = []
+    tasks = []
     for f in range(k):
         tr = folded.where(F.col("fold") != f).drop("fold")
         te = folded.where(F.col("fold") == f).drop("fold")
-        preds += [fit_predict(s, tr, te, f) for s in specs]
+        tasks += [(lambda s=s, tr=tr, te=te, f=f: fit_predict(s, tr, te, f).cache()) for s in specs]
         if with_knn:
-            preds.append(knn_predict(tr, te, fold=f))
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    return out
+            tasks.append(lambda tr=tr, te=te, f=f: knn_predict(tr, te, fold=f))
+    return _union(_run_parallel(tasks))
 
 
 def cv_summary(cv_preds: DataFrame) -> DataFrame:

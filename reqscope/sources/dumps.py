@@ -56,7 +56,42 @@ def read_dump_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFram
     )
 
 
-def number_blocks(lines: DataFrame, strip_cr: bool = True) -> DataFrame:
+def files_with_bom(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Files whose first bytes are a UTF-8 byte-order mark.
+
+    The Hadoop line reader drops that mark, while a text-mode read keeps it (so a
+    BOM-prefixed first request line does not open a block).  Three bytes per file
+    are read through the Hadoop FileSystem API.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        statuses = fs.globStatus(path) or []
+        files = []
+        for st in statuses:
+            if st.isDirectory():
+                it = fs.listFiles(st.getPath(), True)
+                while it.hasNext():
+                    files.append(it.next().getPath())
+            else:
+                files.append(st.getPath())
+        for f in files:
+            if fs.getFileStatus(f).getLen() < 3:
+                continue
+            stream = fs.open(f)
+            try:
+                head = [stream.read() for _ in range(3)]
+            finally:
+                stream.close()
+            if head == [0xEF, 0xBB, 0xBF]:
+                out.append(f.toUri().getRawPath())
+    return out
+
+
+def number_blocks(lines: DataFrame, strip_cr: bool = True, bom_files: Sequence[str] = ()) -> DataFrame:
     """Give every line the number of its request block within its file (0 = junk).
 
     A running count of request-line starts inside each (file, split) — a window
@@ -68,6 +103,12 @@ def number_blocks(lines: DataFrame, strip_cr: bool = True) -> DataFrame:
     lines = lines.withColumn("is_start", is_request_line(F.col("line")).cast("int"))
     in_split = Window.partitionBy("source_file", "split_start").orderBy("mid").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
+    if bom_files:
+        first = (F.col("split_start") == 0) & (F.row_number().over(
+            Window.partitionBy("source_file", "split_start").orderBy("mid")) == 1)
+        bom = F.coalesce(F.try_parse_url(F.col("source_file"), F.lit("PATH")),
+                         F.col("source_file")).isin(list(bom_files))
+        lines = lines.withColumn("is_start", F.when(first & bom, F.lit(0)).otherwise(F.col("is_start")))
     lines = lines.withColumn("local_block", F.sum("is_start").over(in_split))
     per_split = lines.groupBy("source_file", "split_start").agg(F.sum("is_start").alias("n_starts"))
     earlier = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(
@@ -97,7 +138,10 @@ def parse_blocks(blocks: DataFrame, lines_col: str = "lines") -> DataFrame:
 def read_dump_files(spark: SparkSession, paths: Sequence[str] | str, label: int | Column = 0,
                     split: str = "", strip_cr: bool = True) -> DataFrame:
     """Parse dump files into the request schema (``pos`` = block order per file)."""
-    blocks = assemble_blocks(number_blocks(read_dump_lines(spark, paths), strip_cr))
+    if isinstance(paths, str):
+        paths = [paths]
+    bom = files_with_bom(spark, paths)
+    blocks = assemble_blocks(number_blocks(read_dump_lines(spark, paths), strip_cr, bom))
     req = parse_blocks(blocks)
     lab = label if isinstance(label, Column) else F.lit(label)
     return req.select(
@@ -177,7 +221,8 @@ def load_bundle(spark: SparkSession, raw_dir: str, files=CSIC_FILES, subset_frac
         [(name, label, role, i) for i, (name, label, role) in enumerate(files)],
         "name string, label int, split string, file_ord int")
     paths = [f"{raw_dir.rstrip('/')}/{f[0]}" for f in files]
-    blocks = parse_blocks(assemble_blocks(number_blocks(read_dump_lines(spark, paths), strip_cr)))
+    bom = files_with_bom(spark, paths)
+    blocks = parse_blocks(assemble_blocks(number_blocks(read_dump_lines(spark, paths), strip_cr, bom)))
     blocks = blocks.withColumn("name", F.element_at(F.split("source_file", "/"), -1))
     req = blocks.join(F.broadcast(dim), "name").withColumn("pos", F.col("block_no") - 1)
     caps = caps or {}
