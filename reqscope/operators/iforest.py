@@ -103,13 +103,14 @@ class IsolationForest:
         n = df.count()
         self.max_samples = min(self.max_samples_param, n)
         factor = self.slack
+        base = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_vec"))
         while True:
             tau = min(1.0, (self.max_samples * factor + 32) / max(n, 1))
             trees = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
             u = lambda t: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(self.seed)), t.cast("string"),
-                                                              F.col(id_col).cast("string"))), 1, 12), 16, 10)
+                                                              F.col("_id").cast("string"))), 1, 12), 16, 10)
                            .cast("double") / float(16 ** 12))
-            picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
+            picked = base.select(F.col("_id").alias("id"), F.col("_vec").alias("vec"),
                                F.explode(F.filter(F.transform(trees, lambda t: F.struct(t.alias("tree"),
                                                                                      u(t).alias("u"))),
                                                   lambda s: s["u"] < tau)).alias("_t"))

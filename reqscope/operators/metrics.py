@@ -95,11 +95,14 @@ def roc_points(preds: DataFrame, keys: Sequence[str] = (), positive_label: int =
         last = F.col("_next_tp").isNull()
         same = (F.col("_next_tp") == F.col("tp_inc")) & (F.col("_next_fp") == F.col("fp_inc"))
         keep = F.col("_first") | last | ~same
+    def rate(num, den):  # NaN when the class is absent (as the ROC of one class)
+        return F.when(den > 0, num / den).otherwise(F.lit(float("nan")))
+
     pts = c.where(keep).select(
         *keys, F.col("y_score").alias("threshold"),
-        (F.col("cum_fp_inc") / F.col("_N")).alias("fpr"), (F.col("cum_tp_inc") / F.col("_P")).alias("tpr"))
+        rate(F.col("cum_fp_inc"), F.col("_N")).alias("fpr"), rate(F.col("cum_tp_inc"), F.col("_P")).alias("tpr"))
     origin = totals.select(*keys, F.lit(float("inf")).alias("threshold"),
-                           (F.lit(0.0) / F.col("_N")).alias("fpr"), (F.lit(0.0) / F.col("_P")).alias("tpr"))
+                           rate(F.lit(0.0), F.col("_N")).alias("fpr"), rate(F.lit(0.0), F.col("_P")).alias("tpr"))
     return pts.unionByName(origin)
 
 
