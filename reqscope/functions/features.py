@@ -47,7 +47,7 @@ def path_depth(target: Column) -> Column:
 
 def char_runs(text: Column) -> Column:
     """Runs of equal code points after sorting: one string per distinct point."""
-    ordered = F.array_join(F.array_sort(code_points(text)), "")
+    ordered = F.array_join(F.sort_array(code_points(text)), "")
     return F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), 0)
 
 

@@ -16,8 +16,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_narrow: bool = True) -> DataFrame:
+    """A driver table; narrow scans are spread over the cores (see ``session.spread``)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread_narrow:
+        from ..session import spread
+        df = spread(df)
+    return df
 
 
 def req_events(spark: SparkSession, sf_dir: str) -> DataFrame:
