@@ -418,3 +418,30 @@ from lj p join lj q on p.rid <> q.rid""")
 def q_corr_kendall(spark, sf):
     lj = views.table(spark, sf, "labels").join(views.table(spark, sf, "documents"), "doc_id")
     return rounded(corr.kendall(lj, _KENDALL_COLS))
+
+
+# ------------------------------------------------------------------ S1–S6 on files derived from ``events``
+
+@register("bundle_from_dumps", f"""WITH
+ev as (select event_id, user_id, event_type, case when event_type = 'error' then 1 else 0 end as label,
+  case when event_type = 'error' then 2 when ts < timestamp '{_CUT}' then 0 else 1 end as file_ord from events),
+fp as (select *, row_number() over (partition by file_ord order by event_id) - 1 as fpos from ev),
+n as (select count(*) filter (where file_ord = 1) as n1 from ev)
+select case when file_ord = 0 then 'lm_train' else 'inference' end as split,
+  cast(case when file_ord = 2 then fpos + n1 else fpos end as bigint) as pos,
+  'GET' as method, concat('/shop/', event_type, '?u=', cast(user_id as varchar)) as target,
+  'HTTP/1.1' as version, 1 as n_headers, 'X-E' as header_name, cast(event_id as varchar) as header_value,
+  cast(label as integer) as label
+from fp, n""")
+def q_bundle_from_dumps(spark, sf):
+    """Dumps written from ``events`` as part-file directories, read back through
+    the file reader (split-safe block numbering) and the bundle loader."""
+    from .pipeline import scratch_dir, write_event_dumps
+    from ..sources.dumps import load_bundle
+
+    out = write_event_dumps(spark, sf, scratch_dir(spark, "dumps"))
+    b = load_bundle(spark, out)
+    return b.select("split", "pos", "method", "target", "version",
+                    F.size("headers").alias("n_headers"),
+                    F.col("headers")[0]["name"].alias("header_name"),
+                    F.col("headers")[0]["value"].alias("header_value"), "label")

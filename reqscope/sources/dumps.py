@@ -182,49 +182,53 @@ def requests_from_raw(df: DataFrame, pos_col: str = "pos", raw_col: str = "raw",
 # ---------------------------------------------------------------- bundle
 
 def check_manifest(spark: SparkSession, raw_dir: str, names: Sequence[str]) -> None:
-    """Every expected file exists and is non-empty; names the offending path.
+    """Every expected dump exists and is non-empty; the error names the path.
 
-    Lists (path, length) with the binary-file source; ``content`` is pruned so no
-    file body is read.  The result is bounded by the number of expected files.
+    Metadata only (Hadoop FileSystem status / content summary), bounded by the
+    number of expected dumps; a dump may be one file or a directory of parts.
     """
-    import os
-
-    expected = spark.createDataFrame([(n,) for n in names], "name string")
-    try:
-        listing = (spark.read.format("binaryFile").load(raw_dir)
-                   .select(F.element_at(F.split("path", "/"), -1).alias("name"), "length"))
-    except Exception:  # directory missing: every expected file is missing
-        listing = spark.createDataFrame([], "name string, length long")
-    missing = [r.name for r in expected.join(listing, "name", "left_anti").collect()]
-    if missing:
-        raise FileNotFoundError(
-            f"request dump not found: {os.path.join(raw_dir, missing[0])} "
-            f"(missing: {', '.join(missing)})")
-    empty = [r.name for r in listing.join(expected, "name", "left_semi")
-             .where(F.col("length") == 0).collect()]
-    if empty:
-        raise ValueError(f"request dump is empty: {os.path.join(raw_dir, empty[0])}")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = raw_dir.rstrip("/")
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            raise FileNotFoundError(f"request dump not found: {base}/{name}")
+        if fs.getContentSummary(path).getLength() == 0:
+            raise ValueError(f"request dump is empty: {base}/{name}")
 
 
 def load_bundle(spark: SparkSession, raw_dir: str, files=CSIC_FILES, subset_fraction: float | None = None,
                 subset_seed: int = 42, caps: dict | None = None, strip_cr: bool = True) -> DataFrame:
     """One read over all dumps → requests with ``split`` in {lm_train, inference}.
 
-    ``pos`` restarts per split; inference lists normal then anomalous blocks
-    (U1).  The tokenizer corpus is ``tokenizer_corpus(bundle)`` (U2).
-    Subsets (S7) are exact seeded samples per file; caps (S8) keep the first N.
+    A dump is a file or a directory of part files (read in name order).
+    ``pos`` restarts per view; inference lists normal then anomalous blocks (U1).
+    The tokenizer corpus is ``tokenizer_corpus(bundle)`` (U2).  Subsets (S7) are
+    exact seeded samples per dump; caps (S8) keep the first N of each dump.
     """
-    from ..operators.splits import sample_exact
+    from ..operators.splits import ordered_rank, sample_exact
 
     check_manifest(spark, raw_dir, [f[0] for f in files])
     dim = spark.createDataFrame(
         [(name, label, role, i) for i, (name, label, role) in enumerate(files)],
         "name string, label int, split string, file_ord int")
-    paths = [f"{raw_dir.rstrip('/')}/{f[0]}" for f in files]
+    base = raw_dir.rstrip("/")
+    paths = [f"{base}/{f[0]}" for f in files]
     bom = files_with_bom(spark, paths)
     blocks = parse_blocks(assemble_blocks(number_blocks(read_dump_lines(spark, paths), strip_cr, bom)))
-    blocks = blocks.withColumn("name", F.element_at(F.split("source_file", "/"), -1))
-    req = blocks.join(F.broadcast(dim), "name").withColumn("pos", F.col("block_no") - 1)
+    parts = F.split("source_file", "/")
+    names = [f[0] for f in files]
+    blocks = blocks.withColumn("name", F.when(F.element_at(parts, -1).isin(names), F.element_at(parts, -1))
+                               .otherwise(F.element_at(parts, -2)))
+    req = blocks.join(F.broadcast(dim), "name")
+    # position inside a dump: part files in name order (one row per part file), then block order
+    per_part = req.groupBy("file_ord", "source_file").agg(F.max("block_no").alias("_nb"))
+    w = Window.partitionBy("file_ord").orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    part_off = per_part.select("file_ord", "source_file", F.coalesce(F.sum("_nb").over(w), F.lit(0)).alias("_po"))
+    req = req.join(F.broadcast(part_off), ["file_ord", "source_file"]).withColumn(
+        "pos", (F.col("_po") + F.col("block_no") - 1).cast("long")).drop("_po")
     caps = caps or {}
     if subset_fraction is not None:
         req = sample_exact(req, subset_fraction, subset_seed, key="pos", group_cols=("file_ord",))
@@ -235,9 +239,8 @@ def load_bundle(spark: SparkSession, raw_dir: str, files=CSIC_FILES, subset_frac
         req = req.where(cond)
     if subset_fraction is not None or caps:
         # sampling leaves gaps: renumber densely in file order (distributed rank)
-        from ..operators.splits import ordered_rank
         req = ordered_rank(req, "pos", group_cols=("file_ord",), out="pos")
-    # Positions restart per view: file order, then block order.
+    # Positions restart per view: dump order, then block order.
     per_file = req.groupBy("split", "file_ord").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("split").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_file.select("split", "file_ord", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
