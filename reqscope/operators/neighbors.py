@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
+MERGE_FAN_IN = 64
 NEIGHBOR_SCHEMA = "qid long, rank int, rid long, dist double"
 
 
@@ -28,7 +29,7 @@ def _blocks(n: int, block_rows: int) -> int:
 def _partial_topk(k: int, exclude_self: bool):
     def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
-            return pd.DataFrame({"qid": [], "rank": [], "rid": [], "dist": []})
+            return pd.DataFrame({"qid": [], "rank": [], "rid": [], "dist": [], "rb": []})
         qv = np.stack(q["vec"].to_numpy()).astype(np.float64)
         rv = np.stack(r["vec"].to_numpy()).astype(np.float64)
         qid = q["id"].to_numpy(np.int64)
@@ -52,7 +53,8 @@ def _partial_topk(k: int, exclude_self: bool):
             out_q.extend([qid[i]] * len(order))
             out_r.extend(rid[cand][order].tolist())
             out_d.extend(exact[order].tolist())
-        return pd.DataFrame({"qid": out_q, "rank": 0, "rid": out_r, "dist": out_d})
+        return pd.DataFrame({"qid": out_q, "rank": 0, "rid": out_r, "dist": out_d,
+                             "rb": int(r["rb"].iloc[0])})
     return fn
 
 
@@ -69,8 +71,19 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, qid: str = "id", rid: str =
     qx = q.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(br - 1).cast("long"))))
     rx = r.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))))
     partial = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-               .applyInPandas(_partial_topk(k, exclude_self), NEIGHBOR_SCHEMA))
-    merged = partial.groupBy("qid").agg(
+               .applyInPandas(_partial_topk(k, exclude_self), NEIGHBOR_SCHEMA + ", rb long")
+               .withColumnRenamed("rb", "_grp"))
+    # tree merge of the per-block lists: each step keeps the top k of at most
+    # MERGE_FAN_IN lists, so no group ever holds more than MERGE_FAN_IN * k entries
+    lists, n_lists = partial, br
+    while n_lists > MERGE_FAN_IN:
+        lists = (lists.withColumn("_grp", F.floor(F.col("_grp") / MERGE_FAN_IN).cast("long"))
+                 .groupBy("qid", "_grp")
+                 .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "rid"))), 1, k).alias("_nn"))
+                 .select("qid", "_grp", F.explode("_nn").alias("_n"))
+                 .select("qid", "_grp", F.col("_n")["dist"].alias("dist"), F.col("_n")["rid"].alias("rid")))
+        n_lists = math.ceil(n_lists / MERGE_FAN_IN)
+    merged = lists.groupBy("qid").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("dist", "rid"))), 1, k).alias("_nn"))
     return merged.select("qid", F.posexplode("_nn").alias("_p", "_n")).select(
         "qid", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_n")["rid"].alias("rid"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import COMPARISON_METRICS
@@ -78,8 +78,10 @@ def error_examples(preds: DataFrame, requests: DataFrame, text_col: str = "reque
                            .when((F.col("y_pred") == 0) & (F.col("y_true") == 1), "false_negative"))
     err = err.where(F.col("error_type").isNotNull())
     totals = err.groupBy("model", "error_type").agg(F.count("*").alias("n_errors"))
-    w = Window.partitionBy("model", "error_type").orderBy("pos")
-    firsts = err.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # exact first-k by position without a window over a whole (model, error) group
+    from .splits import ordered_rank
+    firsts = (ordered_rank(err.select("model", "error_type", "pos"), "pos", ("model", "error_type"), out="_r")
+              .where(F.col("_r") < k).withColumn("rank", F.col("_r") + 1).drop("_r"))
     ex = firsts.join(requests.select("pos", F.substring(F.col(text_col), 1, clip).alias("example")), "pos")
     return ex.join(totals, ["model", "error_type"]).select(
         "model", "error_type", "n_errors", F.col("rank").cast("int").alias("rank"), "pos", "example")

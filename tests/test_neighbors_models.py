@@ -40,6 +40,14 @@ def test_knn_exact_and_block_independent(points):
             assert dd == pytest.approx(dist[i, j], rel=1e-9)
 
 
+def test_knn_tree_merge(points, monkeypatch):
+    x, df = points
+    a = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 4, exclude_self=True).collect()}
+    monkeypatch.setattr(NB, "MERGE_FAN_IN", 2)
+    b = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 4, exclude_self=True, block_rows=23).collect()}
+    assert a == b
+
+
 def test_lof_matches_brute_force(points):
     x, df = points
     k = 10
