@@ -35,13 +35,15 @@ def histogram(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), bin
 
     Empty bins are included (``bins`` rows per group).
     """
-    g = list(group_cols)
+    no_group = not group_cols
+    g = list(group_cols) or ["_all"]
     v = F.col(value_col).cast("double")
-    data = df.select(*g, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if shared_range or not g:
-        rng = data.agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-        tot = data.groupBy(*g).agg(F.count("*").alias("_N")) if g else data.agg(F.count("*").alias("_N"))
-        ranges = tot.crossJoin(rng)  # one row of range: a broadcast of a single row
+    src = df.withColumn("_all", F.lit(0)) if no_group else df
+    data = src.select(*g, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if shared_range:
+        rng = data.agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx")).first()
+        ranges = data.groupBy(*g).agg(F.count("*").alias("_N"), F.lit(rng["_mn"]).alias("_mn"),
+                                      F.lit(rng["_mx"]).alias("_mx"))
     else:
         ranges = data.groupBy(*g).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
                                       F.count("*").alias("_N"))
@@ -50,13 +52,14 @@ def histogram(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), bin
         F.when(F.col("_mx") > F.col("_mn"), F.col("_mn")).otherwise(F.col("_mn") - 0.5).alias("_lo"),
         F.when(F.col("_mx") > F.col("_mn"), F.col("_mx")).otherwise(F.col("_mx") + 0.5).alias("_hi"))
     ranges = ranges.withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
-    joined = data.join(F.broadcast(ranges), g) if g else data.crossJoin(F.broadcast(ranges))
+    joined = data.join(F.broadcast(ranges), g)
     counts = (joined.withColumn("bin", _bin_index(F.col("_v"), F.col("_lo"), F.col("_step"), bins))
               .groupBy(*g, "bin").agg(F.count("*").alias("n")))
     grid = ranges.select(*g, "_N", "_lo", "_step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counts, [*g, "bin"], "left").fillna(0, ["n"])
+    keep = [] if no_group else g
     return out.select(
-        *g, "bin", (F.col("_lo") + F.col("bin") * F.col("_step")).alias("lo"),
+        *keep, "bin", (F.col("_lo") + F.col("bin") * F.col("_step")).alias("lo"),
         F.when(F.col("bin") == bins - 1, F.col("_lo") + F.col("_step") * bins)
         .otherwise(F.col("_lo") + (F.col("bin") + 1) * F.col("_step")).alias("hi"),
         F.col("n").cast("long").alias("n"),
@@ -67,10 +70,12 @@ def kde(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), grid: int
         cut: float = CUT) -> DataFrame:
     """(groups, i, x, density): Gaussian KDE, Scott bandwidth, only for groups with
     more than 2 points and a positive range (as in the reference's score plot)."""
-    g = list(group_cols)
+    no_group = not group_cols
+    g = list(group_cols) or ["_all"]
     v = F.col(value_col).cast("double")
-    data = df.select(*g, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    stats = (data.groupBy(*g) if g else data.groupBy()).agg(
+    src = df.withColumn("_all", F.lit(0)) if no_group else df
+    data = src.select(*g, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    stats = data.groupBy(*g).agg(
         F.count("*").alias("_n"), F.stddev_samp("_v").alias("_sd"),
         F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
     stats = stats.where((F.col("_n") > 2) & (F.col("_mx") > F.col("_mn")))
@@ -78,7 +83,7 @@ def kde(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), grid: int
     stats = stats.withColumn("_g0", F.col("_mn") - cut * F.col("_bw")).withColumn(
         "_gs", (F.col("_mx") + cut * F.col("_bw") - F.col("_g0")) / (grid - 1))
     distinct = data.groupBy(*g, "_v").agg(F.count("*").alias("_w"))
-    j = distinct.join(F.broadcast(stats), g) if g else distinct.crossJoin(F.broadcast(stats))
+    j = distinct.join(F.broadcast(stats), g)  # one row per group
     inv = 1.0 / math.sqrt(2.0 * math.pi)
     idx = F.sequence(F.lit(0), F.lit(grid - 1))
     # one array of kernel weights per distinct value, exploded and summed per grid point
@@ -88,5 +93,30 @@ def kde(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), grid: int
     agg = dens.groupBy(*g, "i").agg(F.sum("_k").alias("_s"), F.first("_n").alias("_n"),
                                     F.first("_g0").alias("_g0"), F.first("_gs").alias("_gs"),
                                     F.first("_bw").alias("_bw"))
-    return agg.select(*g, "i", (F.col("_g0") + F.col("i") * F.col("_gs")).alias("x"),
+    return agg.select(*([] if no_group else g), "i", (F.col("_g0") + F.col("i") * F.col("_gs")).alias("x"),
                       (F.col("_s") * inv / (F.col("_n") * F.col("_bw"))).alias("density"))
+
+
+def feature_histograms(features: DataFrame, cols: Sequence[str], hue: str = "label",
+                       bins: int = BINS) -> DataFrame:
+    """(feature, hue, bin, lo, hi, n) — per feature one range shared by all hue values."""
+    long = features.select(hue, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_v")) for c in cols
+    ])).alias("_kv")).select("_kv.feature", hue, "_kv._v").where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranges = long.groupBy("feature").agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    ranges = ranges.select(
+        "feature",
+        F.when(F.col("_mx") > F.col("_mn"), F.col("_mn")).otherwise(F.col("_mn") - 0.5).alias("_lo"),
+        F.when(F.col("_mx") > F.col("_mn"), F.col("_mx")).otherwise(F.col("_mx") + 0.5).alias("_hi"))
+    ranges = ranges.withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
+    counts = (long.join(F.broadcast(ranges), "feature")  # one row per feature column
+              .withColumn("bin", _bin_index(F.col("_v"), F.col("_lo"), F.col("_step"), bins))
+              .groupBy("feature", hue, "bin").agg(F.count("*").alias("n")))
+    pairs = long.select("feature", hue).distinct()
+    grid = (pairs.join(F.broadcast(ranges), "feature")
+            .select("feature", hue, "_lo", "_step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")))
+    out = grid.join(counts, ["feature", hue, "bin"], "left").fillna(0, ["n"])
+    return out.select("feature", hue, "bin", (F.col("_lo") + F.col("bin") * F.col("_step")).alias("lo"),
+                      F.when(F.col("bin") == bins - 1, F.col("_lo") + F.col("_step") * bins)
+                      .otherwise(F.col("_lo") + (F.col("bin") + 1) * F.col("_step")).alias("hi"),
+                      F.col("n").cast("long").alias("n"))

@@ -82,14 +82,16 @@ def roc_points(preds: DataFrame, keys: Sequence[str] = (), positive_label: int =
     With ``drop_intermediate`` a point that is neither first nor last is dropped
     when its (Δfp, Δtp) equals the next point's (note C).
     """
+    no_keys = not keys
+    if no_keys:
+        preds, keys = preds.withColumn("_all", F.lit(0)), ["_all"]
     g = _score_groups(preds, keys, positive_label)
     c = weighted_prefix(g, keys, "y_score", ["tp_inc", "fp_inc"], descending=True,
                         lead_cols=["tp_inc", "fp_inc"])
     c = (c.withColumnRenamed("next_tp_inc", "_next_tp").withColumnRenamed("next_fp_inc", "_next_fp")
          .withColumn("_first", F.col("cum_tp_inc") + F.col("cum_fp_inc") == F.col("tp_inc") + F.col("fp_inc")))
-    totals = (c.groupBy(*keys) if keys else c.groupBy()).agg(
-        F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N"))
-    c = c.join(totals, list(keys)) if keys else c.crossJoin(totals)
+    totals = c.groupBy(*keys).agg(F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N"))
+    c = c.join(F.broadcast(totals), list(keys))  # one row per key
     keep = F.lit(True)
     if drop_intermediate:
         last = F.col("_next_tp").isNull()
@@ -103,7 +105,8 @@ def roc_points(preds: DataFrame, keys: Sequence[str] = (), positive_label: int =
         rate(F.col("cum_fp_inc"), F.col("_N")).alias("fpr"), rate(F.col("cum_tp_inc"), F.col("_P")).alias("tpr"))
     origin = totals.select(*keys, F.lit(float("inf")).alias("threshold"),
                            rate(F.lit(0.0), F.col("_N")).alias("fpr"), rate(F.lit(0.0), F.col("_P")).alias("tpr"))
-    return pts.unionByName(origin)
+    out = pts.unionByName(origin)
+    return out.drop("_all") if no_keys else out
 
 
 def fpr_at_tpr(points: DataFrame, keys: Sequence[str] = (), targets: dict | None = None) -> DataFrame:
@@ -117,14 +120,15 @@ def fpr_at_tpr(points: DataFrame, keys: Sequence[str] = (), targets: dict | None
 def classification_metrics(preds: DataFrame, keys: Sequence[str] = (), positive_label: int = 1,
                            beta: float = 2.0, with_score: bool = True) -> DataFrame:
     """Wide table of all metrics per key (one confusion aggregation, one ROC pass)."""
+    no_keys = not keys
+    if no_keys:
+        preds, keys = preds.withColumn("_all", F.lit(0)), ["_all"]
     m = threshold_metrics(confusion(preds, keys, positive_label), beta)
-    if not with_score:
-        return m
-    auc = roc_auc(preds, keys, positive_label)
-    fpr = fpr_at_tpr(roc_points(preds, keys, positive_label), keys)
-    if keys:
-        return m.join(auc, list(keys)).join(fpr, list(keys))
-    return m.crossJoin(auc).crossJoin(fpr)
+    if with_score:
+        auc = roc_auc(preds, keys, positive_label)
+        fpr = fpr_at_tpr(roc_points(preds, keys, positive_label), keys)
+        m = m.join(auc, list(keys)).join(fpr, list(keys))
+    return m.drop("_all") if no_keys else m
 
 
 def metrics_long(wide: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -300,3 +300,18 @@ def dedup_reevaluate(frame: DataFrame, keys: DataFrame, model_name: str = "logis
     split = sp.holdout_split(dedup, "y", "pos", 0.3, seed).cache()
     train, test = split.where(sp.is_train()).drop("split"), split.where(sp.is_test()).drop("split")
     return fit_predict(spec, train, test).withColumn("model", F.lit(f"{model_name}_dedup"))
+
+
+def save_model(model, path: str) -> None:
+    """Persist a fitted MLlib model (overwrite)."""
+    model.write().overwrite().save(path)
+
+
+def load_model(cls, path: str):
+    """Reload a model saved with ``save_model`` (``cls`` = the model class)."""
+    return cls.load(path)
+
+
+def save_history(history: DataFrame, path: str) -> None:
+    """The training log as a Parquet table."""
+    history.write.mode("overwrite").parquet(path)

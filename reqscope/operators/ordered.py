@@ -46,12 +46,10 @@ def weighted_prefix(df: DataFrame, part_cols: Sequence[str], order_col: str,
             d = d.withColumn(f"next_{c}", F.lead(c).over(wl))
         return d.drop("_ok")
     probs = [i / n_b for i in range(1, n_b)]
-    grp = d.groupBy(*parts) if parts else d.groupBy()
-    bounds = grp.agg(F.percentile_approx("_ok", probs, 10000).alias("_bounds"))
-    if parts:
-        d = d.join(bounds, parts)
-    else:
-        d = d.crossJoin(bounds)  # one row: the global bucket boundaries
+    if not parts:
+        d, parts = d.withColumn("_all", F.lit(0)), ["_all"]
+    bounds = d.groupBy(*parts).agg(F.percentile_approx("_ok", probs, 10000).alias("_bounds"))
+    d = d.join(F.broadcast(bounds), parts)  # one row of boundaries per key
     d = d.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds")
     tot = d.groupBy(*parts, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in weight_cols])
     wb = (Window.partitionBy(*parts) if parts else Window).orderBy("_bk").rowsBetween(
@@ -75,7 +73,7 @@ def weighted_prefix(df: DataFrame, part_cols: Sequence[str], order_col: str,
         for c in lead_cols:
             d = d.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(wl), F.col("_nf")[c]))
         d = d.drop("_nf")
-    return d.drop("_ok", "_bk")
+    return d.drop("_ok", "_bk", "_all")
 
 
 def exact_quantiles(long: DataFrame, part_col: str, value_col: str,

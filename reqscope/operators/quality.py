@@ -193,3 +193,11 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles=(0.25, 0.5, 0.75),
 def profile(df: DataFrame, pos_col: str = "pos", n: int = 5) -> tuple[int, list, DataFrame]:
     """Row count, (column, type) list, first ``n`` rows by position (a filter, not a sort)."""
     return df.count(), df.dtypes, df.where(F.col(pos_col) < n)
+
+
+def first_examples(requests: DataFrame, label_col: str = "label", text_col: str = "request_line",
+                   pos_col: str = "pos", clip: int = 160) -> DataFrame:
+    """The first request of each class (smallest position), clipped for display."""
+    return requests.groupBy(label_col).agg(
+        F.min(pos_col).alias(pos_col),
+        F.substring(F.min_by(F.col(text_col), F.col(pos_col)), 1, clip).alias("example"))

@@ -102,3 +102,27 @@ def run_summary(items: DataFrame, digits: int = 4) -> DataFrame:
     """(key, value) with NaN values dropped and values rounded to 4 places."""
     return items.where(F.col("value").isNotNull() & ~F.isnan("value")).select(
         "key", F.round("value", digits).alias("value"))
+
+
+def roc_overlay(preds: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+    """ROC points of every model whose test rows hold both classes."""
+    from .metrics import roc_points
+
+    both = preds.groupBy(*keys).agg(F.countDistinct("y_true").alias("_k")).where(F.col("_k") == 2).drop("_k")
+    return roc_points(preds.join(both, list(keys), "left_semi"), keys)
+
+
+def best_overall(comparison: DataFrame, metric: str = "f1") -> str | None:
+    """T4: the model with the highest ``metric`` (first on ties, by model name)."""
+    row = comparison.where(~F.isnan(metric)).orderBy(F.col(metric).desc(), "model").select("model").first()
+    return row[0] if row else None
+
+
+def merge_registries(*tables: DataFrame, key: str = "model") -> DataFrame:
+    """Union of per-model report tables; a later table's rows replace an earlier one's."""
+    tagged = [t.withColumn("_src", F.lit(i)) for i, t in enumerate(tables)]
+    allr = tagged[0]
+    for t in tagged[1:]:
+        allr = allr.unionByName(t, allowMissingColumns=True)
+    last = allr.groupBy(key).agg(F.max("_src").alias("_src"))
+    return allr.join(last, [key, "_src"], "left_semi").drop("_src")

@@ -126,8 +126,8 @@ def q_bundle_views(spark, sf):
     offs = sizes.select("view", "file_ord", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     views_df = ev.join(F.broadcast(offs), ["view", "file_ord"]).select(
         "view", (F.col("fpos") + F.col("_off")).cast("long").alias("pos"), "event_id", "label", "file_ord")
-    n_lm = sizes.where(F.col("view") == "lm_train").agg(F.sum("_n").alias("_nlm"))
-    corpus = (views_df.crossJoin(F.broadcast(n_lm))  # one-row table
+    n_lm = sizes.where(F.col("view") == "lm_train").agg(F.sum("_n")).first()[0] or 0
+    corpus = (views_df.withColumn("_nlm", F.lit(n_lm))
               .select(F.lit("tokenizer_corpus").alias("view"),
                       F.when(F.col("view") == "lm_train", F.col("pos"))
                       .otherwise(F.col("pos") + F.coalesce(F.col("_nlm"), F.lit(0))).cast("long").alias("pos"),

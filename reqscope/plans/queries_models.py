@@ -305,7 +305,7 @@ kv as (
 select key, round(value, 4) as value from kv where value is not null and not isnan(value)""")
 def q_run_summary(spark, sf):
     s = views.scored(spark, sf)
-    wide = M.threshold_metrics(M.confusion(s)).crossJoin(M.roc_auc(s))
+    wide = M.classification_metrics(s)
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     kv = wide.select(F.explode(F.array(
         F.struct(F.lit("n_rows").alias("key"), n.cast("double").alias("value")),
@@ -317,3 +317,53 @@ def q_run_summary(spark, sf):
     dup = duplicate_report(views.table(spark, sf, "documents"), "text").select(
         F.lit("duplicate_rate").alias("key"), F.col("duplicate_rate").alias("value"))
     return RP.run_summary(kv.unionByName(dup))
+
+
+# ------------------------------------------------------------------ R8, T8, W7
+
+from ..operators import distribution as DI  # noqa: E402
+from ..operators import quality as QA  # noqa: E402
+from .queries import _PAGES_PARSED, _REQ_LINE_SQL  # noqa: E402
+
+_R8_COLS = ["target_length", "body_length", "n_query_params", "digit_ratio", "upper_ratio"]
+
+
+def _r8_sql() -> str:
+    from .queries import _PAGES_FEATURES
+
+    long = " union all ".join(f"select '{c}' as feature, label, {c}::double as v from ff" for c in _R8_COLS)
+    return _PAGES_FEATURES + f""",
+lg as ({long}),
+rg0 as (select feature, min(v) as mn, max(v) as mx from lg group by feature),
+rg as (select feature, case when mx > mn then mn else mn - 0.5 end as lo,
+   (case when mx > mn then mx else mx + 0.5 end - case when mx > mn then mn else mn - 0.5 end) / 30 as step from rg0),
+b0 as (select lg.feature, label, v, lo, step,
+   least(greatest(cast(floor((v - lo) * (30.0 / (step * 30))) as integer), 0), 29) as i0 from lg join rg using (feature)),
+b as (select feature, label, case when v < lo + i0 * step then i0 - 1
+   when i0 < 29 and v >= lo + (i0 + 1) * step then i0 + 1 else i0 end as bin from b0),
+cnt as (select feature, label, bin, count(*) as n from b group by all),
+grid as (select p.feature, p.label, lo, step, unnest(range(0, 30)) as bin
+         from (select distinct feature, label from lg) p join rg using (feature))
+select g.feature, cast(g.label as integer) as label, cast(g.bin as integer) as bin, round(lo + g.bin * step, 6) as lo,
+  round(case when g.bin = 29 then lo + step * 30 else lo + (g.bin + 1) * step end, 6) as hi, coalesce(c.n, 0) as n
+from grid g left join cnt c on g.feature = c.feature and g.label = c.label and g.bin = c.bin"""
+
+
+@register("feature_distributions", _r8_sql())
+def q_feature_distributions(spark, sf):
+    ff = feature_frame(views.page_requests(spark, sf), keep=("pos",))
+    return rounded(DI.feature_histograms(ff, _R8_COLS, "label"))
+
+
+@register("first_examples", _PAGES_PARSED + f"""
+select cast(label as integer) as label, min(pos) as pos,
+  substring(arg_min({_REQ_LINE_SQL}, pos), 1, 160) as example from pp group by label""")
+def q_first_examples(spark, sf):
+    req = rq.with_request_text(views.page_requests(spark, sf))
+    return QA.first_examples(req)
+
+
+@register("roc_overlay", sql_round(f"WITH {_TWO_MODELS}," + _roc_sql("preds", "model") +
+                                   " select * from roc_pts", ["threshold", "fpr", "tpr"]))
+def q_roc_overlay(spark, sf):
+    return rounded(RP.roc_overlay(_two_models(spark, sf)))

@@ -255,3 +255,46 @@ def tokenizer_corpus(bundle: DataFrame) -> DataFrame:
     return bundle.withColumn(
         "pos", F.when(F.col("split") == "lm_train", F.col("pos")).otherwise(F.col("pos") + F.lit(n_lm))
     ).withColumn("split", F.lit("tokenizer_corpus"))
+
+
+def load_structured(spark: SparkSession, path: str, fmt: str = "json", label: int | str = 0,
+                    split: str = "", columns: dict | None = None) -> DataFrame:
+    """Plug in another dataset — structured logs (JSON/CSV/Parquet) mapped to the request schema.
+
+    ``columns`` maps schema fields to source columns (method, target, version,
+    headers, body, label); headers may be an array of {name, value} structs or a
+    ``Name: value`` newline-separated string.  Positions follow the source order
+    by file and row (two-level rank, no global sort).
+    """
+    from ..functions.request import parse_header
+    from ..operators.splits import ordered_rank
+
+    m = {"method": "method", "target": "target", "version": "version", "headers": "headers", "body": "body"}
+    m.update(columns or {})
+    df = spark.read.format(fmt).load(path)
+    types = dict(df.dtypes)
+
+    def col(name, default=""):
+        src = m.get(name)
+        return F.coalesce(F.col(src).cast("string"), F.lit(default)) if src in types else F.lit(default)
+
+    hsrc = m["headers"]
+    if hsrc in types and types[hsrc].startswith("array"):
+        headers = F.col(hsrc).cast("array<struct<name:string,value:string>>")
+    elif hsrc in types:
+        headers = F.transform(F.filter(F.split(F.col(hsrc), "\n"), lambda x: x != ""), parse_header)
+    else:
+        headers = F.array().cast("array<struct<name:string,value:string>>")
+    headers = F.coalesce(headers, F.array().cast("array<struct<name:string,value:string>>"))
+    lab = F.col(label).cast("int") if isinstance(label, str) else F.lit(label)
+    base = df.select(F.monotonically_increasing_id().alias("_mid"), col("method").alias("method"),
+                     col("target").alias("target"), col("version").alias("version"), headers.alias("headers"),
+                     col("body").alias("body"), lab.alias("label"),
+                     F.col("_metadata.file_path").alias("source_file"))
+    base = ordered_rank(base, "_mid", out="pos")
+    rl = F.array_join(F.filter(F.array("method", "target", "version"), lambda x: x != ""), " ")
+    raw = F.array_join(F.concat(F.array(rl), F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "),
+                                                                                         h["value"])),
+                                F.filter(F.array(F.lit(""), F.col("body")), lambda x: x != "")), "\n")
+    return base.select("pos", "source_file", (F.col("pos") + 1).alias("block_no"), "method", "target", "version",
+                       "headers", "body", raw.alias("raw"), "label", F.lit(split).alias("split"))
