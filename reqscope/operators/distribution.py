@@ -52,7 +52,7 @@ def histogram(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), bin
         F.when(F.col("_mx") > F.col("_mn"), F.col("_mn")).otherwise(F.col("_mn") - 0.5).alias("_lo"),
         F.when(F.col("_mx") > F.col("_mn"), F.col("_mx")).otherwise(F.col("_mx") + 0.5).alias("_hi"))
     ranges = ranges.withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
-    joined = data.join(F.broadcast(ranges), g)
+    joined = data.join(F.broadcast(ranges), g)  # one row per group (hash join on the group key)
     counts = (joined.withColumn("bin", _bin_index(F.col("_v"), F.col("_lo"), F.col("_step"), bins))
               .groupBy(*g, "bin").agg(F.count("*").alias("n")))
     grid = ranges.select(*g, "_N", "_lo", "_step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

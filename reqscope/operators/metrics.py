@@ -82,16 +82,20 @@ def roc_points(preds: DataFrame, keys: Sequence[str] = (), positive_label: int =
     With ``drop_intermediate`` a point that is neither first nor last is dropped
     when its (Δfp, Δtp) equals the next point's (note C).
     """
-    no_keys = not keys
-    if no_keys:
-        preds, keys = preds.withColumn("_all", F.lit(0)), ["_all"]
     g = _score_groups(preds, keys, positive_label)
     c = weighted_prefix(g, keys, "y_score", ["tp_inc", "fp_inc"], descending=True,
                         lead_cols=["tp_inc", "fp_inc"])
     c = (c.withColumnRenamed("next_tp_inc", "_next_tp").withColumnRenamed("next_fp_inc", "_next_fp")
          .withColumn("_first", F.col("cum_tp_inc") + F.col("cum_fp_inc") == F.col("tp_inc") + F.col("fp_inc")))
-    totals = c.groupBy(*keys).agg(F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N"))
-    c = c.join(F.broadcast(totals), list(keys))  # one row per key
+    if keys:
+        totals = c.groupBy(*keys).agg(F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N"))
+        c = c.join(F.broadcast(totals), list(keys))  # one row per key
+    else:
+        # grand totals: two numbers, inlined as literals
+        tot = c.agg(F.sum("tp_inc"), F.sum("fp_inc")).first()
+        p_, n_ = int(tot[0] or 0), int(tot[1] or 0)
+        c = c.withColumn("_P", F.lit(p_)).withColumn("_N", F.lit(n_))
+        totals = c.sparkSession.range(1).select(F.lit(p_).alias("_P"), F.lit(n_).alias("_N"))
     keep = F.lit(True)
     if drop_intermediate:
         last = F.col("_next_tp").isNull()
@@ -105,8 +109,7 @@ def roc_points(preds: DataFrame, keys: Sequence[str] = (), positive_label: int =
         rate(F.col("cum_fp_inc"), F.col("_N")).alias("fpr"), rate(F.col("cum_tp_inc"), F.col("_P")).alias("tpr"))
     origin = totals.select(*keys, F.lit(float("inf")).alias("threshold"),
                            rate(F.lit(0.0), F.col("_N")).alias("fpr"), rate(F.lit(0.0), F.col("_P")).alias("tpr"))
-    out = pts.unionByName(origin)
-    return out.drop("_all") if no_keys else out
+    return pts.unionByName(origin)
 
 
 def fpr_at_tpr(points: DataFrame, keys: Sequence[str] = (), targets: dict | None = None) -> DataFrame:

@@ -46,10 +46,13 @@ def weighted_prefix(df: DataFrame, part_cols: Sequence[str], order_col: str,
             d = d.withColumn(f"next_{c}", F.lead(c).over(wl))
         return d.drop("_ok")
     probs = [i / n_b for i in range(1, n_b)]
-    if not parts:
-        d, parts = d.withColumn("_all", F.lit(0)), ["_all"]
-    bounds = d.groupBy(*parts).agg(F.percentile_approx("_ok", probs, 10000).alias("_bounds"))
-    d = d.join(F.broadcast(bounds), parts)  # one row of boundaries per key
+    if parts:
+        bounds = d.groupBy(*parts).agg(F.percentile_approx("_ok", probs, 10000).alias("_bounds"))
+        d = d.join(F.broadcast(bounds), parts)  # one row of boundaries per key
+    else:
+        # a single boundary list: fetched once and inlined as a literal array
+        row = d.agg(F.percentile_approx("_ok", probs, 10000)).first()[0] or []
+        d = d.withColumn("_bounds", F.array(*[F.lit(float(b)) for b in row]).cast("array<double>"))
     d = d.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds")
     tot = d.groupBy(*parts, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in weight_cols])
     wb = (Window.partitionBy(*parts) if parts else Window).orderBy("_bk").rowsBetween(

@@ -367,3 +367,23 @@ def q_first_examples(spark, sf):
                                    " select * from roc_pts", ["threshold", "fpr", "tpr"]))
 def q_roc_overlay(spark, sf):
     return rounded(RP.roc_overlay(_two_models(spark, sf)))
+
+
+@register("profile_head", _PAGES_PARSED + """
+select pos, method, target, version, cast(len(hl) as integer) as n_headers, cast(label as integer) as label
+from pp where pos < 5""")
+def q_profile_head(spark, sf):
+    """The first five requests by position (a filter, not a sort)."""
+    _n, _types, head = QA.profile(views.page_requests(spark, sf))
+    return head.select("pos", "method", "target", "version", F.size("headers").alias("n_headers"), "label")
+
+
+@register("cv_format")
+def q_cv_format(spark, sf):
+    """CV means as a model × metric table and the ``f1=…+/-…`` summary strings."""
+    from .queries_ml import SEED as _S
+
+    folded = sp.kfold(views.scored(spark, sf).withColumnRenamed("y_true", "label"), 5, "label", "pos", _S)
+    folded = folded.withColumnRenamed("label", "y_true").withColumn("model", F.lit("scored"))
+    summary = ML.cv_summary(folded)
+    return RP.format_cv(summary).join(RP.cv_table(summary), "model")
