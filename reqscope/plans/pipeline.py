@@ -50,7 +50,7 @@ def write_event_dumps(spark: SparkSession, sf_dir: str, out_dir: str, parts: int
     ev = views.req_events(spark, sf_dir).join(
         views.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "ts"), "pos")
     role = (F.when(F.col("label") == 1, F.lit(CSIC_FILES[2][0]))
-            .when(F.col("ts") < F.lit(EVENT_CUT).cast("timestamp"), F.lit(CSIC_FILES[0][0]))
+            .when(F.col("ts") < F.lit(EVENT_CUT).cast("timestamp_ntz"), F.lit(CSIC_FILES[0][0]))
             .otherwise(F.lit(CSIC_FILES[1][0])))
     ev = ev.withColumn("role", role)
     for name, _label, _split in CSIC_FILES:

@@ -116,7 +116,7 @@ def q_bundle_views(spark, sf):
     ev = views.table(spark, sf, "events").select(
         "event_id", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"),
         F.when(F.col("event_type") == "error", 2)
-        .when(F.col("ts") < F.lit(_CUT).cast("timestamp"), 0).otherwise(1).alias("file_ord"))
+        .when(F.col("ts") < F.lit(_CUT).cast("timestamp_ntz"), 0).otherwise(1).alias("file_ord"))
     ev = sp.ordered_rank(ev, "event_id", ("file_ord",), out="fpos")
     roles = spark.createDataFrame([(0, "lm_train"), (1, "inference"), (2, "inference")],
                                   "file_ord int, view string")
