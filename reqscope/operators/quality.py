@@ -45,10 +45,14 @@ def duplicate_levels(levels: dict[str, tuple[DataFrame, Column | str | Sequence[
 
 
 def unique_first(df: DataFrame, key: Column | str | Sequence[str], pos_col: str = "pos") -> DataFrame:
-    """The first row (smallest ``pos``) of each distinct key, one aggregation."""
-    k = _key(key).alias("_k")
-    firsts = df.groupBy(k).agg(F.min(pos_col).alias(pos_col))
-    return df.join(firsts.select(pos_col), pos_col, "left_semi")
+    """The first row (smallest ``pos``) of each distinct key, one aggregation.
+
+    ``min_by`` keeps a whole row per key with map-side partial aggregation, so a
+    hot key is reduced inside each task before the shuffle and no join back is needed.
+    """
+    cols = df.columns
+    firsts = df.groupBy(_key(key).alias("_k")).agg(F.min_by(F.struct(*cols), F.col(pos_col)).alias("_r"))
+    return firsts.select("_r.*")
 
 
 def train_test_leakage(train: DataFrame, test: DataFrame, key: Column | str | Sequence[str]) -> DataFrame:
