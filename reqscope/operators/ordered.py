@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 65536
+COARSE = 1024
 
 
 def weighted_prefix(df: DataFrame, part_cols: Sequence[str], order_col: str,
@@ -45,7 +46,9 @@ def weighted_prefix(df: DataFrame, part_cols: Sequence[str], order_col: str,
         for c in lead_cols:
             d = d.withColumn(f"next_{c}", F.lead(c).over(wl))
         return d.drop("_ok")
-    probs = [i / n_b for i in range(1, n_b)]
+    # level 1: at most COARSE quantile buckets from a bounded sketch
+    coarse = min(n_b, COARSE)
+    probs = [i / coarse for i in range(1, coarse)]
     if parts:
         bounds = d.groupBy(*parts).agg(F.percentile_approx("_ok", probs, 10000).alias("_bounds"))
         d = d.join(F.broadcast(bounds), parts)  # one row of boundaries per key
@@ -53,7 +56,17 @@ def weighted_prefix(df: DataFrame, part_cols: Sequence[str], order_col: str,
         # a single boundary list: fetched once and inlined as a literal array
         row = d.agg(F.percentile_approx("_ok", probs, 10000)).first()[0] or []
         d = d.withColumn("_bounds", F.array(*[F.lit(float(b)) for b in row]).cast("array<double>"))
-    d = d.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds")
+    d = d.withColumn("_cb", F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds")
+    # level 2: equal-width sub-buckets inside each coarse bucket, sized from its own count
+    stats = d.groupBy(*parts, "_cb").agg(F.count("*").alias("_cn"), F.min("_ok").alias("_lo"),
+                                         F.max("_ok").alias("_hi"))
+    stats = stats.withColumn("_ns", F.greatest(F.lit(1), F.ceil(F.col("_cn") / bucket_rows)).cast("long"))
+    d = d.join(F.broadcast(stats.drop("_cn")), [*parts, "_cb"])  # ≤ COARSE rows per key
+    sub = F.when(F.col("_hi") > F.col("_lo"), F.least(
+        F.floor((F.col("_ok") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_ns")),
+        F.col("_ns") - 1)).otherwise(F.lit(0))
+    d = d.withColumn("_bk", (F.col("_cb").cast("long") * F.lit(1 << 32) + sub).cast("long")) \
+        .drop("_cb", "_lo", "_hi", "_ns")
     tot = d.groupBy(*parts, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in weight_cols])
     wb = (Window.partitionBy(*parts) if parts else Window).orderBy("_bk").rowsBetween(
         Window.unboundedPreceding, -1)

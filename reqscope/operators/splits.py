@@ -50,7 +50,8 @@ def seeded_rank(df: DataFrame, key: str, seed: int, group_cols: Sequence[str] =
                 out: str = "rank", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """0-based rank of each row inside its group by ``md5('<seed>:<key>')``."""
     n = _max_group_size(df, group_cols)
-    digits = max(1, min(12, math.ceil(math.log(max(n / bucket_rows, 1.0), 16)) + 1))
+    # 16**digits >= n / bucket_rows: buckets hold about bucket_rows rows or fewer
+    digits = max(1, min(12, math.ceil(math.log(max(n / bucket_rows, 1.0), 16))))
     d = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
     return _two_level_rank(d, group_cols, "_b", ["_h", key], out).drop("_h", "_b")
 
