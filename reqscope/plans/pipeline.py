@@ -102,7 +102,7 @@ def run_pipeline(spark: SparkSession, raw_dir: str, out_dir: str | None = None,
     lm_rows = lm_train.join(val, "pos").select("pos", "text", F.when(F.col("is_val"), "val")
                                                 .otherwise("train").alias("split"))
     ngram = lm.NgramLM().fit(lm_rows.where(F.col("split") == "train"), "pos", "text")
-    lm_scores = ngram.score(lm_rows, "pos", "text").join(lm_rows.select("pos", "split"), "pos")
+    lm_scores = ngram.score(lm_rows, "pos", "text", keep=("split",))
     out["lm_perplexity"] = lm.split_perplexity(lm_scores, "split")
 
     # embeddings (E6 default, fitted on normal training lines) of both views

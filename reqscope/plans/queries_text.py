@@ -105,7 +105,7 @@ def q_ngram_lm_perplexity(spark, sf):
         "pos", "raw", F.when(F.col("label") == 1, "anomalous").when(F.col("is_val"), "val")
         .otherwise("train").alias("split"))
     model = lm.NgramLM(order=3, k=1.0).fit(lab.where(F.col("split") == "train"), "pos", "raw")
-    scores = model.score(lab, "pos", "raw").join(lab.select("pos", "split"), "pos")
+    scores = model.score(lab, "pos", "raw", keep=("split",))
     return rounded(lm.split_perplexity(scores, "split"))
 
 
