@@ -58,14 +58,15 @@ def entropy_of_runs(runs: Column, n: Column) -> Column:
     the same count profile get bit-identical values.  No explode, no shuffle.
     """
     nd = n.cast("double")
-    counts = F.array_sort(F.transform(runs, lambda r: F.length(r)))
+    counts = F.sort_array(F.transform(runs, lambda r: F.length(r)))
     h = F.aggregate(counts, F.lit(0.0), lambda a, c: a - (c / nd) * F.log2(c / nd))
     return F.when(n > 0, F.greatest(h, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def with_entropy(df: DataFrame, text_col: str, out: str = "shannon_entropy") -> DataFrame:
-    return (df.withColumn("_runs", char_runs(F.col(text_col)))
-            .withColumn(out, entropy_of_runs(F.col("_runs"), F.length(text_col))).drop("_runs"))
+    # the length is staged: referenced inside the per-run lambda, it must not be recomputed
+    return (df.withColumn("_runs", char_runs(F.col(text_col))).withColumn("_n", F.length(text_col))
+            .withColumn(out, entropy_of_runs(F.col("_runs"), F.col("_n"))).drop("_runs", "_n"))
 
 
 def _contains_any(lower_blob: Column, needles) -> Column:

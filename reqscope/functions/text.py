@@ -99,5 +99,12 @@ def count_matches(c: Column, pattern: str) -> Column:
 
 
 def code_points(c: Column) -> Column:
-    """Array of code points (as 1-char strings); surrogate pairs stay whole."""
-    return F.regexp_extract_all(c, F.lit("(?s)."), 0)
+    """Array of code points (as 1-char strings); surrogate pairs stay whole.
+
+    ``split(c, '')`` cuts UTF-16 units, so it is used only for texts without
+    supplementary-plane characters; the regex form handles the rest.  (A split
+    may add one trailing empty string, which joins and counts ignore.)
+    """
+    supplementary = c.rlike("[\\x{10000}-\\x{10FFFF}]")
+    return F.when(supplementary, F.regexp_extract_all(c, F.lit("(?s)."), 0)).otherwise(
+        F.filter(F.split(c, "", -1), lambda x: x != ""))
