@@ -23,6 +23,7 @@ PRED_COLS = ("model", "fold", "pos", "y_true", "y_pred", "y_score")
 # Fixed values that must equal the reference's defaults (scikit-learn's tol=1e-4
 # for the linear models).
 LR_MAX_ITER = 2000
+LR_C = 1.0
 LINEAR_TOL = 1e-4
 PARALLELISM = 4
 RF_TREES = 100
@@ -62,12 +63,15 @@ def build_classifiers(seed: int = 42) -> list[ModelSpec]:
     from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 
     return [
-        ModelSpec("logistic_regression", lambda n: LogisticRegression(maxIter=LR_MAX_ITER, tol=LINEAR_TOL,
-                                                                      labelCol="y"), _prob1),
+        # L2 with C = 1 as the reference's default: C·Σloss + ½‖w‖² ≡ mean loss + ½‖w‖²/(C·n)
+        ModelSpec("logistic_regression", lambda n: LogisticRegression(
+            maxIter=LR_MAX_ITER, tol=LINEAR_TOL, regParam=1.0 / (LR_C * max(n, 1)), elasticNetParam=0.0,
+            standardization=False, labelCol="y"), _prob1),
         ModelSpec("random_forest", lambda n: RandomForestClassifier(numTrees=RF_TREES, seed=seed, labelCol="y"),
                   _prob1, standardize=False),
+        # scaling is explicit (E8) as in the reference; no hidden re-standardisation
         ModelSpec("linear_svc", lambda n: LinearSVC(maxIter=SVC_MAX_ITER, regParam=1.0 / (SVC_C * max(n, 1)),
-                                                    tol=LINEAR_TOL, labelCol="y"), _raw1),
+                                                    tol=LINEAR_TOL, standardization=False, labelCol="y"), _raw1),
         ModelSpec("gradient_boosting", lambda n: GBTClassifier(maxIter=GBT_ROUNDS, seed=seed, labelCol="y"),
                   _prob1, standardize=False),
     ]
