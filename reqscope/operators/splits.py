@@ -47,9 +47,12 @@ def _two_level_rank(d: DataFrame, group_cols: Sequence[str], bucket: str,
 
 
 def seeded_rank(df: DataFrame, key: str, seed: int, group_cols: Sequence[str] = (),
-                out: str = "rank", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """0-based rank of each row inside its group by ``md5('<seed>:<key>')``."""
-    n = _max_group_size(df, group_cols)
+                out: str = "rank", bucket_rows: int = BUCKET_ROWS, max_group: int | None = None) -> DataFrame:
+    """0-based rank of each row inside its group by ``md5('<seed>:<key>')``.
+
+    ``max_group`` (the largest group's size, when already known) saves a counting job.
+    """
+    n = max_group if max_group is not None else _max_group_size(df, group_cols)
     # 16**digits >= n / bucket_rows: buckets hold about bucket_rows rows or fewer
     digits = max(1, min(12, math.ceil(math.log(max(n / bucket_rows, 1.0), 16))))
     d = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
@@ -138,7 +141,7 @@ def holdout_split(df: DataFrame, label_col: str = "label", key: str = "pos",
     tc = stratified_test_counts(counts, test_size)
     spark = df.sparkSession
     quota = spark.createDataFrame([(k, v) for k, v in tc.items()], f"{label_col} int, _q long")
-    ranked = seeded_rank(df, key, seed, (label_col,), out="_r")
+    ranked = seeded_rank(df, key, seed, (label_col,), out="_r", max_group=max(counts.values()))
     return (ranked.join(F.broadcast(quota), label_col)
             .withColumn("split", F.when(F.col("_r") < F.col("_q"), "test").otherwise("train"))
             .drop("_r", "_q"))
