@@ -25,7 +25,7 @@ PRED_COLS = ("model", "fold", "pos", "y_true", "y_pred", "y_score")
 LR_MAX_ITER = 2000
 LR_C = 1.0
 LINEAR_TOL = 1e-4
-PARALLELISM = 4
+PARALLELISM = 8
 RF_TREES = 100
 SVC_C = 1.0
 SVC_MAX_ITER = 5000
