@@ -43,3 +43,20 @@ def op1_line_dedup(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, threshold=10).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op8_jaccard_join", f"""
+with recursive d as (select doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+      else list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)]) end as g from d),
+t as (select doc_id, len(g) as n, unnest(g) as tok from s),
+c as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k
+      from t a join t b on a.tok = b.tok and a.doc_id <> b.doc_id and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n group by 1, 2),
+l as (select x, y from c where 100 * k >= 85 * (na + nb - k)),
+r as (select doc_id as node, doc_id as root from s union select l.y, r.root from r join l on l.x = r.node)
+select s.doc_id, len(g) as n_shingles, min(r.root) as component_id from s join r on r.node = s.doc_id group by s.doc_id, len(g)""")
+def op8_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_components
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs, width=4, percent=85).select("doc_id", "n_shingles", "component_id")
