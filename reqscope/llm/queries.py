@@ -60,3 +60,30 @@ def op8_jaccard_join(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+#: {documents}: the table to mix.
+MIX_SQL = """
+with d as (select row_number() over () as rid, doc_id, source,
+  cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from {documents}),
+s as (select source, cast(sum(size) as bigint) as ss, (row_number() over (order by source nulls last) - 1) % 3 + 1 as wt from d group by source),
+r as (select *, 3.0 * ss / wt as rho, row_number() over (order by 3.0 * ss / wt, source nulls last) as k from s),
+c as (select *, coalesce(sum(3 * ss) over (order by k rows between unbounded preceding and 1 preceding), 0) as caps,
+        sum(wt) over (order by k rows between current row and unbounded following) as wleft, sum(ss) over () as total from r),
+lv as (select min_by((total - caps) / wleft, k) as lam from c where (total - caps) / wleft <= rho),
+t as (select source, ss, case when (select lam from lv) > rho then cast(3 * ss as double) else cast((select lam from lv) * wt as double) end as target from r),
+f as (select source, ss, target, cast(floor(target) as bigint) as f from t),
+o as (select d.*, f.ss, f.target, case when ss > 0 then f // ss else 0 end as passes, case when ss > 0 then f % ss else 0 end as rest,
+  coalesce(sum(size) over (partition by d.source order by md5(concat('0:', coalesce(cast(doc_id as varchar), 'null'))), size
+           rows between unbounded preceding and 1 preceding), 0) as before
+  from d join f on d.source is not distinct from f.source)
+select doc_id, size, cast(ss as bigint) as source_size, target,
+  cast(passes * size + greatest(0, least(size, rest - before)) as bigint) as taken from o"""
+
+
+@query("op9_mixing", MIX_SQL.replace("{documents}", "documents"))
+def op9_mixing(spark, sf_dir):
+    from .mixing import mix_by_source
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_by_source(docs).select("doc_id", "size", "source_size", "target", "taken")
