@@ -87,3 +87,22 @@ def op9_mixing(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_by_source(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_decontamination", f"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+i as (select row_number() over () as iid, item_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from benchmark),
+ds as (select rid, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_distinct([array_to_string(w[k:k+4], ' ') for k in range(1, len(w) - 3)]) end as g from d),
+s as (select iid, item_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_distinct([array_to_string(w[k:k+4], ' ') for k in range(1, len(w) - 3)]) end as g from i),
+a as (select rid, doc_id, unnest(g) as tok from ds),
+b as (select iid, item_id, len(g) as n, unnest(g) as tok from s)
+select any_value(doc_id) as doc_id, any_value(item_id) as item_id, any_value(n) as n_shingles, count(*) as n_found,
+  count(*) / any_value(n) as containment
+from a join b on a.tok = b.tok group by rid, iid having 100 * count(*) >= 80 * any_value(n)""")
+def op2_decontamination(spark, sf_dir):
+    from .decontaminate import find_contained
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_contained(docs, table(spark, sf_dir, "benchmark"), width=5, percent=80)
