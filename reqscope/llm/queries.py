@@ -106,3 +106,13 @@ def op2_decontamination(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_contained(docs, table(spark, sf_dir, "benchmark"), width=5, percent=80)
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    from .language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, F.col("lang"), ~held_out(F.col("doc_id")))
+    return identify(docs.select("doc_id", "text"), model, carry_text=False).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
