@@ -136,3 +136,18 @@ def op5_chat_formatting(spark, sf_dir):
     convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(convs.unionByName(extra)))
+
+
+@query("op7_topk_search", """
+with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as double)) as e
+  from embeddings where vec_id is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+p as (select q.rid, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.rid <> c.rid where q.vec_id % 20 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from p) where rank <= 20""")
+def op7_topk_search(spark, sf_dir):
+    from .topk_search import top_k, whole_vectors
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(whole_vectors(rows, F.col("embedding"), F.col("vec_id")), F.col("vec_id") % 20 == 0, k=20)
