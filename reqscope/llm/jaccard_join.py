@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     inside = scratch(classes.join(groups, classes.h1 == groups.node).select("cid", F.col("root").alias("grp"), "h2"), "grouped")
     counts = inside.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
     inside = inside.join(counts, "grp").select("cid", "grp", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    sets = scratch(texts.join(inside, texts["_rid"] == inside["cid"]).select("cid", "grp", "blocks", "_text")
+    sets = scratch(texts.join(inside.hint("merge"), texts["_rid"] == inside["cid"]).select("cid", "grp", "blocks", "_text")
                    .mapInArrow(_tokens(width), "cid long, grp long, blocks int, tokens binary").dropDuplicates(["cid"])
                    .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "tokens")
 
