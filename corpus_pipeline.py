@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_by_source(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix_by_source(docs.select("doc_id", "source", "text"), carry_text=False).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join),

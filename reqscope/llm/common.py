@@ -46,12 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def pack(docs: DataFrame, **own: Column) -> DataFrame:
-    """One struct column ``_row`` with all input columns, and own columns beside it.
+def pack(docs: DataFrame, columns: list[str] | None = None, **own: Column) -> DataFrame:
+    """One struct column ``_row`` with the input columns (or some), and own columns beside it.
 
     Whatever the input's columns are called, they cannot clash with the operator's."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
-                       *[c.alias(k) for k, c in own.items()])
+    row = [docs[f"`{c}`"] for c in (docs.columns if columns is None else columns)]
+    return docs.select(F.struct(F.lit(0).alias("_"), *row).alias("_row"), *[c.alias(k) for k, c in own.items()])
 
 
 def unpack(df: DataFrame, columns: list[str], replace: dict[str, Column] | None = None,

@@ -114,8 +114,7 @@ def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, percent: i
     """For each document and each item it contains at ``percent`` or more: the document's
     columns (without its text), item_id, n_shingles of the item, n_found and containment."""
     columns = [c for c in docs.columns if c != text_col]
-    packed = pack(docs.select(*[docs[f"`{c}`"] for c in docs.columns]), _text=text_of(docs, text_col))
-    packed = packed.withColumn("_row", F.struct(F.lit(0).alias("_"), *[F.col("_row").getField(c).alias(c) for c in columns]))
+    packed = pack(docs, columns, _text=text_of(docs, text_col))
     row = packed.schema["_row"].dataType.simpleString()
     schema = f"_row {row}, item_id long, n_shingles long, n_found long"
     out = docs.sparkSession.createDataFrame([], schema)

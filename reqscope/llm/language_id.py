@@ -207,9 +207,7 @@ def _predict(model):
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred and score; prediction reads the text alone."""
     columns = docs.columns if carry_text else [c for c in docs.columns if c != text_col]
-    packed = pack(docs, _text=text_of(docs, text_col))
-    if not carry_text:
-        packed = packed.withColumn("_row", F.struct(F.lit(0).alias("_"), *[F.col("_row").getField(c).alias(c) for c in columns]))
+    packed = pack(docs, columns, _text=text_of(docs, text_col))
     row = packed.schema["_row"].dataType.simpleString()
     out = packed.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"_row {row}, lang_pred string, score double")
     return unpack(out, columns, add={"lang_pred": F.col("lang_pred"), "score": F.col("score")})

@@ -139,7 +139,7 @@ def min_cost_flow(patterns: dict, quotas: dict, most: int) -> dict:
 
 
 def mix(docs: DataFrame, sources, weights=(1, 2, 3), max_repeats: int = 3, seed: int = 0,
-        id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        id_col: str = "doc_id", text_col: str = "text", carry_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents with size and taken, table of sources).
 
     ``sources``: column with the array of sources of a document; ``weights`` are dealt to the
@@ -148,7 +148,8 @@ def mix(docs: DataFrame, sources, weights=(1, 2, 3), max_repeats: int = 3, seed:
     the number of distinct source combinations, not with the documents."""
     spark = docs.sparkSession
     names = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
-    packed = pack(docs, _p=F.to_json(names), _k=F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[f"`{id_col}`"].cast("string"), F.lit("null")))),
+    columns = docs.columns if carry_text else [c for c in docs.columns if c != text_col]
+    packed = pack(docs, columns, _p=F.to_json(names), _k=F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[f"`{id_col}`"].cast("string"), F.lit("null")))),
                   _text=text_of(docs, text_col))
     row = packed.schema["_row"].dataType.simpleString()
     sized = scratch(packed.mapInArrow(_sizes, f"_row {row}, _p string, _k string, _size long"), "sizes")
@@ -183,15 +184,15 @@ def mix(docs: DataFrame, sources, weights=(1, 2, 3), max_repeats: int = 3, seed:
         F.col("_size"), F.col("rest") - F.col("before") - F.coalesce(F.sum("_size").over(w), F.lit(0)))))
     plain = dealt.where(~at_cut).withColumn("extra", F.when(F.col("_b") < F.col("cut_b"), F.col("_size")).otherwise(0))
     done = plain.unionByName(ranked)
-    out = unpack(done, docs.columns, add={"size": F.col("_size"), "taken": (F.col("passes") * F.col("_size") + F.col("extra")).cast("long")})
+    out = unpack(done, columns, add={"size": F.col("_size"), "taken": (F.col("passes") * F.col("_size") + F.col("extra")).cast("long")})
     table = spark.createDataFrame([(s, total[s], weight[s], float(target[s])) for s in order],
                                   "source string, source_size long, weight int, target double")
     return out, table
 
 
-def mix_by_source(docs: DataFrame, source_col: str = "source", seed: int = 0) -> DataFrame:
+def mix_by_source(docs: DataFrame, source_col: str = "source", seed: int = 0, carry_text: bool = True) -> DataFrame:
     """One source per document: the documents with size, source_size, target and taken."""
-    out, table = mix(docs, F.array(docs[f"`{source_col}`"].cast("string")), seed=seed)
+    out, table = mix(docs, F.array(docs[f"`{source_col}`"].cast("string")), seed=seed, carry_text=carry_text)
     columns = [c for c in out.columns if c not in ("source_size", "target")]
     table = F.broadcast(table.select(F.col("source").alias("_source"), "source_size", "target"))  # one row per source
     return out.select(*[f"`{c}`" for c in columns]).join(table, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_source")), "left").drop("_source")

@@ -86,7 +86,7 @@ def op9_mixing(spark, sf_dir):
     from .mixing import mix_by_source
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_by_source(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_by_source(docs, carry_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op2_decontamination", f"""
