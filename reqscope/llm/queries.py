@@ -151,3 +151,17 @@ def op7_topk_search(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(whole_vectors(rows, F.col("embedding"), F.col("vec_id")), F.col("vec_id") % 20 == 0, k=20)
+
+
+def _is_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+@query("op6_pii")
+def op6_pii(spark, sf_dir):
+    from .pii import find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), carry_text=False)
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
