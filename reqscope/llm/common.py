@@ -51,7 +51,12 @@ def pack(docs: DataFrame, columns: list[str] | None = None, **own: Column) -> Da
 
     Whatever the input's columns are called, they cannot clash with the operator's."""
     row = [docs[f"`{c}`"] for c in (docs.columns if columns is None else columns)]
-    return docs.select(F.struct(F.lit(0).alias("_"), *row).alias("_row"), *[c.alias(k) for k, c in own.items()])
+    return docs.select(F.struct(F.lit(None).cast("int").alias("_"), *row).alias("_row"), *[c.alias(k) for k, c in own.items()])
+
+
+def without(docs: DataFrame, column: str) -> list[str]:
+    """The input's columns but one: a text that a stage reads goes beside ``_row``, not twice."""
+    return [c for c in docs.columns if c != column]
 
 
 def unpack(df: DataFrame, columns: list[str], replace: dict[str, Column] | None = None,

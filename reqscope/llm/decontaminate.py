@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, scratch, seeded, text_of, unpack
+from .common import pack, scratch, seeded, text_of, unpack, without
 from .jaccard_join import sets_of
 
 BLOCK_SHINGLES = 1 << 20
@@ -113,7 +113,7 @@ def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, percent: i
                    item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """For each document and each item it contains at ``percent`` or more: the document's
     columns (without its text), item_id, n_shingles of the item, n_found and containment."""
-    columns = [c for c in docs.columns if c != text_col]
+    columns = without(docs, text_col)
     packed = pack(docs, columns, _text=text_of(docs, text_col))
     row = packed.schema["_row"].dataType.simpleString()
     schema = f"_row {row}, item_id long, n_shingles long, n_found long"
@@ -127,8 +127,8 @@ def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, percent: i
 def drop_contained(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text",
                    item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that contain no item; all columns pass through."""
-    packed = pack(docs, _text=text_of(docs, text_col))
+    packed = pack(docs, without(docs, text_col), _text=docs[f"`{text_col}`"].cast("string"))
     schema = packed.schema
     for index in item_blocks(items, width, percent, item_id, item_text):
         packed = packed.mapInArrow(_probe(docs.sparkSession.sparkContext.broadcast(index), width, False), schema)
-    return unpack(packed, docs.columns)
+    return unpack(packed, docs.columns, {text_col: F.col("_text")})

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, slices, text_of, unpack
+from .common import pack, slices, text_of, unpack, without
 
 DIMENSIONS = 1024
 N = 3
@@ -86,7 +86,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, n-gram, count), rows in order; an n-gram packs 21 bits per symbol, 0 is the boundary."""
     symbols, owner = [], []
     for k, t in enumerate(texts):
-        code = np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        code = np.frombuffer((t or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         code = np.where(letter_table()[code], code, 0) if len(code) else code
         if not code.any():
             continue
@@ -192,25 +192,26 @@ def train(docs: DataFrame, lang: Column, use: Column, text_col: str = "text") ->
     return LanguageModel([r["lang"] for r in sums], np.array([[e["x"] for e in r["v"]] for r in sums], np.float64).reshape(len(sums), -1))
 
 
-def _predict(model):
+def _predict(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             text = b.column("_text")
             for lo, hi, _, _ in slices(text):
                 pred, score = m.predict(text.slice(lo, hi - lo).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("_row").slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(score)],
-                                                 ["_row", "lang_pred", "score"])
+                kept = [b.column(c).slice(lo, hi - lo) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
     return run
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred and score; prediction reads the text alone."""
-    columns = docs.columns if carry_text else [c for c in docs.columns if c != text_col]
-    packed = pack(docs, columns, _text=text_of(docs, text_col))
-    row = packed.schema["_row"].dataType.simpleString()
-    out = packed.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"_row {row}, lang_pred string, score double")
-    return unpack(out, columns, add={"lang_pred": F.col("lang_pred"), "score": F.col("score")})
+    packed = pack(docs, without(docs, text_col), _text=docs[f"`{text_col}`"].cast("string"))
+    row = f"_row {packed.schema['_row'].dataType.simpleString()}" + ", _text string" * carry_text
+    names = ["_row", "_text"] if carry_text else ["_row"]
+    out = packed.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), names), f"{row}, lang_pred string, score double")
+    columns = docs.columns if carry_text else without(docs, text_col)
+    return unpack(out, columns, {text_col: F.col("_text")} if carry_text else None, {"lang_pred": F.col("lang_pred"), "score": F.col("score")})
 
 
 def held_out(doc_id: Column) -> Column:

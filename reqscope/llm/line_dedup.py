@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import default_parts, mix64, pack, scratch, text_of, unpack
+from .common import default_parts, mix64, pack, scratch, text_of, unpack, without
 
 #: Characters stripped at both ends of a line key: space and U+0009 to U+000D.
 STRIP = b" \t\n\x0b\x0c\r"
@@ -245,7 +245,7 @@ class LineIndex:
         Adds n_lines and n_dropped (long)."""
         chunks = chunks or default_parts(docs.sparkSession, 2)
         text = text_of(docs, self.text_col)
-        packed = pack(docs, _text=text, _chunk=F.pmod(F.xxhash64(text, *[docs[f"`{c}`"] for c in docs.columns if c == "doc_id"]), F.lit(chunks)).cast("int"))
+        packed = pack(docs, without(docs, self.text_col), _text=text, _chunk=F.pmod(F.xxhash64(text, *[docs[f"`{c}`"] for c in docs.columns if c == "doc_id"]), F.lit(chunks)).cast("int"))
         asked = packed.select("_text", "_chunk").mapInArrow(_count_lines(self.shards, True), "shard int, hi long, lo long, chunk int")
         frequent = self.frequent_in(asked.dropDuplicates(["shard", "hi", "lo", "chunk"]))
         row_type = packed.schema["_row"].dataType.simpleString()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, pack, scratch, slices, text_of, unpack
+from .common import SPACE, pack, scratch, slices, unpack, without
 
 BUCKET_DIGITS = 3
 
@@ -48,10 +48,12 @@ def count_words(column: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = [c for c in b.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(count_words(b.column("_text")))], [*keep, "_size"])
+def _sizes(carry_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [c for c in b.schema.names if carry_text or c != "_text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(count_words(b.column("_text")))], [*keep, "_size"])
+    return run
 
 
 def water_fill(sizes: dict, weights: dict, most: int) -> dict:
@@ -148,11 +150,11 @@ def mix(docs: DataFrame, sources, weights=(1, 2, 3), max_repeats: int = 3, seed:
     the number of distinct source combinations, not with the documents."""
     spark = docs.sparkSession
     names = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
-    columns = docs.columns if carry_text else [c for c in docs.columns if c != text_col]
-    packed = pack(docs, columns, _p=F.to_json(names), _k=F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[f"`{id_col}`"].cast("string"), F.lit("null")))),
-                  _text=text_of(docs, text_col))
+    packed = pack(docs, without(docs, text_col), _p=F.to_json(names), _k=F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[f"`{id_col}`"].cast("string"), F.lit("null")))),
+                  _text=docs[f"`{text_col}`"].cast("string"))
     row = packed.schema["_row"].dataType.simpleString()
-    sized = scratch(packed.mapInArrow(_sizes, f"_row {row}, _p string, _k string, _size long"), "sizes")
+    kept = "_text string, " if carry_text else ""
+    sized = scratch(packed.mapInArrow(_sizes(carry_text), f"_row {row}, _p string, _k string, {kept}_size long"), "sizes")
     buckets = sized.groupBy("_p", F.substring("_k", 1, BUCKET_DIGITS).alias("_b")).agg(F.sum("_size").alias("words"))
     buckets = scratch(buckets, "buckets")
 
@@ -184,7 +186,8 @@ def mix(docs: DataFrame, sources, weights=(1, 2, 3), max_repeats: int = 3, seed:
         F.col("_size"), F.col("rest") - F.col("before") - F.coalesce(F.sum("_size").over(w), F.lit(0)))))
     plain = dealt.where(~at_cut).withColumn("extra", F.when(F.col("_b") < F.col("cut_b"), F.col("_size")).otherwise(0))
     done = plain.unionByName(ranked)
-    out = unpack(done, columns, add={"size": F.col("_size"), "taken": (F.col("passes") * F.col("_size") + F.col("extra")).cast("long")})
+    columns = docs.columns if carry_text else without(docs, text_col)
+    out = unpack(done, columns, {text_col: F.col("_text")} if carry_text else None, {"size": F.col("_size"), "taken": (F.col("passes") * F.col("_size") + F.col("extra")).cast("long")})
     table = spark.createDataFrame([(s, total[s], weight[s], float(target[s])) for s in order],
                                   "source string, source_size long, weight int, target double")
     return out, table

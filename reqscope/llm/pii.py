@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, scratch, text_of, unpack
+from .common import pack, scratch, text_of, unpack, without
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SAMPLE = 20_000
@@ -267,7 +267,7 @@ def _select(model):
 def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry_text: bool = True) -> DataFrame:
     """``docs`` with base and spans: arrays of (kind, start, end), ordered by start and kind."""
     spark = docs.sparkSession
-    columns = docs.columns if carry_text else [c for c in docs.columns if c != text_col]
+    columns = docs.columns if carry_text else without(docs, text_col)
     packed = pack(docs, columns, _text=text_of(docs, text_col))
     row = packed.schema["_row"].dataType.simpleString()
     found = scratch(packed.mapInArrow(_propose, f"_row {row}, base {_SPAN_TYPE}, proposed {_CANDIDATE_TYPE}"), "spans")
