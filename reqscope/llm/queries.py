@@ -165,3 +165,11 @@ def op6_pii(spark, sf_dir):
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op3_suffix_array_dedup")
+def op3_suffix_array_dedup(spark, sf_dir):
+    from .substring_dedup import dedup_substrings
+
+    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
