@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from reqscope.session import ensure_checkpoint_dir
 
 #: Text bytes worked on at a time inside a task; bounds the size of the numpy arrays.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of an Arrow batch: texts are long, and a task holds a batch in the JVM and in Python.
+BATCH_ROWS = 1000
 #: Bytes of [\x20\x09-\x0D], the separators of words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -30,6 +32,13 @@ def default_parts(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * factor
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch to BATCH_ROWS rows unless the user has set its size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
@@ -50,6 +59,7 @@ def pack(docs: DataFrame, columns: list[str] | None = None, **own: Column) -> Da
     """One struct column ``_row`` with the input columns (or some), and own columns beside it.
 
     Whatever the input's columns are called, they cannot clash with the operator's."""
+    small_batches(docs.sparkSession)
     row = [docs[f"`{c}`"] for c in (docs.columns if columns is None else columns)]
     return docs.select(F.struct(F.lit(None).cast("int").alias("_"), *row).alias("_row"), *[c.alias(k) for k, c in own.items()])
 
@@ -71,6 +81,7 @@ def unpack(df: DataFrame, columns: list[str], replace: dict[str, Column] | None
 
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text, null as empty."""
+    small_batches(docs.sparkSession)
     return F.coalesce(docs[f"`{column}`"].cast("string"), F.lit(""))
 
 

@@ -173,3 +173,10 @@ def op3_suffix_array_dedup(spark, sf_dir):
 
     found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, sf_dir):
+    from .passage_dedup import near_passages
+
+    return near_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), words=50, shingle=5, percent=80)

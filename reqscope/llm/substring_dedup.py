@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import default_parts, mix64, scratch, slices
+from .common import default_parts, mix64, scratch, slices, small_batches
 
 GRAM = 16
 PIECE = 1 << 20
@@ -396,6 +396,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50, id_col: str = "doc_id", t
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
     parts = default_parts(docs.sparkSession)
+    small_batches(docs.sparkSession)
     texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("_id"), docs[f"`{text_col}`"].cast("string").alias("_text"))
     pieces = scratch(texts.mapInArrow(_pieces, PIECES), "pieces")
     answers = scratch(pieces.mapInArrow(_anchors(width, parts), "shard int, piece long, anchors binary")
