@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import weighted_prefix
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -44,16 +45,17 @@ def _square(spark, cols, values: dict) -> DataFrame:
 
 
 def pearson(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Every pair in one aggregation; a constant column has no correlation (NULL)."""
     cols = list(cols or numeric_columns(df))
     exprs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            exprs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}"))
+            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            both = x.isNotNull() & y.isNotNull()
+            spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+            exprs.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"{a}__{b}"))
     row = df.agg(*exprs).first()
-    vals = {}
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            vals[(a, b)] = row[f"{a}__{b}"]
+    vals = {(a, b): row[f"{a}__{b}"] for i, a in enumerate(cols) for b in cols[i:]}
     return _square(df.sparkSession, cols, vals)
 
 
@@ -65,74 +67,65 @@ def spearman(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="keep").transform(
         df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     m = Correlation.corr(vec, "_v", "spearman").first()[0].toArray()
-    vals = {(a, b): float(m[i][j]) for i, a in enumerate(cols) for j, b in enumerate(cols)}
+    ends = df.agg(*[F.min(F.col(c).cast("double")).alias(f"{c}__lo") for c in cols],
+                  *[F.max(F.col(c).cast("double")).alias(f"{c}__hi") for c in cols]).first()
+    constant = {c for c in cols if ends[f"{c}__lo"] == ends[f"{c}__hi"]}
+    vals = {(a, b): float("nan") if {a, b} & constant else float(m[i][j]) for i, a in enumerate(cols) for j, b in enumerate(cols)}
     return _square(df.sparkSession, cols, vals)
 
 
-def _dense_rank(d: DataFrame, col: str, out: str) -> DataFrame:
-    dv = d.groupBy(col).agg(F.lit(1).alias("_one"))
-    ranked = weighted_prefix(dv, [], col, ["_one"])
-    return d.join(ranked.select(col, (F.col("cum__one") - 1).alias(out)), col)
-
-
-def kendall_tau_b(df: DataFrame, x: str, y: str, branching: int = 16) -> float:
-    """Exact Kendall tau-b (scipy / pandas semantics), NaN when undefined."""
-    pts = (df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-           .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-           .groupBy("x", "y").agg(F.count("*").alias("w")))
-    pts = _dense_rank(pts, "x", "rx").cache()
-    tot = pts.agg(F.sum("w").alias("n"), F.max("rx").alias("kx")).first()
-    n = int(tot["n"] or 0)
-    if n < 2:
-        return float("nan")
-    kx = int(tot["kx"]) + 1
+def kendall(df: DataFrame, cols: Sequence[str] | None = None, branching: int = 16) -> DataFrame:
+    """Exact Kendall tau-b (scipy / pandas semantics, NULL when undefined) of all pairs at once:
+    every table below is keyed by the pair ``p``."""
+    cols = list(cols or numeric_columns(df))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    val = [F.col(c).cast("double") for c in cols]
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("p"), val[i].alias("x"), val[j].alias("y"))
+                                         for k, (i, j) in enumerate(pairs)])).alias("_r")).select("_r.*")
+    pts = (rows.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+           .groupBy("p", "x", "y").agg(F.count("*").alias("w")))
+    rank = weighted_prefix(pts.select("p", "x").distinct().withColumn("_one", F.lit(1).cast("long")), ["p"], "x", ["_one"])
+    pts = cut_lineage(pts.join(rank.select("p", "x", (F.col("cum__one") - 1).alias("rx")), ["p", "x"]))
+    kx = int(pts.agg(F.max("rx")).first()[0] or 0) + 1
     # N(x < x_p) and N(x < x_p, y = y_p), both exclusive prefix sums
-    px = weighted_prefix(pts.groupBy("rx").agg(F.sum("w").alias("wx")), [], "rx", ["wx"])
-    pxy = weighted_prefix(pts.select("y", "rx", "w"), ["y"], "rx", ["w"])
-    base = (pts.join(px.select("rx", (F.col("cum_wx") - F.col("wx")).alias("n_lt_x")), "rx")
-            .join(pxy.select("y", "rx", (F.col("cum_w") - F.col("w")).alias("n_lt_x_eq_y")), ["y", "rx"]))
-    parts = [base.select((F.col("w") * (F.col("n_lt_x_eq_y") - F.col("n_lt_x"))).alias("_c"))]
-    # + 2 * sum_p w_p * N(x < x_p, y < y_p): one term per block-tree level, summed in one job
+    px = weighted_prefix(pts.groupBy("p", "rx").agg(F.sum("w").alias("wx")), ["p"], "rx", ["wx"])
+    pxy = weighted_prefix(pts.select("p", "y", "rx", "w"), ["p", "y"], "rx", ["w"])
+    base = (pts.join(px.select("p", "rx", (F.col("cum_wx") - F.col("wx")).alias("n_lt_x")), ["p", "rx"])
+            .join(pxy.select("p", "y", "rx", (F.col("cum_w") - F.col("w")).alias("n_lt_x_eq_y")), ["p", "y", "rx"]))
+    allc = base.select("p", (F.col("w") * (F.col("n_lt_x_eq_y") - F.col("n_lt_x"))).alias("_c"))
+    # + 2 * sum_p w_p * N(x < x_p, y < y_p): one term per block-tree level
     levels = max(1, math.ceil(math.log(kx, branching))) if kx > 1 else 0
     b = branching
     for lvl in range(levels):
-        size = b ** lvl
-        lv = pts.select("y", "w", F.floor(F.col("rx") / size).cast("long").alias("_blk"))
-        lv = lv.select("y", "w", F.floor(F.col("_blk") / b).alias("parent"),
+        lv = pts.select("p", "y", "w", F.floor(F.col("rx") / b ** lvl).cast("long").alias("_blk"))
+        lv = lv.select("p", "y", "w", F.floor(F.col("_blk") / b).alias("parent"),
                        F.pmod(F.col("_blk"), F.lit(b)).cast("int").alias("child"))
-        wcols = [f"w{k}" for k in range(b)]
-        per_y = lv.groupBy("parent", "y").agg(
+        per_y = lv.groupBy("p", "parent", "y").agg(
             *[F.sum(F.when(F.col("child") == k, F.col("w")).otherwise(0)).alias(f"w{k}") for k in range(b)])
-        cum = weighted_prefix(per_y, ["parent"], "y", wcols)
+        cum = weighted_prefix(per_y, ["p", "parent"], "y", [f"w{k}" for k in range(b)])
         # strictly lower y in earlier siblings: inclusive cum minus this y's own weights
-        below = [F.col(f"cum_w{k}") - F.col(f"w{k}") for k in range(b)]
-        lookup = cum.select("parent", "y", F.array(*below).alias("_below"))
-        contrib = lv.join(lookup, ["parent", "y"]).select(
-            (F.col("w") * F.aggregate(F.slice("_below", 1, F.greatest(F.col("child"), F.lit(1))),
-                                      F.lit(0).cast("long"), lambda a, v: a + v)
-             * (F.col("child") > 0).cast("long")).alias("_c"))
-        parts.append(contrib.select((2 * F.col("_c")).alias("_c")))
-    allc = parts[0]
-    for p_ in parts[1:]:
-        allc = allc.unionByName(p_)
-    s = allc.agg(F.sum("_c")).first()[0] or 0
-    n0 = n * (n - 1) / 2
-    ties_x = pts.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
-    ties_y = pts.groupBy("y").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
-    pts.unpersist()
-    denom = math.sqrt((n0 - (ties_x or 0)) * (n0 - (ties_y or 0)))
-    return float(s / denom) if denom > 0 else float("nan")
-
-
-def kendall(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    cols = list(cols or numeric_columns(df))
+        lookup = cum.select("p", "parent", "y", F.array(*[F.col(f"cum_w{k}") - F.col(f"w{k}") for k in range(b)]).alias("_below"))
+        below = F.aggregate(F.slice("_below", 1, F.greatest(F.col("child"), F.lit(1))), F.lit(0).cast("long"), lambda a, v: a + v)
+        allc = allc.unionByName(lv.join(lookup, ["p", "parent", "y"]).select(
+            "p", (2 * F.col("w") * below * (F.col("child") > 0).cast("long")).alias("_c")))
+    half = F.col("t") * (F.col("t") - 1) / 2
+    ties = lambda c: pts.groupBy("p", c).agg(F.sum("w").alias("t")).groupBy("p").agg(F.sum(half).alias(f"t{c}"), F.sum("t").alias(f"n{c}"))
+    got = (allc.groupBy("p").agg(F.sum("_c").alias("s")).join(ties("x"), "p").join(ties("y").drop("ny"), "p")).collect()  # one row per pair
     vals = {}
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            vals[(a, b)] = kendall_tau_b(df, a, b)
+    for r in got:
+        n0 = r.nx * (r.nx - 1) / 2
+        denom = math.sqrt(max(0.0, (n0 - r.tx) * (n0 - r.ty)))
+        i, j = pairs[r.p]
+        vals[(cols[i], cols[j])] = float(r.s / denom) if denom > 0 else float("nan")
     return _square(df.sparkSession, cols, vals)
 
 
+def kendall_tau_b(df: DataFrame, x: str, y: str) -> float:
+    """Tau-b of one pair, NaN when undefined."""
+    r = kendall(df.select(F.col(x).alias("x"), F.col(y).alias("y")), ["x", "y"]).where("x = 'x' and y = 'y'").first()["r"]
+    return float("nan") if r is None else r
+
+
 def correlation(df: DataFrame, cols: Sequence[str] | None = None, method: str = "spearman") -> DataFrame:
     """(x, y, r) for every ordered pair of numeric columns."""
     _check(method)

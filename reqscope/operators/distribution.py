@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import join_keys
+
 BINS = 30
 GRID = 200
 CUT = 3.0
@@ -52,11 +54,11 @@ def histogram(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), bin
         F.when(F.col("_mx") > F.col("_mn"), F.col("_mn")).otherwise(F.col("_mn") - 0.5).alias("_lo"),
         F.when(F.col("_mx") > F.col("_mn"), F.col("_mx")).otherwise(F.col("_mx") + 0.5).alias("_hi"))
     ranges = ranges.withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
-    joined = data.join(F.broadcast(ranges), g)  # one row per group (hash join on the group key)
+    joined = join_keys(data, ranges, g)
     counts = (joined.withColumn("bin", _bin_index(F.col("_v"), F.col("_lo"), F.col("_step"), bins))
               .groupBy(*g, "bin").agg(F.count("*").alias("n")))
     grid = ranges.select(*g, "_N", "_lo", "_step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = grid.join(counts, [*g, "bin"], "left").fillna(0, ["n"])
+    out = join_keys(grid, counts, [*g, "bin"], "left").fillna(0, ["n"])
     keep = [] if no_group else g
     return out.select(
         *keep, "bin", (F.col("_lo") + F.col("bin") * F.col("_step")).alias("lo"),
@@ -83,7 +85,7 @@ def kde(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), grid: int
     stats = stats.withColumn("_g0", F.col("_mn") - cut * F.col("_bw")).withColumn(
         "_gs", (F.col("_mx") + cut * F.col("_bw") - F.col("_g0")) / (grid - 1))
     distinct = data.groupBy(*g, "_v").agg(F.count("*").alias("_w"))
-    j = distinct.join(F.broadcast(stats), g)  # one row per group
+    j = join_keys(distinct, stats, g)
     inv = 1.0 / math.sqrt(2.0 * math.pi)
     idx = F.sequence(F.lit(0), F.lit(grid - 1))
     # one array of kernel weights per distinct value, exploded and summed per grid point

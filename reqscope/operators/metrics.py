@@ -8,13 +8,12 @@ aggregation.  The positive class is the anomaly (label 1) unless
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import weighted_prefix
+from .ordered import join_keys, weighted_prefix
 
 # Fixed values that must equal the reference: metric names and order.
 THRESHOLD_METRICS = ("accuracy", "precision", "recall", "f1", "fbeta", "mcc")
@@ -61,18 +60,38 @@ def _score_groups(preds: DataFrame, keys: Sequence[str], positive_label: int) ->
                                                F.sum(1 - pos).alias("fp_inc"))
 
 
-def roc_auc(preds: DataFrame, keys: Sequence[str] = (), positive_label: int = 1) -> DataFrame:
-    """Trapezoidal ROC-AUC per key; NaN when only one class is present.
-
-    Score-grouped running sums (ties share one trapezoid), two-level prefix.
-    """
+def roc_curve(preds: DataFrame, keys: Sequence[str] = (), positive_label: int = 1) -> DataFrame:
+    """Score groups in falling order: (keys, y_score, tp_inc, fp_inc, running sums, next group,
+    class totals ``_P`` and ``_N``).  Everything about a ROC derives from this one pass."""
     g = _score_groups(preds, keys, positive_label)
-    c = weighted_prefix(g, keys, "y_score", ["tp_inc", "fp_inc"], descending=True)
-    grp = c.groupBy(*keys) if keys else c.groupBy()
-    agg = grp.agg(F.sum(F.col("fp_inc") * (F.col("cum_tp_inc") - F.col("tp_inc") / 2.0)).alias("_a"),
-                  F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N"))
-    return agg.select(*keys, F.when(F.col("_P") * F.col("_N") > 0, F.col("_a") / (F.col("_P") * F.col("_N")))
-                      .otherwise(F.lit(float("nan"))).alias("roc_auc"))
+    c = weighted_prefix(g, keys, "y_score", ["tp_inc", "fp_inc"], descending=True, lead_cols=["tp_inc", "fp_inc"])
+    totals = c.groupBy(*keys).agg(F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N"))
+    if keys:
+        return join_keys(c, totals, keys)
+    return join_keys(c.withColumn("_all", F.lit(0)), totals.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
+
+
+def _rate(num: Column, den: Column) -> Column:
+    """NaN when the class is absent (as the ROC of one class)."""
+    return F.when(den > 0, num / den).otherwise(F.lit(float("nan")))
+
+
+def roc_summary(curve: DataFrame, keys: Sequence[str] = (), targets: dict | None = None) -> DataFrame:
+    """A20/A21 from one curve: roc_auc (NaN when only one class is present) and the smallest
+    FPR at each target TPR (1.0 when never reached)."""
+    targets = TPR_TARGETS if targets is None else targets
+    fpr, tpr = _rate(F.col("cum_fp_inc"), F.col("_N")), _rate(F.col("cum_tp_inc"), F.col("_P"))
+    agg = curve.groupBy(*keys).agg(
+        F.sum(F.col("fp_inc") * (F.col("cum_tp_inc") - F.col("tp_inc") / 2.0)).alias("_a"),
+        F.sum("tp_inc").alias("_p"), F.sum("fp_inc").alias("_n"),
+        *[F.coalesce(F.min(F.when(tpr >= t, fpr)), F.lit(1.0)).alias(name) for name, t in targets.items()])
+    return agg.select(*keys, F.when(F.col("_p") * F.col("_n") > 0, F.try_divide(F.col("_a"), F.col("_p") * F.col("_n")))
+                      .otherwise(F.lit(float("nan"))).alias("roc_auc"), *targets)
+
+
+def roc_auc(preds: DataFrame, keys: Sequence[str] = (), positive_label: int = 1) -> DataFrame:
+    """Trapezoidal ROC-AUC per key; ties of the score share one trapezoid."""
+    return roc_summary(roc_curve(preds, keys, positive_label), keys, {})
 
 
 def roc_points(preds: DataFrame, keys: Sequence[str] = (), positive_label: int = 1,
@@ -82,34 +101,19 @@ def roc_points(preds: DataFrame, keys: Sequence[str] = (), positive_label: int =
     With ``drop_intermediate`` a point that is neither first nor last is dropped
     when its (Δfp, Δtp) equals the next point's (note C).
     """
-    g = _score_groups(preds, keys, positive_label)
-    c = weighted_prefix(g, keys, "y_score", ["tp_inc", "fp_inc"], descending=True,
-                        lead_cols=["tp_inc", "fp_inc"])
-    c = (c.withColumnRenamed("next_tp_inc", "_next_tp").withColumnRenamed("next_fp_inc", "_next_fp")
-         .withColumn("_first", F.col("cum_tp_inc") + F.col("cum_fp_inc") == F.col("tp_inc") + F.col("fp_inc")))
-    if keys:
-        totals = c.groupBy(*keys).agg(F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N"))
-        c = c.join(F.broadcast(totals), list(keys))  # one row per key
-    else:
-        # grand totals: two numbers, inlined as literals
-        tot = c.agg(F.sum("tp_inc"), F.sum("fp_inc")).first()
-        p_, n_ = int(tot[0] or 0), int(tot[1] or 0)
-        c = c.withColumn("_P", F.lit(p_)).withColumn("_N", F.lit(n_))
-        totals = c.sparkSession.range(1).select(F.lit(p_).alias("_P"), F.lit(n_).alias("_N"))
+    c = roc_curve(preds, keys, positive_label)
+    first = F.col("cum_tp_inc") + F.col("cum_fp_inc") == F.col("tp_inc") + F.col("fp_inc")
     keep = F.lit(True)
     if drop_intermediate:
-        last = F.col("_next_tp").isNull()
-        same = (F.col("_next_tp") == F.col("tp_inc")) & (F.col("_next_fp") == F.col("fp_inc"))
-        keep = F.col("_first") | last | ~same
-    def rate(num, den):  # NaN when the class is absent (as the ROC of one class)
-        return F.when(den > 0, num / den).otherwise(F.lit(float("nan")))
-
-    pts = c.where(keep).select(
-        *keys, F.col("y_score").alias("threshold"),
-        rate(F.col("cum_fp_inc"), F.col("_N")).alias("fpr"), rate(F.col("cum_tp_inc"), F.col("_P")).alias("tpr"))
-    origin = totals.select(*keys, F.lit(float("inf")).alias("threshold"),
-                           rate(F.lit(0.0), F.col("_N")).alias("fpr"), rate(F.lit(0.0), F.col("_P")).alias("tpr"))
-    return pts.unionByName(origin)
+        last = F.col("next_tp_inc").isNull()
+        same = (F.col("next_tp_inc") == F.col("tp_inc")) & (F.col("next_fp_inc") == F.col("fp_inc"))
+        keep = first | last | ~same
+    point = F.struct(F.col("y_score").cast("double").alias("threshold"), _rate(F.col("cum_fp_inc"), F.col("_N")).alias("fpr"),
+                     _rate(F.col("cum_tp_inc"), F.col("_P")).alias("tpr"))
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), _rate(F.lit(0.0), F.col("_N")).alias("fpr"),
+                      _rate(F.lit(0.0), F.col("_P")).alias("tpr"))
+    pts = F.filter(F.array(F.when(first, origin), F.when(keep, point)), lambda p: p.isNotNull())
+    return c.select(*keys, F.explode(pts).alias("_p")).select(*keys, "_p.threshold", "_p.fpr", "_p.tpr")
 
 
 def fpr_at_tpr(points: DataFrame, keys: Sequence[str] = (), targets: dict | None = None) -> DataFrame:
@@ -128,9 +132,7 @@ def classification_metrics(preds: DataFrame, keys: Sequence[str] = (), positive_
         preds, keys = preds.withColumn("_all", F.lit(0)), ["_all"]
     m = threshold_metrics(confusion(preds, keys, positive_label), beta)
     if with_score:
-        auc = roc_auc(preds, keys, positive_label)
-        fpr = fpr_at_tpr(roc_points(preds, keys, positive_label), keys)
-        m = m.join(auc, list(keys)).join(fpr, list(keys))
+        m = join_keys(m, roc_summary(roc_curve(preds, keys, positive_label), keys), list(keys))
     return m.drop("_all") if no_keys else m
 
 
@@ -143,11 +145,12 @@ def metrics_long(wide: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def aggregate_cv(long: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    """Mean and population std per (keys, metric) over finite values only."""
+    """Mean and population std per (keys, metric) over finite values only (W6), by name."""
     v = F.col("value")
     finite = long.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     return (finite.groupBy(*keys, "metric")
-            .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+            .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+            .orderBy(*keys, "metric"))
 
 
 def metric_delta(a: DataFrame, b: DataFrame, metrics=("f1", "mcc", "fpr_at_99")) -> DataFrame:
@@ -155,11 +158,3 @@ def metric_delta(a: DataFrame, b: DataFrame, metrics=("f1", "mcc", "fpr_at_99"))
     la = metrics_long(a.select(*metrics)).withColumnRenamed("value", "value_full")
     lb = metrics_long(b.select(*metrics)).withColumnRenamed("value", "value_dedup")
     return la.join(lb, "metric").withColumn("delta", F.col("value_dedup") - F.col("value_full"))
-
-
-def nan_to_null(c: Column) -> Column:
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
-def is_finite(x) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)

@@ -1,95 +1,73 @@
 """Running sums and exact order statistics without a single-task window.
 
-``weighted_prefix`` computes, for rows already reduced to *distinct* ordering
-values per partition key, the cumulative weight in value order.  Rows are
-bucketed by value ranges from a ``percentile_approx`` sketch (bounded memory),
-bucket totals (a small table) get a prefix sum, and the running sum runs only
-inside one (key, bucket) window.  ROC curves and exact quantiles build on it.
+``weighted_prefix`` computes, for rows reduced to *distinct* ordering values per
+key, the cumulative weight in value order.  Rows are range-partitioned by (key,
+value) — bounds come from Spark's own sample, so neither outliers nor a key with
+most of the rows end up in one task — and written to the shared checkpoint
+folder, so that the placement cannot change between its uses.  Sums per (key,
+partition) form a small table whose prefix gives every partition its offset;
+the running sum itself runs inside a partition.  One path serves all sizes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 65536
-COARSE = 1024
+from ..session import cut_lineage
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe equality of key columns: a NULL group is a group."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[k])
+    return cond
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined null-safely on ``keys``."""
+    named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        one = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        cond = one if cond is None else cond & one
+    return left.join(named, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def weighted_prefix(df: DataFrame, part_cols: Sequence[str], order_col: str,
                     weight_cols: Sequence[str], descending: bool = False,
-                    bucket_rows: int = BUCKET_ROWS, lead_cols: Sequence[str] = ()) -> DataFrame:
+                    lead_cols: Sequence[str] = (), n_parts: int | None = None) -> DataFrame:
     """Add ``cum_<w>`` (inclusive running sum of each weight in value order) and
     ``next_<c>`` (the value of ``c`` on the next row in that order, NULL on the last).
 
-    ``order_col`` must be numeric and unique within each partition key.
+    ``order_col`` must be unique within each key; NULL keys are a group of their own.
     """
-    parts = list(part_cols)
-    key = F.col(order_col).cast("double")
-    if descending:
-        key = -key
-    d = df.withColumn("_ok", key)
-    if parts:
-        max_n = d.groupBy(*parts).count().agg(F.max("count")).first()[0] or 0
-    else:
-        max_n = d.count()
-    n_b = max(1, math.ceil(max_n / bucket_rows))
-    if n_b == 1:
-        w = (Window.partitionBy(*parts) if parts else Window).orderBy("_ok").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        for c in weight_cols:
-            d = d.withColumn(f"cum_{c}", F.sum(c).over(w))
-        wl = (Window.partitionBy(*parts) if parts else Window).orderBy("_ok")
-        for c in lead_cols:
-            d = d.withColumn(f"next_{c}", F.lead(c).over(wl))
-        return d.drop("_ok")
-    # level 1: at most COARSE quantile buckets from a bounded sketch
-    coarse = min(n_b, COARSE)
-    probs = [i / coarse for i in range(1, coarse)]
-    if parts:
-        bounds = d.groupBy(*parts).agg(F.percentile_approx("_ok", probs, 10000).alias("_bounds"))
-        d = d.join(F.broadcast(bounds), parts)  # one row of boundaries per key
-    else:
-        # a single boundary list: fetched once and inlined as a literal array
-        row = d.agg(F.percentile_approx("_ok", probs, 10000)).first()[0] or []
-        d = d.withColumn("_bounds", F.array(*[F.lit(float(b)) for b in row]).cast("array<double>"))
-    d = d.withColumn("_cb", F.size(F.filter("_bounds", lambda b: b < F.col("_ok")))).drop("_bounds")
-    # level 2: equal-width sub-buckets inside each coarse bucket, sized from its own count
-    stats = d.groupBy(*parts, "_cb").agg(F.count("*").alias("_cn"), F.min("_ok").alias("_lo"),
-                                         F.max("_ok").alias("_hi"))
-    stats = stats.withColumn("_ns", F.greatest(F.lit(1), F.ceil(F.col("_cn") / bucket_rows)).cast("long"))
-    d = d.join(F.broadcast(stats.drop("_cn")), [*parts, "_cb"])  # ≤ COARSE rows per key
-    sub = F.when(F.col("_hi") > F.col("_lo"), F.least(
-        F.floor((F.col("_ok") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_ns")),
-        F.col("_ns") - 1)).otherwise(F.lit(0))
-    d = d.withColumn("_bk", (F.col("_cb").cast("long") * F.lit(1 << 32) + sub).cast("long")) \
-        .drop("_cb", "_lo", "_hi", "_ns")
-    tot = d.groupBy(*parts, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in weight_cols])
-    wb = (Window.partitionBy(*parts) if parts else Window).orderBy("_bk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    tot = tot.select(*parts, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                      for c in weight_cols])
-    d = d.join(tot, [*parts, "_bk"])
-    w = Window.partitionBy(*parts, "_bk").orderBy("_ok").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    for c in weight_cols:
-        d = d.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(w))
-    d = d.drop(*[f"_o_{c}" for c in weight_cols])
+    parts = list(part_cols) or ["_whole"]
+    d = df if part_cols else df.withColumn("_whole", F.lit(0))
+    n = n_parts or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    placed = cut_lineage(d.repartitionByRange(n, *parts, order).withColumn("_pid", F.spark_partition_id()))
+    first = F.max_by if descending else F.min_by
+    sums = [F.sum(c).alias(f"_t_{c}") for c in weight_cols]
     if lead_cols:
-        # inside a bucket: lead(); the last row of a bucket takes the first row of
-        # the next non-empty bucket (one row per bucket, small table)
-        wl = Window.partitionBy(*parts, "_bk").orderBy("_ok")
-        firsts = d.groupBy(*parts, "_bk").agg(F.min_by(F.struct(*lead_cols), F.col("_ok")).alias("_f"))
-        wn = (Window.partitionBy(*parts) if parts else Window).orderBy("_bk")
-        firsts = firsts.select(*parts, "_bk", F.lead("_f").over(wn).alias("_nf"))
-        d = d.join(firsts, [*parts, "_bk"])
-        for c in lead_cols:
-            d = d.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(wl), F.col("_nf")[c]))
-        d = d.drop("_nf")
-    return d.drop("_ok", "_bk", "_all")
+        sums.append(first(F.struct(*lead_cols), F.col(order_col)).alias("_f"))
+    wb = Window.partitionBy(*parts).orderBy("_pid")
+    earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
+    tot = placed.groupBy(*parts, "_pid").agg(*sums)
+    tot = tot.select(*parts, "_pid", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in weight_cols],
+                     *([F.lead("_f").over(wb).alias("_nf")] if lead_cols else []))
+    d = join_keys(placed, tot, [*parts, "_pid"])
+    inside = Window.partitionBy(*parts, "_pid").orderBy(order)
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.select("*", *[(F.col(f"_o_{c}") + F.sum(c).over(running)).alias(f"cum_{c}") for c in weight_cols],
+                 *([F.when(F.lead(F.lit(1)).over(inside).isNotNull(), F.lead(F.struct(*lead_cols)).over(inside))
+                    .otherwise(F.col("_nf")).alias("_lead")] if lead_cols else []))
+    d = d.select("*", *[F.col("_lead")[c].alias(f"next_{c}") for c in lead_cols])
+    return d.drop("_whole", "_pid", "_nf", "_lead", *[f"_o_{c}" for c in weight_cols])
 
 
 def exact_quantiles(long: DataFrame, part_col: str, value_col: str,
@@ -97,18 +75,21 @@ def exact_quantiles(long: DataFrame, part_col: str, value_col: str,
     """(part, prob, q): linear-interpolated quantiles (pandas / ``quantile_cont``).
 
     Distinct values are counted first (ties collapse, hot values cost one row),
-    then ranks come from ``weighted_prefix``.
+    then ranks come from ``weighted_prefix``; a row is kept only if it holds one of
+    the target ranks.
     """
     dv = long.groupBy(part_col, value_col).agg(F.count("*").alias("_n"))
     cum = weighted_prefix(dv, [part_col], value_col, ["_n"])
     totals = dv.groupBy(part_col).agg(F.sum("_n").alias("_N"))
-    targets = totals.select(part_col, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"),
-                            "_N")
-    targets = targets.select(part_col, "prob", (F.col("prob") * (F.col("_N") - 1)).alias("_h"))
-    targets = targets.select(part_col, "prob", "_h", F.floor("_h").alias("_lo"), F.ceil("_h").alias("_hi"))
-    j = cum.join(targets, part_col)
-    agg = j.groupBy(part_col, "prob", "_h", "_lo").agg(
-        F.min(F.when(F.col("cum__n") > F.col("_lo"), F.col(value_col))).alias("_vlo"),
-        F.min(F.when(F.col("cum__n") > F.col("_hi"), F.col(value_col))).alias("_vhi"))
-    return agg.select(part_col, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) *
-                                         (F.col("_h") - F.col("_lo"))).alias("q"))
+    ranks = F.transform(F.array(*[F.lit(float(p)) for p in probs]),
+                        lambda p: F.struct(p.alias("prob"), (p * (F.col("_N") - 1)).alias("h")))
+    j = join_keys(cum, totals.select(part_col, ranks.alias("_targets")), [part_col])
+    before, upto = F.col("cum__n") - F.col("_n"), F.col("cum__n")
+    held = F.filter("_targets", lambda t: ((F.floor(t["h"]) >= before) & (F.floor(t["h"]) < upto))
+                    | ((F.ceil(t["h"]) >= before) & (F.ceil(t["h"]) < upto)))
+    j = j.select(part_col, value_col, before.alias("_before"), upto.alias("_upto"), F.explode(held).alias("_t"))
+    h = F.col("_t")["h"]
+    lo = F.when((F.floor(h) >= F.col("_before")) & (F.floor(h) < F.col("_upto")), F.col(value_col))
+    hi = F.when((F.ceil(h) >= F.col("_before")) & (F.ceil(h) < F.col("_upto")), F.col(value_col))
+    agg = j.groupBy(part_col, F.col("_t")["prob"].alias("prob"), h.alias("_h")).agg(F.min(lo).alias("_vlo"), F.min(hi).alias("_vhi"))
+    return agg.select(part_col, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h"))).alias("q"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import COMPARISON_METRICS
@@ -78,10 +78,9 @@ def error_examples(preds: DataFrame, requests: DataFrame, text_col: str = "reque
                            .when((F.col("y_pred") == 0) & (F.col("y_true") == 1), "false_negative"))
     err = err.where(F.col("error_type").isNotNull())
     totals = err.groupBy("model", "error_type").agg(F.count("*").alias("n_errors"))
-    # exact first-k by position without a window over a whole (model, error) group
-    from .splits import ordered_rank
-    firsts = (ordered_rank(err.select("model", "error_type", "pos"), "pos", ("model", "error_type"), out="_r")
-              .where(F.col("_r") < k).withColumn("rank", F.col("_r") + 1).drop("_r"))
+    # rank <= k: Spark keeps k rows per group in each task before the shuffle
+    first = Window.partitionBy("model", "error_type").orderBy("pos")
+    firsts = err.select("model", "error_type", "pos", F.row_number().over(first).alias("rank")).where(F.col("rank") <= k)
     ex = firsts.join(requests.select("pos", F.substring(F.col(text_col), 1, clip).alias("example")), "pos")
     return ex.join(totals, ["model", "error_type"]).select(
         "model", "error_type", "n_errors", F.col("rank").cast("int").alias("rank"), "pos", "example")
@@ -90,7 +89,7 @@ def error_examples(preds: DataFrame, requests: DataFrame, text_col: str = "reque
 def write_metrics_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     """Metrics table rounded to 4 places as CSV."""
     out = df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

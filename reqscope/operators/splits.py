@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import join_keys, weighted_prefix
+
 BUCKET_ROWS = 65536
 
 
@@ -41,7 +43,7 @@ def _two_level_rank(d: DataFrame, group_cols: Sequence[str], bucket: str,
         Window.unboundedPreceding, Window.currentRow)
     counts = counts.select(*g, bucket, (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
     w2 = Window.partitionBy(*g, bucket).orderBy(*order_cols)
-    return (d.join(counts, [*g, bucket])
+    return (join_keys(d, counts, [*g, bucket])
             .withColumn(out, (F.col("_before") + F.row_number().over(w2) - 1).cast("long"))
             .drop("_before"))
 
@@ -59,20 +61,14 @@ def seeded_rank(df: DataFrame, key: str, seed: int, group_cols: Sequence[str] =
     return _two_level_rank(d, group_cols, "_b", ["_h", key], out).drop("_h", "_b")
 
 
-def ordered_rank(df: DataFrame, order_col: str, group_cols: Sequence[str] = (),
-                 out: str = "rank", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """0-based dense position by an ordering column unique in its group (e.g. ``pos``)."""
-    stats = df.agg(F.min(order_col), F.max(order_col), F.count("*")).first()
-    lo, hi, n = stats[0], stats[1], int(stats[2] or 0)
-    if n == 0:
-        return df.withColumn(out, F.lit(None).cast("long"))
-    n_buckets = max(1, n // bucket_rows)
-    width = max(1, (int(hi) - int(lo) + 1) // n_buckets + 1)
-    d = df.withColumn("_b", F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("long"))
-    if out == order_col:
-        d = d.withColumn("_o", F.col(order_col))
-        return _two_level_rank(d, group_cols, "_b", ["_o"], out).drop("_b", "_o")
-    return _two_level_rank(d, group_cols, "_b", [order_col], out).drop("_b")
+def ordered_rank(df: DataFrame, order_col: str, group_cols: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """0-based dense position by an ordering column unique in its group (e.g. ``pos``).
+
+    Only the group and ordering columns are range-placed; the rank joins back on them."""
+    g = list(group_cols)
+    keys = df.select(*g, F.col(order_col).alias("_o")).withColumn("_one", F.lit(1).cast("long"))
+    ranks = weighted_prefix(keys, g, "_o", ["_one"]).select(*g, "_o", (F.col("cum__one") - 1).alias("_rank"))
+    return join_keys(df.withColumn("_o", F.col(order_col)), ranks, [*g, "_o"]).withColumn(out, F.col("_rank")).drop("_o", "_rank")
 
 
 def class_counts(df: DataFrame, label_col: str = "label") -> dict:
@@ -93,7 +89,7 @@ def sample_exact(df: DataFrame, fraction: float, seed: int, key: str = "pos",
         k = F.when(F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction))) >= F.col("_n"),
                    F.col("_n")).otherwise(F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction))))
         ranked = seeded_rank(df, key, seed, group_cols, out="_r")
-        return (ranked.join(F.broadcast(sizes.select(*group_cols, k.alias("_k"))), list(group_cols))
+        return (join_keys(ranked, sizes.select(*group_cols, k.alias("_k")), list(group_cols))
                 .where(F.col("_r") < F.col("_k")).drop("_r", "_k"))
     n = df.count()
     k = keep_count(n, fraction)
@@ -107,7 +103,7 @@ def head_cap(df: DataFrame, cap: int | None, pos_col: str = "pos") -> DataFrame:
     return df if cap is None else df.where(F.col(pos_col) < cap)
 
 
-def _approximate_mode(counts: dict, n_draws: int) -> dict:
+def proportional_counts(counts: dict, n_draws: int) -> dict:
     """Per-class draw counts: floor of the proportional share, remainders largest first
     (ties by class order)."""
     total = sum(counts.values())
@@ -127,9 +123,9 @@ def stratified_test_counts(counts: dict, test_size: float) -> dict:
     n = sum(counts.values())
     n_test = math.ceil(test_size * n)
     n_train = n - n_test
-    train = _approximate_mode(counts, n_train)
+    train = proportional_counts(counts, n_train)
     rest = {c: counts[c] - train[c] for c in counts}
-    return _approximate_mode(rest, n_test)
+    return proportional_counts(rest, n_test)
 
 
 def holdout_split(df: DataFrame, label_col: str = "label", key: str = "pos",
@@ -142,7 +138,7 @@ def holdout_split(df: DataFrame, label_col: str = "label", key: str = "pos",
     spark = df.sparkSession
     quota = spark.createDataFrame([(k, v) for k, v in tc.items()], f"{label_col} int, _q long")
     ranked = seeded_rank(df, key, seed, (label_col,), out="_r", max_group=max(counts.values()))
-    return (ranked.join(F.broadcast(quota), label_col)
+    return (ranked.join(F.broadcast(quota), label_col)  # one row per class, collected above
             .withColumn("split", F.when(F.col("_r") < F.col("_q"), "test").otherwise("train"))
             .drop("_r", "_q"))
 

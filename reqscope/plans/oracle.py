@@ -19,8 +19,7 @@ req_pages AS (
       case when page_id % 3 = 0 then 'POST' else 'GET' end as method,
       concat(url, case when page_id % 7 = 1 then '?q=1'' or 1=1--' else '' end,
                   case when page_id % 11 = 2 then '/%3Cscript%3E' else '' end) as target,
-      case when page_id % 3 = 0 then substring(replace(replace(html, chr(10), ' '), chr(13), ' '), 1, 200)
-           else '' end as body,
+      coalesce(html, '') as body,
       case when page_id % 7 = 1 or page_id % 11 = 2 then 1 else 0 end as label
     from pages) x
 )"""

@@ -64,9 +64,9 @@ def write_event_dumps(spark: SparkSession, sf_dir: str, out_dir: str, parts: int
 class PipelineConfig:
     seed: int = 42
     subset_fraction: float | None = None
-    vocab_size: int = 1000
+    vocab_size: int = 30_000
     min_frequency: int = 2
-    max_length: int = 128
+    max_length: int = 512
     embedding_dim: int = 64
     test_size: float = 0.3
     cv_folds: int = 5

@@ -12,7 +12,7 @@ from . import oracle as O
 from .queries import register, rounded, sql_round
 
 SEED = 42
-MAX_LEN = 64
+MAX_LEN = 512  # fixed value: the reference's sequence length
 
 
 def _byte_id_list_sql() -> str:

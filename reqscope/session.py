@@ -61,16 +61,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan made of fewer files than the cluster has cores.
-
-    A small Parquet file is often a single row group, i.e. one non-empty input
-    split however it is cut, so per-row CPU work (regexes, entropy, parsing)
-    would run in one task.  Large inputs consist of thousands of files and are
-    returned untouched (no shuffle added).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target:
-        return df.repartition(target)
-    return df

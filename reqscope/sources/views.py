@@ -16,13 +16,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_narrow: bool = True) -> DataFrame:
-    """A driver table; narrow scans are spread over the cores (see ``session.spread``)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread_narrow:
-        from ..session import spread
-        df = spread(df)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def req_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,15 +35,16 @@ def req_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def req_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GET/POST page requests with injected SQL / script payloads: pos, method, target, body, label, raw."""
+    """GET/POST page requests with injected SQL / script payloads: pos, method, target, body, label, raw.
+
+    The body is the whole html of the page with its line breaks."""
     pg = table(spark, sf_dir, "pages")
     pid = F.col("page_id")
     method = F.when(pid % 3 == 0, "POST").otherwise("GET")
     target = F.concat(F.col("url"),
                       F.when(pid % 7 == 1, "?q=1' or 1=1--").otherwise(""),
                       F.when(pid % 11 == 2, "/%3Cscript%3E").otherwise(""))
-    flat = F.regexp_replace(F.regexp_replace(F.col("html"), "\n", " "), "\r", " ")
-    body = F.when(pid % 3 == 0, F.substring(flat, 1, 200)).otherwise("")
+    body = F.coalesce(F.col("html"), F.lit(""))
     label = F.when((pid % 7 == 1) | (pid % 11 == 2), 1).otherwise(0)
     x = pg.select(pid.alias("page_id"), method.alias("method"), target.alias("target"),
                   body.alias("body"), label.alias("label"))

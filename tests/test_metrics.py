@@ -79,5 +79,5 @@ def test_weighted_prefix_bucketed_equals_single_window(spark):
     df = spark.createDataFrame(rows, "g int, v double, w long")
     a = {(r.g, r.v, r.cum_w, r.next_w) for r in weighted_prefix(df, ["g"], "v", ["w"], lead_cols=["w"]).collect()}
     b = {(r.g, r.v, r.cum_w, r.next_w) for r in
-         weighted_prefix(df, ["g"], "v", ["w"], bucket_rows=37, lead_cols=["w"]).collect()}
+         weighted_prefix(df, ["g"], "v", ["w"], n_parts=7, lead_cols=["w"]).collect()}
     assert a == b

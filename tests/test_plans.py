@@ -20,7 +20,7 @@ def test_features_stay_in_jvm_and_prune_columns(spark):
 
 def test_filter_pushdown(spark):
     from pyspark.sql import functions as F
-    plan = _plan(views.table(spark, "/root/testdata/sf0.001", "events", spread_narrow=False)
+    plan = _plan(views.table(spark, "/root/testdata/sf0.001", "events")
                  .where(F.col("event_type") == "error").select("event_id"))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan
 
