@@ -38,6 +38,8 @@ from .components import components
 SEEDS = 4
 BLOCK = 512
 SUBGROUP = 16
+#: Slice contents that a map task matches at a time.
+HELD = 1 << 19
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<i8")])
 
 
@@ -143,22 +145,33 @@ def _members(width: int):
 
 
 def _entries(width: int, percent: int, shards: int):
+    """Slice contents, one blob per shard, and the ties found on the way; matched in the task
+    HELD entries at a time."""
+
+    def flush(found: list) -> pa.RecordBatch:
+        kept, ties = tie(np.concatenate(found))
+        shard = (kept["sig"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        rows = [(int(s), False, kept[cuts[s]:cuts[s + 1]].tobytes()) for s in np.flatnonzero(np.diff(cuts))]
+        if len(ties):
+            rows.append((int(ties[0, 0]) % shards, True, ties.tobytes()))
+        return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "tied": pa.array([r[1] for r in rows], pa.bool_()),
+                                           "payload": pa.array([r[2] for r in rows], pa.binary())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for b in batches:
-            found = []
             for lo, hi, value, row in sets_of(b.column("_text"), width):
                 n = np.bincount(row, minlength=hi - lo)
                 one, _ = set_hash(value, row, hi - lo)
                 found.append(slice_entries(value, row, n, one, Bands(percent, int(n.max(initial=1)))))
-            kept, ties = tie(np.concatenate(found) if found else np.empty(0, ENTRY))
-            shard = (kept["sig"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            some = np.flatnonzero(np.diff(cuts))
-            rows = [(int(s), False, kept[cuts[s]:cuts[s + 1]].tobytes()) for s in some]
-            if len(ties):
-                rows.append((int(ties[0, 0]) % shards, True, ties.tobytes()))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "tied": pa.array([r[1] for r in rows], pa.bool_()),
-                                              "payload": pa.array([r[2] for r in rows], pa.binary())})
+                held += len(found[-1])
+                if held >= HELD:
+                    yield flush(found)
+                    found, held = [], 0
+        if found:
+            yield flush(found)
+
     return run
 
 
