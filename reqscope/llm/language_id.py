@@ -31,6 +31,8 @@ DIMENSIONS = 1024
 N = 3
 SCALE = 1 << 20
 CELLS = 1 << 21
+#: Text bytes bundled at a time.
+SLICE = 1 << 19
 #: n-gram vectors that a worker keeps; beyond it they are made again when needed.
 KEEP = 20_000
 
@@ -59,7 +61,7 @@ class GramVectors:
 
     def __init__(self) -> None:
         self.place: dict[int, int] = {}
-        self.matrix = np.zeros((1024, DIMENSIONS), np.float32)
+        self.matrix = np.zeros((1024, DIMENSIONS), np.int8)
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         if len(self.place) + len(grams) > KEEP:
@@ -76,7 +78,7 @@ class GramVectors:
                     v = v * np.roll(letter_vector((g >> (21 * j)) & 0x1FFFFF), j)
                 self.matrix[at] = v
             out[k] = at
-        return self.matrix[out]
+        return self.matrix[out].astype(np.float32)
 
 
 _grams = GramVectors()
@@ -151,7 +153,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
         langs = b.column("_lang").to_pylist()
-        for lo, hi, _, _ in slices(b.column("_text")):
+        for lo, hi, _, _ in slices(b.column("_text"), SLICE):
             rows, vectors = text_vectors(b.column("_text").slice(lo, hi - lo).to_pylist())
             whole = np.rint(vectors.astype(np.float64) * SCALE).astype(np.int64)
             for lang in {langs[lo + r] for r in rows.tolist()}:
@@ -189,7 +191,7 @@ def train(docs: DataFrame, lang: Column, use: Column, text_col: str = "text") ->
             .select("lang", F.posexplode("vector").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
             .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v"))  # languages x dimensions
             .orderBy("lang").collect())
-    return LanguageModel([r["lang"] for r in sums], np.array([[e["x"] for e in r["v"]] for r in sums], np.float64).reshape(len(sums), -1))
+    return LanguageModel([r["lang"] for r in sums], np.array([[e["x"] for e in r["v"]] for r in sums], np.float64).reshape(len(sums), DIMENSIONS))
 
 
 def _predict(model, names: list[str]):
@@ -197,7 +199,7 @@ def _predict(model, names: list[str]):
         m = model.value
         for b in batches:
             text = b.column("_text")
-            for lo, hi, _, _ in slices(text):
+            for lo, hi, _, _ in slices(text, SLICE):
                 pred, score = m.predict(text.slice(lo, hi - lo).to_pylist())
                 kept = [b.column(c).slice(lo, hi - lo) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
