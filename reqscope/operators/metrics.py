@@ -65,10 +65,10 @@ def roc_curve(preds: DataFrame, keys: Sequence[str] = (), positive_label: int =
     class totals ``_P`` and ``_N``).  Everything about a ROC derives from this one pass."""
     g = _score_groups(preds, keys, positive_label)
     c = weighted_prefix(g, keys, "y_score", ["tp_inc", "fp_inc"], descending=True, lead_cols=["tp_inc", "fp_inc"])
-    totals = c.groupBy(*keys).agg(F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N"))
     if keys:
-        return join_keys(c, totals, keys)
-    return join_keys(c.withColumn("_all", F.lit(0)), totals.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
+        return join_keys(c, c.groupBy(*keys).agg(F.sum("tp_inc").alias("_P"), F.sum("fp_inc").alias("_N")), keys)
+    total = c.agg(F.sum("tp_inc"), F.sum("fp_inc")).first()  # two numbers, inlined
+    return c.select("*", F.lit(int(total[0] or 0)).alias("_P"), F.lit(int(total[1] or 0)).alias("_N"))
 
 
 def _rate(num: Column, den: Column) -> Column:

@@ -36,8 +36,6 @@ IF_TREES = 100
 MLP_HIDDEN = 256
 MLP_MAX_EPOCHS = 40
 MLP_PATIENCE = 8
-MLP_LR = 5e-4
-MLP_BATCH = 64
 MLP_VAL_FRACTION = 0.15
 
 
@@ -102,9 +100,10 @@ def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, fold: int =
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = KNN_K, fold: int = -1) -> DataFrame:
     """M6 on standardised vectors: score = anomalous share of the k nearest training rows."""
-    from .neighbors import knn, knn_scores
+    from .neighbors import bounded_refs, knn, knn_scores
 
     tr, te = _scaled(train, test)
+    tr = bounded_refs(tr, "pos", 42)
     tr = tr.select("pos", "y", vector_to_array("features").alias("vec"))
     te = te.select("pos", "y", vector_to_array("features").alias("vec"))
     nn = knn(te, tr, k, qid="pos", rid="pos", vec="vec")
@@ -181,7 +180,7 @@ def anomaly_predictions(frame: DataFrame, normal_train: DataFrame, test: DataFra
                         with_lof: bool = True) -> DataFrame:
     """Isolation forest and LOF fitted on normal-only rows, scored on ``test``."""
     from .iforest import IsolationForest
-    from .neighbors import lof
+    from .neighbors import bounded_refs, lof
 
     tr, te = _scaled(normal_train, test)
     tr = tr.select("pos", "y", vector_to_array("features").alias("vec"))
@@ -191,7 +190,7 @@ def anomaly_predictions(frame: DataFrame, normal_train: DataFrame, test: DataFra
                                          "pos", F.col("y").alias("y_true"), "y_pred", "y_score")
     if not with_lof:
         return ifp
-    lf = lof(te, tr, LOF_K, "vec", qid="pos", rid="pos")
+    lf = lof(te, bounded_refs(tr, "pos", seed), LOF_K, "vec", qid="pos", rid="pos")
     lofp = te.join(lf.withColumnRenamed("qid", "pos"), "pos").select(
         F.lit("local_outlier_factor").alias("model"), F.lit(-1).alias("fold"), "pos", F.col("y").alias("y_true"),
         (F.col("lof") > 1.5).cast("int").alias("y_pred"), F.col("lof").alias("y_score"))
@@ -203,7 +202,8 @@ def mlp_head(train: DataFrame, test: DataFrame, seed: int = 42, max_epochs: int
     """M9: [d, 256, 2] perceptron, warm-started epoch by epoch, early stop on validation loss.
 
     Returns (predictions, history) — history rows (run, epoch, loss, eval_loss).
-    MLlib's perceptron has no dropout or weight decay.
+    An epoch is ``iters_per_epoch`` L-BFGS steps over all rows: MLlib's solver has no
+    learning rate or mini-batch, and the perceptron no dropout or weight decay.
     """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
@@ -222,8 +222,7 @@ def mlp_head(train: DataFrame, test: DataFrame, seed: int = 42, max_epochs: int
 
     model = None
     for epoch in range(1, max_epochs + 1):
-        est = MultilayerPerceptronClassifier(layers=layers, maxIter=iters_per_epoch, blockSize=MLP_BATCH,
-                                             stepSize=MLP_LR, seed=seed, labelCol="y")
+        est = MultilayerPerceptronClassifier(layers=layers, maxIter=iters_per_epoch, seed=seed, labelCol="y")
         if weights is not None:
             est.setInitialWeights(weights)
         model = est.fit(fit_df)
@@ -275,29 +274,39 @@ def descriptive_baseline(features: DataFrame, numeric: Sequence[str], seed: int
     return out.withColumn("model", F.concat(F.lit("descriptive_"), F.col("model")))
 
 
-def lexical_baseline(requests: DataFrame, text_col: str = "raw", seed: int = 42) -> DataFrame:
-    """Char n-gram TF-IDF (hashed, fitted on train) + linear models, shared holdout."""
+def lexical_baseline(requests: DataFrame, text_col: str = "raw", seed: int = 42, num_features: int = 1 << 16,
+                     max_iter: int = 100) -> DataFrame:
+    """Char n-gram TF-IDF (hashed, fitted on train) + linear models, shared holdout.
+
+    The matrix is wide, so the linear models stop after ``max_iter`` steps here."""
     from .lm import tfidf_features
 
     base = requests.select(F.col("pos").cast("long").alias("pos"), F.col("label").cast("int").alias("y"),
                            F.col(text_col).alias("_text"))
     split = sp.holdout_split(base, "y", "pos", 0.3, seed).cache()
-    staged, pipe = tfidf_features(split, "_text")
+    staged, pipe = tfidf_features(split, "_text", num_features=num_features)
     train, test = staged.where(sp.is_train()), staged.where(sp.is_test())
     fitted = pipe.fit(train)
     tr = fitted.transform(train).select("pos", "y", "features")
     te = fitted.transform(test).select("pos", "y", "features")
+    tr, te = tr.cache(), te.cache()
     specs = [s for s in build_classifiers(seed) if s.name in ("logistic_regression", "linear_svc")]
-    preds = [fit_predict(ModelSpec(s.name, s.make, s.score, standardize=False), tr, te) for s in specs]
+    preds = [fit_predict(ModelSpec(s.name, lambda n, s=s: s.make(n).setMaxIter(max_iter), s.score, standardize=False), tr, te) for s in specs]
     out = preds[0].unionByName(preds[1])
     return out.withColumn("model", F.concat(F.lit("lexical_"), F.col("model")))
 
 
-def dedup_reevaluate(frame: DataFrame, keys: DataFrame, model_name: str = "logistic_regression",
-                     seed: int = 42) -> DataFrame:
-    """Keep the first row of each distinct key (N1), re-split (X2), refit, score."""
+def dedup_reevaluate(frame: DataFrame, keys: DataFrame | None = None, model_name: str = "logistic_regression",
+                     seed: int = 42, texts: DataFrame | None = None) -> DataFrame:
+    """Keep the first row of each distinct key (N1), re-split (X2), refit, score.
+
+    ``keys``: (pos, key); without it the key is the full text, given as ``texts`` (pos, text)."""
     from .quality import unique_first
 
+    if keys is None:
+        if texts is None:
+            raise ValueError("give keys, or texts to de-duplicate on the full text")
+        keys = texts.select("pos", F.md5(F.col("text").cast("binary")).alias("key"))
     keyed = frame.join(keys, "pos")
     dedup = unique_first(keyed, "key").drop("key")
     spec = [s for s in build_classifiers(seed) if s.name == model_name][0]

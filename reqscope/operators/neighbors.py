@@ -1,93 +1,87 @@
 """Exact k-nearest neighbours, KNN scores and local outlier factor.
 
-Exact kNN is a blocked similarity join: query rows are hashed into query
-blocks, reference rows into reference blocks, each query block meets each
-reference block in one cogrouped ``applyInPandas`` task (NumPy distances for a
-bounded block pair) that emits only its partial top-k per query; partial lists
-are merged per query.  No row-level pair is ever materialised.  Ties are broken
-by the reference id, so results do not depend on partitioning.
+The reference rows go to the tasks in blocks of at most REF_ROWS rows — a checked,
+bounded size — and the queries stream past a block in their own partitions: no
+query is shuffled, no pair of rows is ever materialised, a block emits k rows per
+query.  Up to REF_ROWS reference rows take one pass over the queries; more take one
+pass per block, whose lists a window merges.  Models that fit on neighbours bound
+their reference rows (``bounded_refs``).  Ties are broken by the reference id, so
+results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048
-MERGE_FAN_IN = 64
+REF_ROWS = 32_768
+#: Reference rows that KNN and LOF models are fitted on at most (an exact seeded sample).
+MAX_FIT_ROWS = 65_536
 NEIGHBOR_SCHEMA = "qid long, rank int, rid long, dist double"
 
 
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
-
-
-def _partial_topk(k: int, exclude_self: bool):
-    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"qid": [], "rank": [], "rid": [], "dist": [], "rb": []})
-        qv = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        rv = np.stack(r["vec"].to_numpy()).astype(np.float64)
-        qid = q["id"].to_numpy(np.int64)
-        rid = r["id"].to_numpy(np.int64)
-        # candidate selection with the dot-product form, exact distances for the kept ones
-        d2 = (qv * qv).sum(1)[:, None] + (rv * rv).sum(1)[None, :] - 2.0 * qv @ rv.T
-        if exclude_self:
-            d2[qid[:, None] == rid[None, :]] = np.inf
-        kk = min(k, rv.shape[0])
-        out_q, out_r, out_d = [], [], []
-        for i in range(qv.shape[0]):
-            row = d2[i]
-            if kk < row.shape[0]:
-                kth = np.partition(row, kk - 1)[kk - 1]
-                cand = np.nonzero(row <= kth + 1e-6 * max(1.0, abs(kth)))[0]
-            else:
-                cand = np.arange(row.shape[0])
-            cand = cand[np.isfinite(row[cand])]
-            exact = ((rv[cand] - qv[i]) ** 2).sum(1)
-            order = np.lexsort((rid[cand], exact))[:kk]
-            out_q.extend([qid[i]] * len(order))
-            out_r.extend(rid[cand][order].tolist())
-            out_d.extend(exact[order].tolist())
-        return pd.DataFrame({"qid": out_q, "rank": 0, "rid": out_r, "dist": out_d,
-                             "rb": int(r["rb"].iloc[0])})
-    return fn
+def _nearest(qid: np.ndarray, qv: np.ndarray, rid: np.ndarray, rv: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    # candidate selection with the dot-product form, exact distances for the kept ones
+    d2 = (qv * qv).sum(1)[:, None] + (rv * rv).sum(1)[None, :] - 2.0 * qv @ rv.T
+    if exclude_self:
+        d2[qid[:, None] == rid[None, :]] = np.inf
+    out_q, out_k, out_r, out_d = [], [], [], []
+    for i in range(len(qid)):
+        row = d2[i]
+        cand = np.arange(len(row))
+        if k < len(row):
+            kth = np.partition(row, k - 1)[k - 1]
+            cand = np.nonzero(row <= kth + 1e-6 * max(1.0, abs(kth)))[0]
+        cand = cand[np.isfinite(row[cand])]
+        exact = ((rv[cand] - qv[i]) ** 2).sum(1)
+        order = np.lexsort((rid[cand], exact))[:k]
+        out_q.extend([qid[i]] * len(order))
+        out_k.extend(range(1, len(order) + 1))
+        out_r.extend(rid[cand][order].tolist())
+        out_d.extend(np.sqrt(exact[order]).tolist())
+    return pd.DataFrame({"qid": out_q, "rank": out_k, "rid": out_r, "dist": out_d})
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, qid: str = "id", rid: str = "id", vec: str = "vec",
-        exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        exclude_self: bool = False, ref_rows: int = REF_ROWS) -> DataFrame:
     """(qid, rank 1..k, rid, dist) — exact Euclidean neighbours of each query among ``refs``."""
-    nq, nr = queries.count(), refs.count()
-    bq, br = _blocks(nq, block_rows), _blocks(nr, block_rows)
-    q = queries.select(F.col(qid).cast("long").alias("id"), F.col(vec).alias("vec"),
-                       F.pmod(F.xxhash64(F.col(qid)), F.lit(bq)).alias("qb"))
-    r = refs.select(F.col(rid).cast("long").alias("id"), F.col(vec).alias("vec"),
-                    F.pmod(F.xxhash64(F.col(rid)), F.lit(br)).alias("rb"))
-    # every query block meets every reference block once
-    qx = q.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(br - 1).cast("long"))))
-    rx = r.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))))
-    partial = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-               .applyInPandas(_partial_topk(k, exclude_self), NEIGHBOR_SCHEMA + ", rb long")
-               .withColumnRenamed("rb", "_grp"))
-    # tree merge of the per-block lists: each step keeps the top k of at most
-    # MERGE_FAN_IN lists, so no group ever holds more than MERGE_FAN_IN * k entries
-    lists, n_lists = partial, br
-    while n_lists > MERGE_FAN_IN:
-        lists = (lists.withColumn("_grp", F.floor(F.col("_grp") / MERGE_FAN_IN).cast("long"))
-                 .groupBy("qid", "_grp")
-                 .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "rid"))), 1, k).alias("_nn"))
-                 .select("qid", "_grp", F.explode("_nn").alias("_n"))
-                 .select("qid", "_grp", F.col("_n")["dist"].alias("dist"), F.col("_n")["rid"].alias("rid")))
-        n_lists = math.ceil(n_lists / MERGE_FAN_IN)
-    merged = lists.groupBy("qid").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("dist", "rid"))), 1, k).alias("_nn"))
-    return merged.select("qid", F.posexplode("_nn").alias("_p", "_n")).select(
-        "qid", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_n")["rid"].alias("rid"),
-        F.sqrt(F.col("_n")["dist"]).alias("dist"))
+    sc = queries.sparkSession.sparkContext
+    r = refs.select(F.col(rid).cast("long").alias("id"), F.col(vec).alias("vec"))
+    q = queries.select(F.col(qid).cast("long").alias("id"), F.col(vec).alias("vec"))
+    blocks = max(1, -(-r.count() // ref_rows))
+    out = None
+    for b in range(blocks):
+        rows = r.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about ref_rows rows
+        if not rows:
+            continue
+        held = sc.broadcast((np.array([x["id"] for x in rows], np.int64), np.array([x["vec"] for x in rows], np.float64)))
+
+        def search(frames, held=held):
+            ids, vectors = held.value
+            for f in frames:
+                for lo in range(0, len(f), 512):  # a bounded matrix of distances
+                    part = f.iloc[lo:lo + 512]
+                    yield _nearest(part["id"].to_numpy(np.int64), np.stack(part["vec"].to_numpy()).astype(np.float64),
+                                   ids, vectors, k, exclude_self)
+
+        found = q.mapInPandas(search, NEIGHBOR_SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], NEIGHBOR_SCHEMA)
+    if blocks > 1:
+        w = Window.partitionBy("qid").orderBy("dist", "rid")
+        out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out
+
+
+def bounded_refs(refs: DataFrame, key: str, seed: int, most: int = MAX_FIT_ROWS) -> DataFrame:
+    """At most ``most`` rows to fit on: all of them, or an exact seeded sample."""
+    from .splits import sample_exact
+
+    n = refs.count()
+    return refs if n <= most else sample_exact(refs, most / n, seed, key=key)
 
 
 def knn_scores(neighbors: DataFrame, ref_labels: DataFrame, label_col: str = "y", positive_label: int = 1):
@@ -97,34 +91,21 @@ def knn_scores(neighbors: DataFrame, ref_labels: DataFrame, label_col: str = "y"
         .withColumn("y_pred", (F.col("y_score") > 0.5).cast("int"))
 
 
-def lof(queries: DataFrame, refs: DataFrame, k: int = 20, vec: str = "vec", block_rows: int = BLOCK_ROWS,
+def lof(queries: DataFrame, refs: DataFrame, k: int = 20, vec: str = "vec",
         qid: str = "id", rid: str = "id") -> DataFrame:
     """M8: novelty LOF of each query against ``refs``: (qid, lof); anomaly when lof > 1.5.
 
     Reference neighbours exclude the point itself; query neighbours do not.
     """
-    ref_nn = knn(refs, refs, k, rid, rid, vec, exclude_self=True, block_rows=block_rows)
+    ref_nn = knn(refs, refs, k, rid, rid, vec, exclude_self=True)
     kdist = ref_nn.where(F.col("rank") == k).select(F.col("qid").alias("rid"), F.col("dist").alias("kdist"))
     ref_reach = ref_nn.join(kdist, "rid").select(
         "qid", F.greatest(F.col("kdist"), F.col("dist")).alias("reach"))
     lrd_ref = ref_reach.groupBy("qid").agg((1.0 / (F.avg("reach") + 1e-10)).alias("lrd")) \
         .select(F.col("qid").alias("rid"), "lrd")
-    q_nn = knn(queries, refs, k, qid, rid, vec, exclude_self=False, block_rows=block_rows)
+    q_nn = knn(queries, refs, k, qid, rid, vec, exclude_self=False)
     qj = q_nn.join(kdist, "rid").join(lrd_ref, "rid")
     agg = qj.groupBy("qid").agg(
         (1.0 / (F.avg(F.greatest(F.col("kdist"), F.col("dist"))) + 1e-10)).alias("_lrd_q"),
         F.avg("lrd").alias("_lrd_nb"))
     return agg.select("qid", (F.col("_lrd_nb") / F.col("_lrd_q")).alias("lof"))
-
-
-def lsh_candidates(queries: DataFrame, refs: DataFrame, vec: str, bucket_length: float, threshold: float,
-                   num_tables: int = 3):
-    """Approximate alternative for very large reference sets (MLlib random-projection LSH)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.withColumn("_v", array_to_vector(vec))
-    rv = refs.withColumn("_v", array_to_vector(vec))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                        numHashTables=num_tables).fit(rv)
-    return model.approxSimilarityJoin(qv, rv, threshold, distCol="dist")

@@ -35,6 +35,23 @@ def duplicate_report(df: DataFrame, key: Column | str | Sequence[str]) -> DataFr
         .otherwise(F.lit(0.0)).alias("duplicate_rate"))
 
 
+def digest(key: Column | str | Sequence[str]) -> Column:
+    """128-bit digest of a key, so that whole texts are no shuffle keys; NULL stays NULL.
+    A list of columns is one key."""
+    if isinstance(key, (Column, str)):
+        return F.md5(_key(key).cast("string"))
+    return F.md5(F.to_json(_key(key), {"ignoreNullFields": "false"}))
+
+
+def duplicate_levels_of(df: DataFrame, levels: dict[str, Column | str | Sequence[str]]) -> DataFrame:
+    """A2: all levels of one frame in one pass: (level, digest) pairs are counted, then summed."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("level"), digest(k).alias("_k")) for n, k in levels.items()])).alias("_p"))
+    per_key = pairs.groupBy("_p.level", "_p._k").agg(F.count("*").alias("_n"))
+    agg = per_key.groupBy("level").agg(F.sum("_n").cast("long").alias("n_total"), F.count("*").cast("long").alias("n_unique"))
+    return agg.select("level", "n_total", "n_unique", (F.col("n_total") - F.col("n_unique")).alias("n_duplicate"),
+                      ((F.col("n_total") - F.col("n_unique")) / F.col("n_total")).alias("duplicate_rate"))
+
+
 def duplicate_levels(levels: dict[str, tuple[DataFrame, Column | str | Sequence[str]]]) -> DataFrame:
     """A2: ``duplicate_report`` for several (frame, key) levels, one row per level."""
     out = None
@@ -58,13 +75,14 @@ def unique_first(df: DataFrame, key: Column | str | Sequence[str], pos_col: str
 def train_test_leakage(train: DataFrame, test: DataFrame, key: Column | str | Sequence[str]) -> DataFrame:
     """n_test, n_leaked, leakage_rate — test rows whose key occurs in train.
 
-    ``left`` join of test on the *distinct* train keys (dedup before the shuffle)
-    and one flag sum; AQE broadcasts the key set when it is small.
+    Counted test keys meet the *distinct* train keys (both reduced before the shuffle,
+    by their 128-bit digest); a NULL key leaks into nothing.
     """
-    train_keys = train.select(_key(key).alias("_k")).distinct().withColumn("_hit", F.lit(1))
-    flagged = test.select(_key(key).alias("_k")).join(train_keys, "_k", "left")
-    agg = flagged.agg(F.count("*").cast("long").alias("n_test"),
-                      F.coalesce(F.sum("_hit"), F.lit(0)).cast("long").alias("n_leaked"))
+    train_keys = train.select(digest(key).alias("_k")).distinct().withColumn("_hit", F.lit(1))
+    counted = test.groupBy(digest(key).alias("_k")).agg(F.count("*").alias("_n"))  # a hot key is one row
+    agg = counted.join(train_keys, "_k", "left").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_test"),
+        F.coalesce(F.sum(F.col("_n") * F.col("_hit")), F.lit(0)).cast("long").alias("n_leaked"))
     return agg.select("n_test", "n_leaked",
                       F.when(F.col("n_test") > 0, F.col("n_leaked") / F.col("n_test"))
                       .otherwise(F.lit(0.0)).alias("leakage_rate"))
@@ -194,6 +212,16 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles=(0.25, 0.5, 0.75),
     return moments.join(qcols, "column").select("column", "count", "mean", "std", "min", *names, "max")
 
 
+def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A7 for text columns: column, count (non-null), unique, top (most frequent value, the
+    smallest on ties), freq.  One grouping over (column, value) for all columns."""
+    long = _unpivot(df, cols, "string").where(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("_n"))
+    agg = counts.groupBy("column").agg(F.sum("_n").cast("long").alias("count"), F.count("*").cast("long").alias("unique"),
+                                       F.min(F.struct((-F.col("_n")).alias("n"), "value")).alias("_t"))
+    return agg.select("column", "count", "unique", F.col("_t")["value"].alias("top"), (-F.col("_t")["n"]).cast("long").alias("freq"))
+
+
 def profile(df: DataFrame, pos_col: str = "pos", n: int = 5) -> tuple[int, list, DataFrame]:
     """Row count, (column, type) list, first ``n`` rows by position (a filter, not a sort)."""
     return df.count(), df.dtypes, df.where(F.col(pos_col) < n)

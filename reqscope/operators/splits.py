@@ -134,6 +134,10 @@ def holdout_split(df: DataFrame, label_col: str = "label", key: str = "pos",
     counts = class_counts(df, label_col)
     if len(counts) < 2 or min(counts.values()) < 2:
         return df.withColumn("split", F.lit("both"))
+    n = sum(counts.values())
+    n_test = math.ceil(test_size * n)
+    if min(n_test, n - n_test) < len(counts):  # a side would lack a class
+        return df.withColumn("split", F.lit("both"))
     tc = stratified_test_counts(counts, test_size)
     spark = df.sparkSession
     quota = spark.createDataFrame([(k, v) for k, v in tc.items()], f"{label_col} int, _q long")

@@ -44,18 +44,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def write_event_dumps(spark: SparkSession, sf_dir: str, out_dir: str, parts: int = 4) -> str:
     """Three dumps from ``events``: older normal traffic (training), newer normal
     traffic (test) and error events (anomalous); requests in event order, each
-    followed by a blank separator line.  Every dump is a directory of part files
-    written in event-id ranges (range partitioning), so part names follow file order.
+    followed by a blank separator line, after two lines that belong to no request.
+    Every dump is a directory of part files written in ranges of its *lines*, so
+    parts may begin in the middle of a request.
     """
     ev = views.req_events(spark, sf_dir).join(
         views.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "ts"), "pos")
     role = (F.when(F.col("label") == 1, F.lit(CSIC_FILES[2][0]))
             .when(F.col("ts") < F.lit(EVENT_CUT).cast("timestamp_ntz"), F.lit(CSIC_FILES[0][0]))
             .otherwise(F.lit(CSIC_FILES[1][0])))
-    ev = ev.withColumn("role", role)
+    lines = ev.select(role.alias("role"), "pos", F.posexplode(F.split(F.concat("raw", F.lit("\n")), "\n")).alias("i", "value"))
     for name, _label, _split in CSIC_FILES:
-        (ev.where(F.col("role") == name).repartitionByRange(parts, "pos").sortWithinPartitions("pos")
-         .select(F.concat("raw", F.lit("\n")).alias("value"))
+        junk = spark.createDataFrame([(name, -1, 0, "# dump"), (name, -1, 1, "X-Junk: 1")], "role string, pos long, i int, value string")
+        mine = lines.where(F.col("role") == name).unionByName(junk).withColumn("at", F.col("pos") * 3 + F.col("i"))
+        (mine.repartitionByRange(parts, "at").sortWithinPartitions("at").select("value")
          .write.mode("overwrite").text(f"{out_dir.rstrip('/')}/{name}"))
     return out_dir
 

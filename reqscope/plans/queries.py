@@ -290,13 +290,22 @@ _EVENTS_FEATURES = O.with_ctes(O.REQ_EVENTS, O.parse_cte("pp", "req_events"), O.
               _dup_sql("feature_fingerprint", "ff", "(" + ", ".join(FEATURE_COLUMNS) + ")")]),
           ["duplicate_rate"]))
 def q_dup_three_levels(spark, sf):
-    req = _events(spark, sf)
-    ff = feature_frame(req)
-    return rounded(qa.duplicate_levels({
-        "raw_text": (req, "raw"),
-        "request_line": (req, "request_line"),
-        "feature_fingerprint": (ff, list(FEATURE_COLUMNS)),
-    }))
+    ff = feature_frame(_events(spark, sf), keep=("raw", "request_line"))
+    return rounded(qa.duplicate_levels_of(ff, {"raw_text": "raw", "request_line": "request_line",
+                                               "feature_fingerprint": list(FEATURE_COLUMNS)}))
+
+
+@register("describe_all", """
+with kv as (select 'lang' as column, lang as value from documents union all select 'source', source from documents
+  union all select 'event_type', event_type from events),
+c as (select "column", value, count(*) as n from kv where value is not null group by all),
+r as (select *, row_number() over (partition by "column" order by n desc, value) as k from c)
+select "column", cast(sum(n) as bigint) as count, count(*) as unique, min(value) filter (where k = 1) as top, max(n) as freq
+from r group by 1""")
+def q_describe_all(spark, sf):
+    """A7 for text columns of two tables."""
+    return qa.describe_text(views.table(spark, sf, "documents"), ["lang", "source"]).unionByName(
+        qa.describe_text(views.table(spark, sf, "events"), ["event_type"]))
 
 
 @register("unique_first", """

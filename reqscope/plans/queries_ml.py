@@ -445,3 +445,19 @@ def q_bundle_from_dumps(spark, sf):
                     F.size("headers").alias("n_headers"),
                     F.col("headers")[0]["name"].alias("header_name"),
                     F.col("headers")[0]["value"].alias("header_value"), "label")
+
+
+@register("manifest_check", f"""WITH
+ev as (select case when event_type = 'error' then 'anomalousTrafficTest.txt' when ts < timestamp '{_CUT}' then 'normalTrafficTraining.txt'
+  else 'normalTrafficTest.txt' end as name from events),
+n as (select name, count(*) as n from ev group by name)
+select w.name, case when w.name = 'missing.txt' then 'missing' when coalesce(n.n, 0) >= 0 then 'ok' end as status
+from (values ('normalTrafficTraining.txt'), ('normalTrafficTest.txt'), ('anomalousTrafficTest.txt'), ('missing.txt')) w(name)
+left join n using (name)""")
+def q_manifest_check(spark, sf):
+    """S6 on dumps written from ``events`` (each holds at least its two leading lines) and one that is not there."""
+    from .pipeline import scratch_dir, write_event_dumps
+    from ..sources.dumps import CSIC_FILES, manifest_status
+
+    out = write_event_dumps(spark, sf, scratch_dir(spark, "dumps"))
+    return manifest_status(spark, out, [f[0] for f in CSIC_FILES] + ["missing.txt"])

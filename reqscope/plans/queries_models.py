@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..functions import request as rq
@@ -30,15 +28,29 @@ def _emb(spark, sf):
 
 # ------------------------------------------------------------------ E2, E4, E9, E10
 
+def _tokens(spark, sf):
+    """Each embedding as a token vector of its label's text; every third is masked out."""
+    return views.table(spark, sf, "embeddings").select(
+        "label", F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), (F.col("vec_id") % 3 != 0).cast("int").alias("mask"))
+
+
 @register("pool_mean", """
-select label, list(round(v, 6) order by i) as mean_vec from (
+select label, list(round(v, 4) order by i) as mean_vec from (
   select label, i, avg(embedding[i]::double) as v
-  from (select label, embedding, generate_subscripts(embedding, 1) as i from embeddings)
+  from (select label, embedding, generate_subscripts(embedding, 1) as i from embeddings where vec_id % 3 <> 0)
   group by label, i) group by label""")
 def q_pool_mean(spark, sf):
-    emb = views.table(spark, sf, "embeddings")
-    agg = emb.groupBy("label").agg(Summarizer.mean(array_to_vector("embedding")).alias("_m"))
-    return agg.select("label", F.transform(vector_to_array("_m"), lambda x: F.round(x, 6)).alias("mean_vec"))
+    """Masked mean of token vectors."""
+    return E.pool_tokens(_tokens(spark, sf), "label").select(
+        "label", F.transform("vec", lambda x: F.round(x.cast("double"), 4)).alias("mean_vec"))
+
+
+@register("pool_cls", """
+select label, list_transform(arg_min(embedding, vec_id), lambda x: round(x::double, 4)) as cls_vec from embeddings group by label""")
+def q_pool_cls(spark, sf):
+    """The first token's vector."""
+    return E.pool_tokens(_tokens(spark, sf), "label", mode="cls").select(
+        "label", F.transform("vec", lambda x: F.round(x.cast("double"), 4)).alias("cls_vec"))
 
 
 @register("request_embedding")
@@ -117,7 +129,29 @@ for _name, _q in (("lr_holdout", "logistic_regression"), ("rf_holdout", "random_
     register(_name)(_holdout_for(_q))
 
 
-@register("knn_holdout")
+def _knn_sql() -> str:
+    from .queries_ml import _holdout_quota_sql, _holdout_rows_sql
+
+    names = ("tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "fbeta", "mcc", "roc_auc", "fpr_at_90", "fpr_at_99")
+    long = " union all ".join(f"select model, '{n}' as metric, {n}::double as value from wide" for n in names)
+    return sql_round(f"""WITH emb as (select vec_id as pos, case when label = 0 then 1 else 0 end as y, embedding as e from embeddings),
+{_holdout_quota_sql("emb", "y")},{_holdout_rows_sql("emb", "y")},
+x as (select pos, y, split, unnest(e)::double as v, generate_subscripts(e, 1) as i from split_rows),
+st as (select i, avg(v) as m, stddev_samp(v) as s from x where split = 'train' group by i),
+z as (select pos, y, split, list((v - m) / s order by i) as e from x join st using (i) group by all),
+nn as (select q.pos, q.y, r.y as ry, row_number() over (partition by q.pos order by list_distance(q.e, r.e), r.pos) as k
+  from z q join z r on r.split = 'train' where q.split = 'test'),
+preds as (select 'knn' as model, pos, any_value(y) as y_true, avg(ry) as y_score, case when avg(ry) > 0.5 then 1 else 0 end as y_pred
+  from nn where k <= 15 group by pos),""" + _roc_sql("preds", "model") + f""",
+thr as ({_thr_sql('preds', 'model')}),
+auc as ({_part_fix(_auc_sql('preds', 'model'))}),
+fat as (select model, coalesce(min(fpr) filter (where tpr >= 0.9), 1.0) as fpr_at_90,
+        coalesce(min(fpr) filter (where tpr >= 0.99), 1.0) as fpr_at_99 from roc_pts group by model),
+wide as (select * from thr join auc using (model) join fat using (model))
+{long}""", ["value"])
+
+
+@register("knn_holdout", _knn_sql())
 def q_knn_holdout(spark, sf):
     preds = ML.holdout_predictions(_frame(spark, sf), [], with_knn=True, seed=SEED)
     return rounded(M.metrics_long(M.classification_metrics(preds, ["model"]), ["model"]))
@@ -261,7 +295,6 @@ def q_confusion_table(spark, sf):
 
 
 def _delta_sql() -> str:
-    one = lambda src: f"""(select * from ({_thr_sql(src)}) cross join ({_roc_fat(src)}))"""
     return sql_round(f"""WITH {_SCORED},
 dd as (select s.* from scored s join (select min(doc_id) as doc_id from documents group by text) f
        on s.pos = f.doc_id),
@@ -276,10 +309,6 @@ union all select 'fpr_at_99', pa.fpr_at_99, pb.fpr_at_99, pb.fpr_at_99 - pa.fpr_
                      ["value_full", "value_dedup", "delta"])
 
 
-def _roc_fat(src):
-    return ""
-
-
 @register("metric_delta", _delta_sql())
 def q_metric_delta(spark, sf):
     from ..operators.quality import unique_first
@@ -366,7 +395,43 @@ def q_first_examples(spark, sf):
 @register("roc_overlay", sql_round(f"WITH {_TWO_MODELS}," + _roc_sql("preds", "model") +
                                    " select * from roc_pts", ["threshold", "fpr", "tpr"]))
 def q_roc_overlay(spark, sf):
-    return rounded(RP.roc_overlay(_two_models(spark, sf)))
+    """A third model that saw one class only has no curve."""
+    two = _two_models(spark, sf)
+    one_class = two.where((F.col("model") == "n_chars_gt_400") & (F.col("y_true") == 0)).withColumn("model", F.lit("one_class"))
+    return rounded(RP.roc_overlay(two.unionByName(one_class)))
+
+
+@register("metrics_positive0", sql_round(f"""WITH {_SCORED},
+flipped as (select pos, 1 - y_true as y_true, 1 - y_pred as y_pred, y_score from scored),
+m as ({_thr_sql('flipped')}),
+auc as ({_part_fix(_auc_sql('flipped'))})
+select tn, fp, fn, tp, accuracy, precision, recall, f1, fbeta, mcc, roc_auc from m, auc""",
+                                         ["accuracy", "precision", "recall", "f1", "fbeta", "mcc", "roc_auc"]))
+def q_metrics_positive0(spark, sf):
+    """Label 0 as the positive class."""
+    m = M.classification_metrics(views.scored(spark, sf), positive_label=0)
+    return rounded(m.select("tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "fbeta", "mcc", "roc_auc"))
+
+
+def _cv_f1_sql() -> str:
+    return f"""{_TWO_MODELS},
+folded as (select *, cast((row_number() over (partition by model, y_true
+   order by md5(concat('{SEED}:', cast(pos as varchar)))) - 1) % 5 as integer) as fold from preds),
+thr as ({_thr_sql('folded', 'model, fold')}),
+f as (select model, avg(f1) as mean_f1 from thr group by model)"""
+
+
+@register("best_model", sql_round(f"WITH {_cv_f1_sql()} select model, mean_f1 from f order by mean_f1 desc, model limit 1", ["mean_f1"]))
+def q_best_model(spark, sf):
+    """The model with the highest mean F1 over folds."""
+    cv = None
+    for name in ("n_chars_gt_1000", "n_chars_gt_400"):
+        rows = _two_models(spark, sf).where(F.col("model") == name)
+        folded = sp.kfold(rows.withColumnRenamed("y_true", "label"), 5, "label", "pos", SEED).withColumnRenamed("label", "y_true")
+        cv = folded if cv is None else cv.unionByName(folded)
+    summary = ML.cv_summary(cv)
+    best = ML.best_model(summary, ["n_chars_gt_1000", "n_chars_gt_400"])
+    return rounded(summary.where((F.col("model") == best) & (F.col("metric") == "f1")).select("model", F.col("mean").alias("mean_f1")))
 
 
 @register("profile_head", _PAGES_PARSED + """
@@ -378,7 +443,24 @@ def q_profile_head(spark, sf):
     return head.select("pos", "method", "target", "version", F.size("headers").alias("n_headers"), "label")
 
 
-@register("cv_format")
+def _cv_format_sql() -> str:
+    from .queries_ml import _FOLDED
+
+    names = ("f1", "fbeta", "mcc", "roc_auc", "precision", "recall", "accuracy", "fpr_at_90", "fpr_at_99")
+    means = ", ".join(f"avg({n}) filter (where not isnan({n})) as {n}" for n in names)
+    stds = ", ".join(f"stddev_pop({n}) filter (where not isnan({n})) as s_{n}" for n in ("f1", "mcc", "roc_auc"))
+    text = " || ', ' || ".join(f"printf('{n}=%.3f+/-%.3f', {n}, s_{n})" for n in ("f1", "mcc", "roc_auc"))
+    return sql_round(f"WITH {_FOLDED}," + _roc_sql("folded", "fold") + f""",
+thr as ({_thr_sql('folded', 'fold')}),
+auc as ({_part_fix(_auc_sql('folded', 'fold'))}),
+fat as (select fold, coalesce(min(fpr) filter (where tpr >= 0.9), 1.0) as fpr_at_90,
+        coalesce(min(fpr) filter (where tpr >= 0.99), 1.0) as fpr_at_99 from roc_pts group by fold),
+wide as (select * from thr join auc using (fold) join fat using (fold)),
+a as (select {means}, {stds} from wide)
+select 'scored' as model, {text} as summary, {', '.join(names)} from a""", list(names))
+
+
+@register("cv_format", _cv_format_sql())
 def q_cv_format(spark, sf):
     """CV means as a model × metric table and the ``f1=…+/-…`` summary strings."""
     from .queries_ml import SEED as _S
@@ -386,4 +468,4 @@ def q_cv_format(spark, sf):
     folded = sp.kfold(views.scored(spark, sf).withColumnRenamed("y_true", "label"), 5, "label", "pos", _S)
     folded = folded.withColumnRenamed("label", "y_true").withColumn("model", F.lit("scored"))
     summary = ML.cv_summary(folded)
-    return RP.format_cv(summary).join(RP.cv_table(summary), "model")
+    return rounded(RP.format_cv(summary).join(RP.cv_table(summary), "model"))

@@ -22,7 +22,11 @@ def _byte_id_list_sql() -> str:
     return "[" + ", ".join(str(index[b2u[b]]) for b in range(256)) + "]"
 
 
-@register("pretoken_counts")
+#: A run of spaces before a word gives its last character to the word's token (chr(1) marks the place).
+@register("pretoken_counts", r"""
+with d as (select regexp_replace(text, '(\s)(\s)([^\s])', '\1' || chr(1) || '\2\3', 'g') as t from documents),
+p as (select unnest(regexp_extract_all(t, $$'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+$$)) as pretoken from d)
+select pretoken, count(*) as n from p group by pretoken""")
 def q_pretoken_counts(spark, sf):
     """K2 over all documents (checked against the public pre-tokenizer in tests)."""
     return bpe.pretoken_counts(views.table(spark, sf, "documents"), "text")

@@ -43,13 +43,32 @@ def _valid_utf8(c: Column) -> Column:
     return F.make_valid_utf8(c)
 
 
+def _dump_folders(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(path as given, its raw URI path) of the paths that are folders of part files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.getFileStatus(path).isDirectory():
+            out.append((p, fs.makeQualified(path).toUri().getRawPath()))
+    return out
+
+
 def read_dump_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(source_file, split_start, mid, line) in file order, invalid UTF-8 → U+FFFD."""
+    """(dump, source_file, split_start, mid, line) in file order, invalid UTF-8 → U+FFFD.
+
+    ``dump`` is the folder for a dump that is a folder of part files, else the file."""
     if isinstance(paths, str):
         paths = [paths]
     df = spark.read.text(list(paths))
+    file = F.col("_metadata.file_path")
+    at = F.coalesce(F.try_parse_url(file, F.lit("PATH")), file)
+    dump = file
+    for given, raw in _dump_folders(spark, paths):
+        dump = F.when(at.startswith(raw.rstrip("/") + "/"), F.lit(given)).otherwise(dump)
     return df.select(
-        F.col("_metadata.file_path").alias("source_file"),
+        dump.alias("dump"), file.alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("mid"),
         _valid_utf8(F.col("value")).alias("line"),
@@ -57,10 +76,10 @@ def read_dump_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFram
 
 
 def files_with_bom(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Files whose first bytes are a UTF-8 byte-order mark.
+    """Raw URI paths of the first files of those dumps that begin with a UTF-8 byte-order mark.
 
     The Hadoop line reader drops that mark, while a text-mode read keeps it (so a
-    BOM-prefixed first request line does not open a block).  Three bytes per file
+    BOM-prefixed first request line does not open a block).  Three bytes per dump
     are read through the Hadoop FileSystem API.
     """
     jvm = spark.sparkContext._jvm
@@ -69,64 +88,72 @@ def files_with_bom(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(conf)
-        statuses = fs.globStatus(path) or []
-        files = []
-        for st in statuses:
-            if st.isDirectory():
-                it = fs.listFiles(st.getPath(), True)
-                while it.hasNext():
-                    files.append(it.next().getPath())
-            else:
-                files.append(st.getPath())
-        for f in files:
-            if fs.getFileStatus(f).getLen() < 3:
-                continue
-            stream = fs.open(f)
-            try:
-                head = [stream.read() for _ in range(3)]
-            finally:
-                stream.close()
-            if head == [0xEF, 0xBB, 0xBF]:
-                out.append(f.toUri().getRawPath())
+        for st in fs.globStatus(path) or []:
+            files = sorted((x.getPath() for x in fs.listStatus(st.getPath()) if x.isFile()), key=lambda f: f.getName()) \
+                if st.isDirectory() else [st.getPath()]
+            files = [f for f in files if not f.getName().startswith(("_", "."))][:1]
+            for f in files:
+                stream = fs.open(f)
+                try:
+                    head = [stream.read() for _ in range(3)]
+                finally:
+                    stream.close()
+                if head == [0xEF, 0xBB, 0xBF]:
+                    out.append(f.toUri().getRawPath())
     return out
 
 
-def number_blocks(lines: DataFrame, strip_cr: bool = True, bom_files: Sequence[str] = ()) -> DataFrame:
-    """Give every line the number of its request block within its file (0 = junk).
+def split_starts(lines: DataFrame) -> DataFrame:
+    """(dump, source_file, split_start, n_starts, offset): request lines per input split and in
+    the splits before it, in order of part name and place.  One light pass; one row per split."""
+    per_split = lines.groupBy("dump", "source_file", "split_start").agg(F.sum("is_start").alias("n_starts"))
+    earlier = Window.partitionBy("dump").orderBy("source_file", "split_start").rowsBetween(Window.unboundedPreceding, -1)
+    return per_split.select("*", F.coalesce(F.sum("n_starts").over(earlier), F.lit(0)).alias("offset"))
 
-    A running count of request-line starts inside each (file, split) — a window
-    bounded by the split size — plus the count of starts in earlier splits of the
-    same file (a prefix sum over one row per split).
-    """
+
+def mark_starts(lines: DataFrame, strip_cr: bool = True, bom_files: Sequence[str] = ()) -> DataFrame:
+    """Add ``is_start`` (1 for a line that opens a request block)."""
     if strip_cr:
         lines = lines.withColumn("line", F.regexp_replace("line", "\r+$", ""))
+    if "dump" not in lines.columns:
+        lines = lines.withColumn("dump", F.col("source_file"))
     lines = lines.withColumn("is_start", is_request_line(F.col("line")).cast("int"))
-    in_split = Window.partitionBy("source_file", "split_start").orderBy("mid").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
     if bom_files:
         first = (F.col("split_start") == 0) & (F.row_number().over(
             Window.partitionBy("source_file", "split_start").orderBy("mid")) == 1)
         bom = F.coalesce(F.try_parse_url(F.col("source_file"), F.lit("PATH")),
                          F.col("source_file")).isin(list(bom_files))
         lines = lines.withColumn("is_start", F.when(first & bom, F.lit(0)).otherwise(F.col("is_start")))
+    return lines
+
+
+def number_blocks(lines: DataFrame, strip_cr: bool = True, bom_files: Sequence[str] = (),
+                  starts: DataFrame | None = None) -> DataFrame:
+    """Give every line the number of its request block within its dump (0 = before the first).
+
+    A running count of request-line starts inside each (file, split) — a window
+    bounded by the split size — plus the count of starts in earlier splits and
+    parts of the same dump, so a block may run over the edge of a split or part.
+    """
+    if "is_start" not in lines.columns:
+        lines = mark_starts(lines, strip_cr, bom_files)
+    in_split = Window.partitionBy("source_file", "split_start").orderBy("mid").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("local_block", F.sum("is_start").over(in_split))
-    per_split = lines.groupBy("source_file", "split_start").agg(F.sum("is_start").alias("n_starts"))
-    earlier = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = per_split.select(
-        "source_file", "split_start",
-        F.coalesce(F.sum("n_starts").over(earlier), F.lit(0)).alias("offset"))
+    offsets = (split_starts(lines) if starts is None else starts).select("source_file", "split_start", "offset")
     return (lines.join(offsets, ["source_file", "split_start"])
             .withColumn("block_no", (F.col("offset") + F.col("local_block")).cast("long"))
             .drop("offset", "local_block"))
 
 
 def assemble_blocks(numbered: DataFrame) -> DataFrame:
-    """(source_file, block_no, lines[]) for every real block, lines in file order."""
+    """(dump, source_file, block_no, lines[]) for every real block, lines in file order;
+    ``source_file`` is the part in which the block begins."""
     grouped = (numbered.where(F.col("block_no") > 0)
-               .groupBy("source_file", "block_no")
-               .agg(F.array_sort(F.collect_list(F.struct("split_start", "mid", "line"))).alias("_l"))
-               .select("source_file", "block_no", F.transform("_l", lambda x: x["line"]).alias("_all")))
+               .groupBy("dump", "block_no")
+               .agg(F.array_sort(F.collect_list(F.struct("source_file", "split_start", "mid", "line"))).alias("_l"))
+               .select("dump", F.element_at("_l", 1)["source_file"].alias("source_file"), "block_no",
+                       F.transform("_l", lambda x: x["line"]).alias("_all")))
     return grouped.withColumn("lines", strip_trailing_blanks(F.col("_all"))).drop("_all")
 
 
@@ -181,71 +208,81 @@ def requests_from_raw(df: DataFrame, pos_col: str = "pos", raw_col: str = "raw",
 
 # ---------------------------------------------------------------- bundle
 
-def check_manifest(spark: SparkSession, raw_dir: str, names: Sequence[str]) -> None:
-    """Every expected dump exists and is non-empty; the error names the path.
+def manifest_status(spark: SparkSession, raw_dir: str, names: Sequence[str]) -> DataFrame:
+    """(name, status) of the expected dumps, status ok, missing or empty.
 
     Metadata only (Hadoop FileSystem status / content summary), bounded by the
     number of expected dumps; a dump may be one file or a directory of parts.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = raw_dir.rstrip("/")
+    rows = []
     for name in names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{raw_dir.rstrip('/')}/{name}")
         fs = path.getFileSystem(conf)
-        if not fs.exists(path):
-            raise FileNotFoundError(f"request dump not found: {base}/{name}")
-        if fs.getContentSummary(path).getLength() == 0:
-            raise ValueError(f"request dump is empty: {base}/{name}")
+        rows.append((name, "missing" if not fs.exists(path) else "empty" if fs.getContentSummary(path).getLength() == 0 else "ok"))
+    return spark.createDataFrame(rows, "name string, status string")
+
+
+def check_manifest(spark: SparkSession, raw_dir: str, names: Sequence[str]) -> None:
+    """Every expected dump exists and is non-empty; the error names the path."""
+    for name, status in manifest_status(spark, raw_dir, names).collect():
+        if status == "missing":
+            raise FileNotFoundError(f"request dump not found: {raw_dir.rstrip('/')}/{name}")
+        if status == "empty":
+            raise ValueError(f"request dump is empty: {raw_dir.rstrip('/')}/{name}")
 
 
 def load_bundle(spark: SparkSession, raw_dir: str, files=CSIC_FILES, subset_fraction: float | None = None,
                 subset_seed: int = 42, caps: dict | None = None, strip_cr: bool = True) -> DataFrame:
     """One read over all dumps → requests with ``split`` in {lm_train, inference}.
 
-    A dump is a file or a directory of part files (read in name order).
-    ``pos`` restarts per view; inference lists normal then anomalous blocks (U1).
-    The tokenizer corpus is ``tokenizer_corpus(bundle)`` (U2).  Subsets (S7) are
-    exact seeded samples per dump; caps (S8) keep the first N of each dump.
+    A dump is a file or a directory of part files (read in name order, as one text:
+    a request may run over the edge of a part).  ``pos`` restarts per view; inference
+    lists normal then anomalous blocks (U1).  The tokenizer corpus is
+    ``tokenizer_corpus(bundle)`` (U2).  Subsets (S7) are exact seeded samples per
+    dump; caps (S8) keep the first N of each dump.  The requests per input split are
+    counted in one light pass; all block, dump and view offsets derive from that table.
     """
-    from ..operators.splits import ordered_rank, sample_exact
+    from ..operators.splits import keep_count, ordered_rank, sample_exact
+    from ..session import cut_lineage
 
     check_manifest(spark, raw_dir, [f[0] for f in files])
-    dim = spark.createDataFrame(
-        [(name, label, role, i) for i, (name, label, role) in enumerate(files)],
-        "name string, label int, split string, file_ord int")
     base = raw_dir.rstrip("/")
     paths = [f"{base}/{f[0]}" for f in files]
-    bom = files_with_bom(spark, paths)
-    blocks = parse_blocks(assemble_blocks(number_blocks(read_dump_lines(spark, paths), strip_cr, bom)))
+    lines = read_dump_lines(spark, paths)
+    # the dump's number: its name is the file's or its folder's
     parts = F.split("source_file", "/")
-    names = [f[0] for f in files]
-    blocks = blocks.withColumn("name", F.when(F.element_at(parts, -1).isin(names), F.element_at(parts, -1))
-                               .otherwise(F.element_at(parts, -2)))
-    req = blocks.join(F.broadcast(dim), "name")
-    # position inside a dump: part files in name order (one row per part file), then block order
-    per_part = req.groupBy("file_ord", "source_file").agg(F.max("block_no").alias("_nb"))
-    w = Window.partitionBy("file_ord").orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
-    part_off = per_part.select("file_ord", "source_file", F.coalesce(F.sum("_nb").over(w), F.lit(0)).alias("_po"))
-    req = req.join(F.broadcast(part_off), ["file_ord", "source_file"]).withColumn(
-        "pos", (F.col("_po") + F.col("block_no") - 1).cast("long")).drop("_po")
-    caps = caps or {}
+    ordinal = F.lit(None).cast("int")
+    for i, (name, _, _) in enumerate(files):
+        ordinal = F.when((F.element_at(parts, -1) == name) | (F.element_at(parts, -2) == name), F.lit(i)).otherwise(ordinal)
+    lines = mark_starts(lines.withColumn("dump", ordinal), strip_cr, files_with_bom(spark, paths))
+    starts = cut_lineage(split_starts(lines))
+    req = parse_blocks(assemble_blocks(number_blocks(lines, starts=starts))).withColumnRenamed("dump", "file_ord")
+    req = req.withColumn("pos", F.col("block_no") - 1)
     if subset_fraction is not None:
         req = sample_exact(req, subset_fraction, subset_seed, key="pos", group_cols=("file_ord",))
-    elif caps:
-        cond = F.lit(True)
-        for name, cap in caps.items():
-            cond = cond & ((F.col("name") != name) | (F.col("pos") < cap))
-        req = req.where(cond)
-    if subset_fraction is not None or caps:
+    for name, cap in (caps or {}).items() if subset_fraction is None else ():
+        ords = [i for i, f in enumerate(files) if f[0] == name]
+        req = req.where(~F.col("file_ord").isin(ords) | (F.col("pos") < cap))
+    if subset_fraction is not None:
         # sampling leaves gaps: renumber densely in file order (distributed rank)
         req = ordered_rank(req, "pos", group_cols=("file_ord",), out="pos")
-    # Positions restart per view: dump order, then block order.
-    per_file = req.groupBy("split", "file_ord").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("split").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_file.select("split", "file_ord", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    req = req.join(F.broadcast(offs), ["split", "file_ord"]).withColumn(
-        "pos", (F.col("pos") + F.col("_off")).cast("long"))
+    # positions restart per view: dump order, then block order (U1); one number per dump
+    total = {r[0]: r[1] for r in starts.groupBy("dump").agg(F.sum("n_starts")).collect()}
+    offset, seen = F.lit(0), {}
+    label, role = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (name, lab, view) in enumerate(files):
+        n = int(total.get(i) or 0)
+        if subset_fraction is not None:
+            n = min(n, keep_count(n, subset_fraction)) if n else 0
+        elif name in (caps or {}):
+            n = min(n, caps[name])
+        offset = F.when(F.col("file_ord") == i, F.lit(seen.get(view, 0))).otherwise(offset)
+        label = F.when(F.col("file_ord") == i, F.lit(lab)).otherwise(label)
+        role = F.when(F.col("file_ord") == i, F.lit(view)).otherwise(role)
+        seen[view] = seen.get(view, 0) + n
+    req = req.select("*", label.alias("label"), role.alias("split")).withColumn("pos", (F.col("pos") + offset).cast("long"))
     return req.select(*REQUEST_COLUMNS)
 
 
@@ -264,7 +301,7 @@ def load_structured(spark: SparkSession, path: str, fmt: str = "json", label: in
     ``columns`` maps schema fields to source columns (method, target, version,
     headers, body, label); headers may be an array of {name, value} structs or a
     ``Name: value`` newline-separated string.  Positions follow the source order
-    by file and row (two-level rank, no global sort).
+    by file name, place in the file and row (range-placed rank).
     """
     from ..functions.request import parse_header
     from ..operators.splits import ordered_rank
@@ -287,7 +324,9 @@ def load_structured(spark: SparkSession, path: str, fmt: str = "json", label: in
         headers = F.array().cast("array<struct<name:string,value:string>>")
     headers = F.coalesce(headers, F.array().cast("array<struct<name:string,value:string>>"))
     lab = F.col(label).cast("int") if isinstance(label, str) else F.lit(label)
-    base = df.select(F.monotonically_increasing_id().alias("_mid"), col("method").alias("method"),
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("row"))  # ids rise inside a split only
+    base = df.select(place.alias("_mid"), col("method").alias("method"),
                      col("target").alias("target"), col("version").alias("version"), headers.alias("headers"),
                      col("body").alias("body"), lab.alias("label"),
                      F.col("_metadata.file_path").alias("source_file"))

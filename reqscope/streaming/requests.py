@@ -43,8 +43,8 @@ def stream_dump_files(spark: SparkSession, source_dir: str, sink_dir: str, label
         req = parse_blocks(assemble_blocks(numbered))
         (req.select((F.col("block_no") - 1).alias("pos"), "source_file", "block_no", "method", "target",
                     "version", "headers", "body", "raw", F.lit(label).alias("label"),
-                    F.lit("stream").alias("split"), F.lit(epoch).alias("batch"))
-         .write.mode("append").parquet(sink_dir))
+                    F.lit("stream").alias("split"))
+         .write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch={epoch}"))  # a retry replaces its own batch
 
     writer = (lines.writeStream.foreachBatch(per_batch)
               .option("checkpointLocation", _checkpoint(spark, "dumps", checkpoint)))

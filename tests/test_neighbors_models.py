@@ -29,7 +29,7 @@ def _brute_knn(q, r, k, exclude_self):
 def test_knn_exact_and_block_independent(points):
     x, df = points
     a = NB.knn(df, df, 5, exclude_self=True).collect()
-    b = NB.knn(df, df, 5, exclude_self=True, block_rows=37).collect()
+    b = NB.knn(df, df, 5, exclude_self=True, ref_rows=37).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) or \
         sorted((r.qid, r.rank, r.rid) for r in a) == sorted((r.qid, r.rank, r.rid) for r in b)
     idx, dist = _brute_knn(x, x.astype(np.float64), 5, True)
@@ -40,11 +40,10 @@ def test_knn_exact_and_block_independent(points):
             assert dd == pytest.approx(dist[i, j], rel=1e-9)
 
 
-def test_knn_tree_merge(points, monkeypatch):
+def test_knn_merges_reference_blocks(points):
     x, df = points
     a = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 4, exclude_self=True).collect()}
-    monkeypatch.setattr(NB, "MERGE_FAN_IN", 2)
-    b = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 4, exclude_self=True, block_rows=23).collect()}
+    b = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 4, exclude_self=True, ref_rows=23).collect()}
     assert a == b
 
 
