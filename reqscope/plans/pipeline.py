@@ -28,6 +28,8 @@ from ..operators import models as ML
 from ..operators import quality as qa
 from ..operators import report as RP
 from ..operators import splits as sp
+from ..operators.correlation import correlation
+from ..operators.distribution import feature_histograms
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import views
 from ..sources.dumps import CSIC_FILES, load_bundle, tokenizer_corpus
@@ -91,10 +93,17 @@ def run_pipeline(spark: SparkSession, raw_dir: str, out_dir: str | None = None,
     feats = feature_frame(inference, keep=("pos",))
     out["class_balance"] = qa.class_balance(inference)
     out["method_crosstab"] = qa.crosstab(inference, "method")
-    out["duplicates"] = qa.duplicate_levels({
-        "raw_text": (inference, "text"), "request_line": (inference, "request_line"),
-        "feature_fingerprint": (feats, [c for c in feats.columns if c != "pos"])})
+    columns = [c for c in feats.columns if c != "pos"]
+    keyed = feature_frame(inference, keep=("pos", "text", "request_line"))
+    out["duplicates"] = qa.duplicate_levels_of(keyed, {"raw_text": "text", "request_line": "request_line", "feature_fingerprint": columns})
     out["describe"] = qa.describe(feats, list(NUMERIC_FEATURES), (0.5, 0.9, 0.99))
+    out["describe_text"] = qa.describe_text(feats, ["method"])
+    out["missing"] = qa.missing_values(feats, columns)
+    out["constant"] = qa.constant_columns(feats, columns)
+    out["duplicate_rows"] = qa.duplicate_rows(feats, columns)
+    out["duplicate_columns"] = qa.duplicate_columns(feats, columns)
+    out["correlation"] = correlation(feats, [*NUMERIC_FEATURES, "label"], "spearman")
+    out["distributions"] = feature_histograms(feats, list(NUMERIC_FEATURES), "label")
 
     # tokenizer on all traffic, language model on normal traffic
     corpus = tokenizer_corpus(bundle).select(F.explode("lines").alias("line"))
@@ -120,6 +129,8 @@ def run_pipeline(spark: SparkSession, raw_dir: str, out_dir: str | None = None,
     preds = [ML.holdout_predictions(frame, seed=cfg.seed, test_size=cfg.test_size)]
     normal_frame = ML.vector_frame(emb_lm, "pos", "y", "embedding")
     preds.append(ML.anomaly_predictions(frame, normal_frame, test, cfg.seed))
+    # The detectors on the whole inference set
+    out["detectors"] = M.classification_metrics(ML.anomaly_predictions(frame, normal_frame, frame, cfg.seed, with_lof=False), ["model"])
     mlp_preds, history = ML.mlp_head(train, test, cfg.seed)
     preds.append(mlp_preds)
     preds.append(ML.descriptive_baseline(feats, list(NUMERIC_FEATURES), cfg.seed))
@@ -135,7 +146,10 @@ def run_pipeline(spark: SparkSession, raw_dir: str, out_dir: str | None = None,
     out["errors"] = RP.error_examples(all_preds, inference, "request_line", k=5)
     out["learning_curve"] = lm.normalize_history(history)
     if cfg.run_cv:
-        out["cv"] = ML.cv_summary(ML.cross_validate(frame, folds=cfg.cv_folds, seed=cfg.seed))
+        out["cv"] = cut_lineage(ML.cv_summary(ML.cross_validate(frame, folds=cfg.cv_folds, seed=cfg.seed)))
+        # Best mean F1 over folds; its refit on the training side of the holdout is among the predictions
+        best = ML.best_model(out["cv"], [s.name for s in ML.build_classifiers(cfg.seed)] + ["knn"])
+        out["best"] = wide.where(F.col("model") == best)
 
     # leakage and de-duplicated re-evaluation (entry point 3)
     first = inference.select("pos", F.col("request_line").alias("key"))
@@ -148,10 +162,23 @@ def run_pipeline(spark: SparkSession, raw_dir: str, out_dir: str | None = None,
     full = all_preds.where(F.col("model") == "logistic_regression")
     out["dedup_delta"] = M.metric_delta(M.classification_metrics(full), M.classification_metrics(dedup))
 
+    # One line per headline, and the record of the run
+    points = RP.format_point(wide).unionByName(RP.format_point(out["detectors"].withColumn("model", F.concat("model", F.lit("_all")))))
+    out["summary"] = points if "cv" not in out else points.unionByName(
+        RP.format_cv(out["cv"]).withColumn("model", F.concat(F.lit("cv_"), "model")))
+    settings = [("config." + k, str(v)) for k, v in vars(cfg).items()]
+    record = spark.createDataFrame(settings, "key string, value string")
+    record = record.unionByName(long.where(~F.isnan("value")).select(F.concat_ws(".", F.lit("metric"), "model", "metric").alias("key"), F.round("value", 4).cast("string").alias("value")))
+    record = record.unionByName(out["class_balance"].select(F.concat(F.lit("class."), F.col("label").cast("string")).alias("key"), F.col("n").cast("string").alias("value")))
+    record = record.unionByName(out["duplicates"].select(F.concat(F.lit("duplicate_rate."), "level").alias("key"), F.round("duplicate_rate", 4).cast("string").alias("value")))
+    if "best" in out:
+        record = record.unionByName(out["best"].select(F.lit("best_model").alias("key"), F.col("model").alias("value")))
+    out["record"] = record
+
     if out_dir:
         for name in ("comparison", "metrics", "confusion", "roc", "cv"):
             if name in out:
                 RP.write_metrics_csv(out[name], os.path.join(out_dir, name))
-        for name in ("errors", "duplicates", "leakage_holdout", "leakage_cross", "dedup_delta", "class_balance"):
+        for name in ("errors", "duplicates", "leakage_holdout", "leakage_cross", "dedup_delta", "class_balance", "summary", "record"):
             RP.write_json(out[name], os.path.join(out_dir, name))
     return out
