@@ -15,8 +15,9 @@ a smaller id.
     on their first ``width`` bytes.  Each class of equal windows gets its smallest document.
 4.  Answers go back to the pieces, which cut the covered bytes.
 
-An anchor that more than HOT pieces have is not gathered: its windows are contexts of their own
-and spread by their content, so what a third of all documents share costs a row per piece.
+An anchor that more than HOT pieces have is not gathered: its windows are spread over the shards
+by their 64-bit hashes and matched by them, so what a third of all documents share costs a
+few bytes per window and piece.
 
 Defined results: null is empty; texts shorter than ``width`` stay whole; rows with the same id
 are no reason to remove anything from each other; a null id counts as larger than all others.
@@ -30,21 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import default_parts, mix64, scratch, slices, small_batches
+from .common import default_parts, mix64, scratch, seeded, slices, small_batches
 
 GRAM = 16
 PIECE = 1 << 20
 HOT = 256
 #: Bytes of context text that are sorted at a time (the contexts of one anchor stay together).
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 PIECES = "piece long, ids binary, known binary, ends binary, data binary"
-CONTEXTS = "shard int, piece long, n long, anchor binary, mark binary, size binary, low binary, top binary, data binary"
+CONTEXTS = "shard int, piece long, n long, data binary, hot binary"
 
 
 # ---- suffix sorting -------------------------------------------------------------------------
@@ -188,117 +190,188 @@ class Piece:
         self.first = window[run]
         self.last = window[np.append(run[1:], len(window)) - 1]
         self.doc = owner[run]
-        self.anchor = grams[at[run]]
+        self.anchor = seeded(grams[at[run]], 3)  # least hashes crowd near 0: hashed again
 
     def hashes(self, start: np.ndarray, size) -> np.ndarray:
         return mix64((self.total[start + size] - self.total[start]) * self.down[start])
 
 
+def _sent(p: Piece, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the piece's distinct anchors in order, whether two documents have them, where the shards
+    begin, the place of each run's anchor)."""
+    values, place = np.unique(p.anchor, return_inverse=True)
+    low, top = np.full(len(values), len(p.ids)), np.full(len(values), -1)
+    np.minimum.at(low, place, p.doc)
+    np.maximum.at(top, place, p.doc)
+    return values, low != top, np.searchsorted((values >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1)), place
+
+
 def _anchors(width: int, shards: int):
-    """Per shard the piece's distinct anchors; the lowest bit says that two documents have it."""
+    """Per shard the piece's distinct anchors, their lower 40 bits (the shard holds the upper
+    ones, and a chance meeting only makes one context too many), and which two documents have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 p = Piece(row, width)
                 if not len(p.anchor):
                     continue
-                order = np.argsort(p.anchor, kind="stable")
-                a, doc = p.anchor[order], p.doc[order]
-                new = np.ones(len(a), bool)
-                new[1:] = a[1:] != a[:-1]
-                at = np.flatnonzero(new)
-                many = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-                a = (a[at] & ~np.uint64(1)) | many.astype(np.uint64)
-                cuts = np.searchsorted((a >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+                values, many, cuts, _ = _sent(p, shards)
+                low = values.view(np.uint8).reshape(-1, 8)[:, :5]
                 some = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_pydict({"shard": pa.array(some, pa.int32()), "piece": pa.array([row["piece"]] * len(some), pa.int64()),
-                                                  "anchors": pa.array([a[cuts[s]:cuts[s + 1]].tobytes() for s in some], pa.binary())})
+                                                  "anchors": pa.array([low[cuts[s]:cuts[s + 1]].tobytes() for s in some], pa.binary()),
+                                                  "many": pa.array([np.packbits(many[cuts[s]:cuts[s + 1]]).tobytes() for s in some], pa.binary())})
     return run
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """What a shard answers each piece: its anchors that two documents have; lowest bit: hot."""
-    sent = [np.frombuffer(x, np.uint64) for x in t.column("anchors").to_pylist()]
-    flat = np.concatenate(sent)
-    values, inverse, count = np.unique(flat >> np.uint64(1), return_inverse=True, return_counts=True)
+    """What a shard answers each piece, in the order in which the piece sent its anchors: which
+    two documents have, and which are hot."""
+    sent = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in t.column("anchors").to_pylist()]
+    size = [len(x) for x in sent]
+    wide = np.zeros((sum(size), 8), np.uint8)
+    wide[:, :5] = np.concatenate(sent)
+    values, inverse, count = np.unique(wide.view(np.uint64)[:, 0], return_inverse=True, return_counts=True)
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(t.column("many").to_pylist(), size)]
     many = np.zeros(len(values), bool)
-    np.logical_or.at(many, inverse, (flat & np.uint64(1)).astype(bool))
-    shared, hot = (count > 1) | many, count > HOT
-    out = (values << np.uint64(1)) | hot.astype(np.uint64)
-    pieces, blobs, at = [], [], 0
-    for piece, x in zip(t.column("piece").to_pylist(), sent):
-        mine = inverse[at:at + len(x)]
-        at += len(x)
-        mine = mine[shared[mine]]
-        if len(mine):
-            pieces.append(piece)
-            blobs.append(out[mine].tobytes())
-    return pa.table({"piece": pa.array(pieces, pa.int64()), "shared": pa.array(blobs, pa.binary())})
-
-
-def _lookup(anchor: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(shared, hot) for each anchor."""
-    known = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in blobs]]))
-    if not len(known):
-        return np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
-    at = np.minimum(np.searchsorted(known >> np.uint64(1), anchor >> np.uint64(1)), len(known) - 1)
-    shared = known[at] >> np.uint64(1) == anchor >> np.uint64(1)
-    return shared, shared & (known[at] & np.uint64(1)).astype(bool)
-
-
-def _contexts_of(p: Piece, blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """(anchor, first, size, doc) of the contexts of a piece; windows of hot anchors are single."""
-    shared, hot = _lookup(p.anchor, blobs)
-    whole = shared & ~hot
+    np.logical_or.at(many, inverse, np.concatenate(flags).astype(bool))
+    shared, hot = ((count > 1) | many)[inverse], (count > HOT)[inverse]
+    edge = np.concatenate([[0], np.cumsum(size)]).tolist()
+    bits = [np.packbits(np.concatenate([shared[a:b], hot[a:b]])).tobytes() for a, b in zip(edge, edge[1:])]
+    return pa.table({"piece": t.column("piece"), "shard": t.column("shard"), "shared": pa.array(bits, pa.binary())})
+
+
+def _contexts_of(p: Piece, answers: list[dict], shards: int, width: int) -> tuple[np.ndarray, ...]:
+    """(anchor, first, size, doc, hot) of the contexts of a piece; windows of hot anchors are single."""
+    values, _, cuts, place = _sent(p, shards)
+    shared, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    for a in answers:
+        lo, hi = cuts[a["shard"]], cuts[a["shard"] + 1]
+        bits = np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=2 * (hi - lo)).astype(bool)
+        shared[lo:hi], hot[lo:hi] = bits[:hi - lo], bits[hi - lo:]
+    hot = (shared & hot)[place]
+    whole = shared[place] & ~hot
     count = (p.last - p.first + 1)[hot]
     first = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(p.first[hot], count)
-    return (np.concatenate([p.anchor[whole], p.hashes(first, width)]), np.concatenate([p.first[whole], first]),
+    n = int(whole.sum())
+    return (np.concatenate([p.anchor[whole], np.zeros(len(first), np.uint64)]), np.concatenate([p.first[whole], first]),
             np.concatenate([(p.last - p.first)[whole] + width, np.full(len(first), width)]),
-            np.concatenate([p.doc[whole], np.repeat(p.doc[hot], count)]))
+            np.concatenate([p.doc[whole], np.repeat(p.doc[hot], count)]), np.arange(n + len(first)) >= n)
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
 
 
-def _contexts(width: int, shards: int):
+def _contexts(width: int, parts: int, shards: int):
     def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c.split()[0]: [] for c in CONTEXTS.split(", ")}
-        pack = zstandard.ZstdCompressor(level=1)
-        blobs = answers.column("shared").to_pylist()
-        for row in pieces.to_pylist() if blobs else ():
+        out: dict[str, list] = {"shard": [], "piece": [], "n": [], "data": [], "hot": []}
+        pack = zstandard.ZstdCompressor(level=3)
+        told = answers.to_pylist()
+        for row in pieces.to_pylist() if told else ():
             p = Piece(row, width)
-            anchor, first, size, doc = _contexts_of(p, blobs, width)
+            anchor, first, size, doc, hot = _contexts_of(p, told, parts, width)
             if not len(first):
                 continue
             mark = p.hashes(first, size)
+            for s, blob in _hot_windows(mark[hot], p.ids[doc[hot]], shards):
+                for c, v in (("shard", s), ("piece", row["piece"]), ("n", 0), ("data", None), ("hot", pack.compress(blob))):
+                    out[c].append(v)
+            anchor, first, size, doc, mark = (x[~hot] for x in (anchor, first, size, doc, mark))
+            if not len(first):
+                continue
             order = np.lexsort((mark, anchor))
             anchor, first, size, doc, mark = anchor[order], first[order], size[order], doc[order], mark[order]
-            new = np.ones(len(mark), bool)  # equal contexts once, with their least and largest document
+            new = np.ones(len(mark), bool)  # equal contexts once, with their least document
             new[1:] = (mark[1:] != mark[:-1]) | (anchor[1:] != anchor[:-1])
             at = np.flatnonzero(new)
             ids = p.ids[doc]
-            low, top = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-            anchor, first, size, mark = anchor[at], first[at], size[at], mark[at]
+            low = np.minimum.reduceat(ids, at)
+            many = low != np.maximum.reduceat(ids, at)
+            anchor, first, size = anchor[at], first[at], size[at]
             cuts = np.searchsorted((anchor >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cuts)):
                 k = slice(cuts[s], cuts[s + 1])
-                text = p.data[_ranges(first[k], size[k])].tobytes()
-                for c, v in (("shard", int(s)), ("piece", row["piece"]), ("n", int(cuts[s + 1] - cuts[s])), ("anchor", anchor[k].tobytes()), ("mark", mark[k].tobytes()),
-                             ("size", size[k].astype(np.int32).tobytes()), ("low", low[k].tobytes()), ("top", top[k].tobytes()), ("data", pack.compress(text))):
+                blob = b"".join([anchor[k].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), size[k].astype(np.int32).tobytes(), low[k].tobytes(),
+                                 many[k].tobytes(), p.data[_ranges(first[k], size[k])].tobytes()])
+                for c, v in (("shard", int(s)), ("piece", row["piece"]), ("n", int(cuts[s + 1] - cuts[s])), ("data", pack.compress(blob)), ("hot", None)):
                     out[c].append(v)
-        types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-        return pa.table({c.split()[0]: pa.array(out[c.split()[0]], types[c.split()[1]]) for c in CONTEXTS.split(", ")})
+        return pa.table({"shard": pa.array(out["shard"], pa.int32()), "piece": pa.array(out["piece"], pa.int64()),
+                         "n": pa.array(out["n"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "hot": pa.array(out["hot"], pa.binary())})
     return run
 
 
+def _hot_windows(mark: np.ndarray, ids: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Per shard the distinct windows of hot anchors: hash, least document, whether there is a larger one."""
+    order = np.lexsort((ids, mark))
+    mark, ids = mark[order], ids[order]
+    at = np.flatnonzero(np.append(True, mark[1:] != mark[:-1])) if len(mark) else order
+    low, many = ids[at], ids[np.append(at[1:], len(mark)) - 1] != ids[at] if len(at) else at.astype(bool)
+    mark = mark[at]
+    cuts = np.searchsorted((mark >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        k = slice(cuts[s], cuts[s + 1])
+        yield s, np.int64(cuts[s + 1] - cuts[s]).tobytes() + mark[k].tobytes() + low[k].tobytes() + many[k].tobytes()
+
+
+def _answer(mark: np.ndarray, runs: np.ndarray, least: np.ndarray, counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([
+        np.array([len(mark), len(least)], np.int64).tobytes(), mark.tobytes(), runs.astype(np.int32).tobytes(), least.tobytes(), counts.astype(np.int32).tobytes()]))
+
+
+def _meet_hot(t: pa.Table) -> tuple[list, list]:
+    """(pieces, answers) for the windows of hot anchors in a shard, matched by their hashes."""
+    rows = []
+    for k, x in enumerate(t.column("hot").to_pylist()):
+        if x is not None:
+            blob = zstandard.ZstdDecompressor().decompress(x)
+            n = int(np.frombuffer(blob, np.int64, 1)[0])
+            rows.append((k, np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n), np.frombuffer(blob, bool, n, 8 + 16 * n)))
+    if not rows:
+        return [], []
+    values, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+    least = np.full(len(values), NO_ID)
+    np.minimum.at(least, inverse, np.concatenate([r[2] for r in rows]))
+    pieces, answers, at = [], [], 0
+    names = t.column("piece").to_pylist()
+    for k, mark, low, many in rows:
+        own = least[inverse[at:at + len(mark)]]
+        at += len(mark)
+        go = many | (own < low)
+        if go.any():
+            one = np.ones(int(go.sum()), np.int64)
+            pieces.append(names[k])
+            answers.append(_answer(mark[go], one, own[go], one))
+    return pieces, answers
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """(anchor, size, low, many, data, mark) of all contexts of a shard."""
+    cols: list[list] = [[], [], [], [], []]
+    unpack = zstandard.ZstdDecompressor()
+    for n, x in zip(t.column("n").to_pylist(), t.column("data").to_pylist()):
+        blob, at = unpack.decompress(x), 0
+        for k, width in enumerate((5, 4, 8, 1)):
+            cols[k].append(blob[at:at + width * n])
+            at += width * n
+        cols[4].append(blob[at:])
+    joined = [b"".join(c) for c in cols]
+    wide = np.zeros((len(joined[3]), 8), np.uint8)
+    wide[:, :5] = np.frombuffer(joined[0], np.uint8).reshape(-1, 5)
+    size = np.frombuffer(joined[1], np.int32).astype(np.int64)
+    data = np.frombuffer(joined[4], np.uint8)
+    total, down = prefix_sums(data)
+    begin = np.cumsum(size) - size
+    mark = mix64((total[begin + size] - total[begin]) * down[begin])
+    return wide.view(np.uint64)[:, 0], size, np.frombuffer(joined[2], np.int64), np.frombuffer(joined[3], bool), data, mark
+
+
 def _sort_contexts(width: int):
     def run(t: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
+        pieces, answers = _meet_hot(t)
+        t = t.filter(pc.is_valid(t.column("data")))
         n = t.column("n").to_numpy()
-        anchor, mark, size, low, top = join("anchor", np.uint64), join("mark", np.uint64), join("size", np.int32).astype(np.int64), join("low", np.int64), join("top", np.int64)
-        data = np.frombuffer(b"".join(unpack.decompress(x) for x in t.column("data").to_pylist()), np.uint8)
+        anchor, size, low, many, data, mark = _unpacked(t)
         begin = np.cumsum(size) - size
         piece = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((mark, anchor))
@@ -309,11 +382,19 @@ def _sort_contexts(width: int):
         of[order] = np.cumsum(new) - 1
         least, most = np.full(len(head), NO_ID), np.full(len(head), np.iinfo(np.int64).min)
         np.minimum.at(least, of, low)
-        np.maximum.at(most, of, top)
+        np.maximum.at(most, of, np.where(many, NO_ID, low))  # many: some document of the piece is larger
+        # an anchor with a single distinct context needs no sorting: its windows are shared by all who have it
+        result: list = [None] * len(head)
+        same = np.append(False, anchor[head][1:] == anchor[head][:-1])
+        alone = ~same & ~np.append(same[1:], False)
+        for j in np.flatnonzero(alone & (least < most)).tolist():
+            result[j] = (least[j:j + 1], np.array([size[head[j]] - width + 1]))
+        back = np.flatnonzero(~alone)
+        head = head[back]
+        least, most = least[back], most[back]
         # batches of distinct contexts, cut between anchors
         volume = np.cumsum(size[head] + 1)
-        edge = np.flatnonzero(np.append(True, anchor[head][1:] != anchor[head][:-1]))
-        result: list = [None] * len(head)
+        edge = np.flatnonzero(np.append(True, anchor[head][1:] != anchor[head][:-1])) if len(head) else back
         lo = 0
         while lo < len(head):
             k = np.searchsorted(edge, np.searchsorted(volume, volume[lo] + SORT_BYTES), "right") - 1
@@ -326,36 +407,40 @@ def _sort_contexts(width: int):
             for j, w in zip(range(lo, hi), np.split(windows, at)):
                 if w.min() < most[j]:
                     step = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                    result[j] = (w[step], np.diff(np.append(step, len(w))))
+                    result[back[j]] = (w[step], np.diff(np.append(step, len(w))))
             lo = hi
         # answers: per piece the context's mark and its windows' least documents, as runs
         some = np.array([result[j] is not None for j in of.tolist()], bool)
-        pieces, marks, runs, values, counts = [], [], [], [], []
         names = t.column("piece").to_pylist()
         for k in np.unique(piece[some]).tolist():
             rows = np.flatnonzero(some & (piece == k))
             found = [result[j] for j in of[rows].tolist()]
             pieces.append(names[k])
-            marks.append(mark[rows].tobytes())
-            runs.append(np.array([len(f[0]) for f in found], np.int32).tobytes())
-            values.append(np.concatenate([f[0] for f in found]).tobytes())
-            counts.append(np.concatenate([f[1] for f in found]).astype(np.int32).tobytes())
-        return pa.table({"piece": pa.array(pieces, pa.int64()), "shared": pa.nulls(len(pieces), pa.binary()), **{c: pa.array(v, pa.binary()) for c, v in (("marks", marks), ("runs", runs), ("least", values), ("counts", counts))}})
+            answers.append(_answer(mark[rows], np.array([len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])))
+        return pa.table({"piece": pa.array(pieces, pa.int64()), "shard": pa.nulls(len(pieces), pa.int32()),
+                         "shared": pa.nulls(len(pieces), pa.binary()), "least": pa.array(answers, pa.binary())})
     return run
 
 
-def covered(p: Piece, answers: pa.Table, width: int) -> np.ndarray:
+def covered(p: Piece, answers: pa.Table, parts: int, width: int) -> np.ndarray:
     """Which bytes of a piece go."""
-    shared = [x for x in answers.column("shared").to_pylist() if x is not None]
-    rows = [r for r in answers.select(["marks", "runs", "least", "counts"]).to_pylist() if r["marks"] is not None]
+    every = answers.to_pylist()
+    told = [x for x in every if x["shared"] is not None]
     gone = np.zeros(len(p.data) + 1, np.int64)
-    if not rows or not len(p.first):
+    cols: list[list] = [[], [], [], []]
+    for x in every:
+        if x["least"] is not None:
+            blob = zstandard.ZstdDecompressor().decompress(x["least"])
+            n, m = np.frombuffer(blob, np.int64, 2).tolist()
+            at = 16
+            for c, kind, k in zip(cols, (np.uint64, np.int32, np.int64, np.int32), (n, n, m, m)):
+                c.append(np.frombuffer(blob, kind, k, at))
+                at += k * np.dtype(kind).itemsize
+    if not cols[0] or not len(p.first):
         return gone[:-1].astype(bool)
-    _, first, size, doc = _contexts_of(p, shared, width)
-    mark = np.concatenate([np.frombuffer(r["marks"], np.uint64) for r in rows])
-    runs = np.concatenate([np.frombuffer(r["runs"], np.int32) for r in rows]).astype(np.int64)
-    least = np.concatenate([np.frombuffer(r["least"], np.int64) for r in rows])
-    count = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows]).astype(np.int64)
+    _, first, size, doc, _ = _contexts_of(p, told, parts, width)
+    mark, runs, least, count = (np.concatenate(c) for c in cols)
+    runs, count = runs.astype(np.int64), count.astype(np.int64)
     order = np.argsort(mark, kind="stable")
     own = p.hashes(first, size)
     at = np.minimum(np.searchsorted(mark[order], own), len(mark) - 1)
@@ -372,12 +457,12 @@ def covered(p: Piece, answers: pa.Table, width: int) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
-def _cut(width: int):
+def _cut(width: int, parts: int):
     def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
         for row in pieces.to_pylist():
             p = Piece(row, width)
-            gone = covered(p, answers, width)
+            gone = covered(p, answers, parts, width)
             lo = 0
             for i, hi in enumerate(p.ends.tolist()):
                 g = gone[lo:hi]
@@ -399,14 +484,13 @@ def dedup_substrings(docs: DataFrame, width: int = 50, id_col: str = "doc_id", t
     small_batches(docs.sparkSession)
     texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("_id"), docs[f"`{text_col}`"].cast("string").alias("_text"))
     pieces = scratch(texts.mapInArrow(_pieces, PIECES), "pieces")
-    answers = scratch(pieces.mapInArrow(_anchors(width, parts), "shard int, piece long, anchors binary")
-                      .groupBy("shard").applyInArrow(_shared, "piece long, shared binary"), "anchors")
-    contexts = pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(_contexts(width, parts * 2), CONTEXTS)
-    least = contexts.groupBy("shard").applyInArrow(_sort_contexts(width), "piece long, shared binary, marks binary, runs binary, least binary, counts binary")
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("marks", "runs", "least", "counts")]
-    every = least.unionByName(answers.select("piece", "shared", *empty))
+    answers = scratch(pieces.mapInArrow(_anchors(width, parts), "shard int, piece long, anchors binary, many binary")
+                      .groupBy("shard").applyInArrow(_shared, "piece long, shard int, shared binary"), "anchors")
+    contexts = pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(_contexts(width, parts, parts * 2), CONTEXTS)
+    least = contexts.groupBy("shard").applyInArrow(_sort_contexts(width), "piece long, shard int, shared binary, least binary")
+    every = least.unionByName(answers.withColumn("least", F.lit(None).cast("binary")))
     return pieces.groupBy("piece").cogroup(every.groupBy("piece")).applyInArrow(
-        _cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        _cut(width, parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def brute_force(rows: list[tuple], width: int) -> list[tuple]:
