@@ -32,6 +32,8 @@ from .common import default_parts, mix64, pack, scratch, text_of, unpack, withou
 #: Characters stripped at both ends of a line key: space and U+0009 to U+000D.
 STRIP = b" \t\n\x0b\x0c\r"
 SLOTS = 4
+#: Line keys that a map task counts at a time.
+HELD = 200_000
 REFS = "shard int, hi long, lo long, n long"
 FILTERS = "shard int, filter binary"
 
@@ -118,32 +120,54 @@ def _shard(hi: np.ndarray, shards: int) -> np.ndarray:
     return (hi.view(np.uint64) % np.uint64(shards)).astype(np.int32)
 
 
-def _count_lines(shards: int, by_chunk: bool):
-    """Documents per key within a batch (within a chunk of a batch, if asked for)."""
+def _count_lines(shards: int):
+    """Documents per key; counted in the task until HELD keys are held."""
+
+    def flush(found: dict) -> pa.RecordBatch:
+        hi, lo = _halves(list(found))
+        return pa.RecordBatch.from_pydict({"shard": _shard(hi, shards), "hi": hi, "lo": lo, "n": np.array(list(found.values()), np.int64)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, int] = {}
         for batch in batches:
             texts = batch.column("_text").cast(pa.large_binary())
-            chunks = batch.column("_chunk").to_pylist() if by_chunk else None
-            found: dict = {}
+            for i in range(len(texts)):
+                for k in set(line_digests(texts[i].as_py())):
+                    if k:
+                        found[k] = found.get(k, 0) + 1
+            if len(found) >= HELD:
+                yield flush(found)
+                found = {}
+        if found:
+            yield flush(found)
+
+    return run
+
+
+def _lines_by_chunk(shards: int):
+    """The distinct keys of each chunk, as far as a task has held them together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, set[bytes]] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, keys in found.items():
+                if keys:
+                    hi, lo = _halves(list(keys))
+                    yield pa.RecordBatch.from_pydict({"shard": _shard(hi, shards), "hi": hi, "lo": lo, "chunk": np.full(len(hi), chunk, np.int32)})
+
+        for batch in batches:
+            texts, chunks = batch.column("_text").cast(pa.large_binary()), batch.column("_chunk").to_pylist()
             for i in range(len(texts)):
                 keys = set(line_digests(texts[i].as_py()))
                 keys.discard(b"")
-                if by_chunk:
-                    found.setdefault(chunks[i], set()).update(keys)
-                else:
-                    for k in keys:
-                        found[k] = found.get(k, 0) + 1
-            if by_chunk:
-                for chunk, keys in found.items():
-                    if keys:
-                        hi, lo = _halves(list(keys))
-                        yield pa.RecordBatch.from_pydict({"shard": _shard(hi, shards), "hi": hi, "lo": lo,
-                                                          "chunk": np.full(len(hi), chunk, np.int32)})
-            elif found:
-                hi, lo = _halves(list(found))
-                yield pa.RecordBatch.from_pydict({"shard": _shard(hi, shards), "hi": hi, "lo": lo,
-                                                  "n": np.array(list(found.values()), np.int64)})
+                held += len(keys)
+                found.setdefault(chunks[i], set()).update(keys)
+            if held >= HELD:
+                yield from flush()
+                found, held = {}, 0
+        yield from flush()
 
     return run
 
@@ -164,7 +188,7 @@ class LineIndex:
 
     def _counts(self, docs: DataFrame, sign: int) -> DataFrame:
         texts = docs.select(text_of(docs, self.text_col).alias("_text"))
-        return (texts.mapInArrow(_count_lines(self.shards, False), REFS)
+        return (texts.mapInArrow(_count_lines(self.shards), REFS)
                 .groupBy("shard", "hi", "lo").agg((F.sum("n") * sign).alias("n")))
 
     def insert(self, docs: DataFrame) -> "LineIndex":
@@ -246,7 +270,7 @@ class LineIndex:
         chunks = chunks or default_parts(docs.sparkSession, 2)
         text = text_of(docs, self.text_col)
         packed = pack(docs, without(docs, self.text_col), _text=text, _chunk=F.pmod(F.xxhash64(text, *[docs[f"`{c}`"] for c in docs.columns if c == "doc_id"]), F.lit(chunks)).cast("int"))
-        asked = packed.select("_text", "_chunk").mapInArrow(_count_lines(self.shards, True), "shard int, hi long, lo long, chunk int")
+        asked = packed.select("_text", "_chunk").mapInArrow(_lines_by_chunk(self.shards), "shard int, hi long, lo long, chunk int")
         frequent = self.frequent_in(asked.dropDuplicates(["shard", "hi", "lo", "chunk"]))
         row_type = packed.schema["_row"].dataType.simpleString()
 
