@@ -30,6 +30,7 @@ from .common import pack, slices, text_of, unpack, without
 DIMENSIONS = 1024
 N = 3
 SCALE = 1 << 20
+COLUMNS = 4096
 CELLS = 1 << 21
 #: Text bytes bundled at a time.
 SLICE = 1 << 19
@@ -121,32 +122,20 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have letters, their unit vectors)."""
     row, gram, count = gram_counts(texts)
-    rows, vectors = [], []
-    lo = 0
-    while lo < len(row):  # a bounded matrix of counts at a time
-        hi = int(np.searchsorted(row, row[lo] + 1))
-        some = set(gram[lo:hi].tolist())
-        n = 1
-        while hi < len(row):
-            nxt = int(np.searchsorted(row, row[hi] + 1))
-            more = some | set(gram[hi:nxt].tolist())
-            if (n + 1) * len(more) > CELLS or len(more) > 4096:
-                break
-            some, n, hi = more, n + 1, nxt
-        ids, col = np.unique(gram[lo:hi], return_inverse=True)
-        own, r = np.unique(row[lo:hi], return_inverse=True)
-        out = np.zeros((len(own), DIMENSIONS), np.float32)
-        for a in range(0, len(ids), 4096):
-            part = (col >= a) & (col < a + 4096)
-            counts = np.zeros((len(own), min(4096, len(ids) - a)), np.float32)
-            counts[r[part], col[part] - a] = count[lo:hi][part]
-            out += counts @ _grams.of(ids[a:a + 4096])
-        rows.append(own)
-        vectors.append(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9))
-        lo = hi
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
-    return np.concatenate(rows), np.concatenate(vectors)
+    own, r = np.unique(row, return_inverse=True)
+    ids, col = np.unique(gram, return_inverse=True)
+    out = np.zeros((len(own), DIMENSIONS), np.float32)
+    edge = np.searchsorted(r, np.arange(len(own) + 1))
+    for a in range(0, len(ids), COLUMNS):  # a bounded matrix of counts at a time; whole numbers, so sums are exact
+        vectors = _grams.of(ids[a:a + COLUMNS])
+        for lo in range(0, len(own), CELLS // COLUMNS):
+            hi = min(len(own), lo + CELLS // COLUMNS)
+            k = slice(edge[lo], edge[hi])
+            part = (col[k] >= a) & (col[k] < a + COLUMNS)
+            counts = np.zeros((hi - lo, len(vectors)), np.float32)
+            counts[r[k][part] - lo, col[k][part] - a] = count[k][part]
+            out[lo:hi] += counts @ vectors
+    return own, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
