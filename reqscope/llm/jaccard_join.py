@@ -133,6 +133,28 @@ def tie(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries[first], ties
 
 
+def pack_entries(e: np.ndarray) -> bytes:
+    """Entries of one shard: the lower 40 bits of the content's hash (the shard holds the upper
+    ones; a chance meeting is only one more tie, and ties are verified) and a place in the list
+    of nodes."""
+    nodes, place = np.unique(e["node"], return_inverse=True)
+    low = np.ascontiguousarray(e["sig"]).view(np.uint8).reshape(-1, 8)[:, :5]
+    return np.array([len(nodes), len(e)], np.int64).tobytes() + nodes.tobytes() + place.astype(np.uint32 if len(nodes) > 65535 else np.uint16).tobytes() + low.tobytes()
+
+
+def unpack_entries(blob: bytes) -> np.ndarray:
+    n_nodes, n = np.frombuffer(blob, np.int64, 2).tolist()
+    at = 16 + 8 * n_nodes
+    nodes = np.frombuffer(blob, np.int64, n_nodes, 16)
+    kind = np.uint32 if n_nodes > 65535 else np.uint16
+    out = np.empty(n, ENTRY)
+    out["node"] = nodes[np.frombuffer(blob, kind, n, at)]
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + np.dtype(kind).itemsize * n).reshape(-1, 5)
+    out["sig"] = wide.view(np.uint64)[:, 0]
+    return out
+
+
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +174,7 @@ def _entries(width: int, percent: int, shards: int):
         kept, ties = tie(np.concatenate(found))
         shard = (kept["sig"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
         cuts = np.searchsorted(shard, np.arange(shards + 1))
-        rows = [(int(s), False, kept[cuts[s]:cuts[s + 1]].tobytes()) for s in np.flatnonzero(np.diff(cuts))]
+        rows = [(int(s), False, pack_entries(kept[cuts[s]:cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts))]
         if len(ties):
             rows.append((int(ties[0, 0]) % shards, True, ties.tobytes()))
         return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "tied": pa.array([r[1] for r in rows], pa.bool_()),
@@ -177,7 +199,7 @@ def _entries(width: int, percent: int, shards: int):
 
 def _meet(t: pa.Table) -> pa.Table:
     tied, payload = t.column("tied").to_pylist(), t.column("payload").to_pylist()
-    entries = [np.frombuffer(p, ENTRY) for p, x in zip(payload, tied) if not x]
+    entries = [unpack_entries(p) for p, x in zip(payload, tied) if not x]
     ties = [np.frombuffer(p, np.int64).reshape(-1, 2) for p, x in zip(payload, tied) if x]
     _, more = tie(np.concatenate(entries)) if entries else (None, np.zeros((0, 2), np.int64))
     both = np.unique(np.concatenate([*ties, more]), axis=0)
@@ -336,8 +358,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each group of linked documents the one with the
-    smallest id stays (documents without words have no copies and all stay; of rows that repeat
-    the same id and text, one stays)."""
+    smallest id stays (documents without words have no copies and all stay; rows that repeat the
+    same id and text stay or go together)."""
     found = jaccard_components(docs, width, percent, id_col, text_col)
     first = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("rid").distinct())
     rid = F.xxhash64(docs[f"`{id_col}`"], text_of(docs, text_col))
