@@ -361,7 +361,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     smallest id stays (documents without words have no copies and all stay; rows that repeat the
     same id and text stay or go together)."""
     found = jaccard_components(docs, width, percent, id_col, text_col)
-    first = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("rid").distinct())
+    # written first, so that its size is known: Spark broadcasts it below its threshold, and joins by shuffle beyond
+    gone = scratch(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("rid").distinct(), "gone")
     rid = F.xxhash64(docs[f"`{id_col}`"], text_of(docs, text_col))
     packed = pack(docs, _rid=rid)
-    return unpack(packed.join(first, packed["_rid"] == first["rid"], "left_semi"), docs.columns)
+    return unpack(packed.join(gone, packed["_rid"] == gone["rid"], "left_anti"), docs.columns)
