@@ -383,10 +383,23 @@ def _sort_contexts(width: int):
         least, most = np.full(len(head), NO_ID), np.full(len(head), np.iinfo(np.int64).min)
         np.minimum.at(least, of, low)
         np.maximum.at(most, of, np.where(many, NO_ID, low))  # many: some document of the piece is larger
-        # an anchor with a single distinct context needs no sorting: its windows are shared by all who have it
+        # a context that has no window in common with another one needs no sorting: its windows are
+        # shared by those who have the whole context
         result: list = [None] * len(head)
-        same = np.append(False, anchor[head][1:] == anchor[head][:-1])
-        alone = ~same & ~np.append(same[1:], False)
+        same = np.append(False, anchor[head][1:] == anchor[head][:-1]) if len(head) else np.zeros(0, bool)
+        alone = ~same & ~np.append(same[1:], False) if len(head) else same
+        rest = np.flatnonzero(~alone)
+        if len(rest):
+            count = size[head[rest]] - width + 1
+            start = _ranges(begin[head[rest]], count)
+            total, down = prefix_sums(data)
+            h = (total[start + width] - total[start]) * down[start]
+            place = np.argsort(h)
+            twice = np.append(False, h[place][1:] == h[place][:-1])
+            twice[:-1] |= twice[1:]
+            met = np.zeros(len(h), bool)
+            met[place] = twice
+            alone[rest[~np.logical_or.reduceat(met, np.cumsum(count) - count)]] = True
         for j in np.flatnonzero(alone & (least < most)).tolist():
             result[j] = (least[j:j + 1], np.array([size[head[j]] - width + 1]))
         back = np.flatnonzero(~alone)
