@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -130,6 +132,13 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every libc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, row offsets in them) of a string column, about
     ``most`` bytes at a time; one text is never cut, null is empty."""
@@ -151,6 +160,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         hi = int(max(lo + 1, np.searchsorted(at, at[lo] + most, "right") - 1))
         yield lo, hi, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
         lo = hi
+    trim()
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, default_parts, distinct_sets, mix64, pack, scratch, seeded, shingles, slices, text_of, unpack, word_hashes
+from .common import as_long, default_parts, distinct_sets, mix64, pack, scratch, seeded, shingles, slices, text_of, trim, unpack, word_hashes
 from .components import components
 
 SEEDS = 4
@@ -198,6 +198,7 @@ def _entries(width: int, percent: int, shards: int):
 
 
 def _meet(t: pa.Table) -> pa.Table:
+    trim()
     tied, payload = t.column("tied").to_pylist(), t.column("payload").to_pylist()
     entries = [unpack_entries(p) for p, x in zip(payload, tied) if not x]
     ties = [np.frombuffer(p, np.int64).reshape(-1, 2) for p, x in zip(payload, tied) if x]
@@ -252,6 +253,7 @@ def linked_pairs(tokens: list[np.ndarray], others: list[np.ndarray] | None, perc
 def _compare(percent: int):
     """Links within a unit: whole small groups, or two blocks of a large one."""
     def run(t: pa.Table) -> pa.Table:
+        trim()
         cid, group, side = (t.column(c).to_numpy() for c in ("cid", "grp", "side"))
         sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
         a, b = [], []
