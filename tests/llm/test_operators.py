@@ -366,3 +366,59 @@ def test_near_passages(spark, nothing):
     assert near_passages(nothing).count() == 0
     h = np.array([5, 3, 9, 1, 7, 2], np.uint64) << np.uint64(32)
     assert sorted(zip(*[x.tolist() for x in compact_windows(h, np.array([0]), 2)])) == [(0, 1, 2), (0, 3, 5), (4, 5, 5)]
+
+
+def similar_windows_exist(x, y, percent, length):
+    """Brute force over all pairs of windows of at least ``length`` places (no shingle repeats in a side)."""
+    common = np.zeros((len(x) + 1, len(y) + 1), int)
+    common[1:, 1:] = np.cumsum(np.cumsum(x[:, None] == y[None, :], 0), 1)
+    size = np.arange(len(y) + 1)[None, :] - np.arange(len(y) + 1)[:, None]
+    for a in range(len(x) - length + 1):
+        for e in range(a + length, len(x) + 1):
+            row = common[e] - common[a]
+            k = row[None, :] - row[:, None]
+            if ((size >= length) & (100 * k >= percent * (e - a + size - k))).any():
+                return True
+    return False
+
+
+def edited_passages(rng, sizes, step=1):
+    """(passage, the same with one word changed, left out or put in), an edit at every ``step``-th place."""
+    for m in sizes:
+        for at in range(0, m, step):
+            p = prose(rng, m).split()
+            yield p, p[:at] + [["changed"], [], [p[at], "more"]][(at // step) % 3] + p[at + 1:]
+
+
+def test_similar_segments_against_all_windows():
+    from reqscope.llm.passage_dedup import dense_segments, similar_segments
+
+    match = np.array([True] * 31 + [False] * 5 + [True] * 30)
+    assert dense_segments(match, 88, 46) == [(0, 66)]  # neither run is long enough by itself
+    rng = random.Random(12)
+    numbers = {}
+    places = lambda words: np.array([numbers.setdefault(tuple(words[i:i + 5]), len(numbers)) for i in range(len(words) - 4)], np.uint32)
+    around = lambda p: prose(rng, rng.randint(5, 15)).split() + p + prose(rng, rng.randint(5, 15)).split()
+    pairs = [*edited_passages(rng, (49, 50, 52, 60, 71)), *edited_passages(rng, (85, 120), 9)]
+    pairs += [(p, q[:k] + ["two"] + q[k + 1:]) for p, q in edited_passages(rng, (70, 90), 6) for k in (20, 45)]
+    n = 0
+    for p, q in pairs:
+        x, y = places(around(p)), places(around(q))
+        found = similar_segments(x, y, 80, 46)
+        assert bool(found) == similar_windows_exist(x, y, 80, 46)
+        for a, e, c, d, similarity in found:
+            k = len(set(x[a:e]) & set(y[c:d]))
+            assert e - a >= 46 and d - c >= 46 and similarity == k / (e - a + d - c - k) >= 0.8
+        n += bool(found)
+    assert n > 250
+
+
+def test_near_passages_with_one_edit_anywhere(spark):
+    from reqscope.llm.passage_dedup import near_passages
+
+    rng = random.Random(13)
+    pairs = [*edited_passages(rng, (50, 55, 60, 70, 80)), *edited_passages(rng, (100, 120), 4)]
+    rows = [(2 * k + s, f"{prose(rng, 12)} {' '.join(p)} {prose(rng, 9)}") for k, pair in enumerate(pairs) for s, p in enumerate(pair)]
+    found = {(r.doc_id, r.src_doc_id) for r in near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= {(2 * k + 1, 2 * k) for k in range(len(pairs))}
+    assert len(found) >= 0.95 * len(pairs), (len(found), len(pairs))  # MinHash: by chance, not always
