@@ -8,10 +8,12 @@ the template is asked again with two probe texts for the last turn: what both ou
 common is the turn's header and footer, the rest is its text.  So nothing about the template
 is assumed, and the loss mask (the texts of assistant turns) follows from its output.
 
-Turns stream through a task in order, a conversation in blocks of ``block`` turns that are
-rendered after the ``context`` turns before them; memory is bounded by a block, and the cost of
-rendering all prefixes by turns x block.  Conversations of up to ``block`` turns see all their
-prefixes in full.
+Turns stream through a task in order and pieces leave it in blocks of ``block`` turns.  Every
+turn is rendered after all turns before it: a task holds the turns of one conversation and one
+output, and the cost of rendering all prefixes grows with the square of the conversation.  A
+template that declares ``context_free = True`` (what a turn adds depends on no other turn) is
+rendered after the ``context`` turns before the block only; memory is then bounded by a block and
+the cost by turns x block.
 
 The template ``ChatMarkup`` marks turns with <|im_start|> and <|im_end|> and escapes ``<|`` in
 texts and roles (and line breaks and backslashes in roles) reversibly.
@@ -43,6 +45,7 @@ PROBES = ("A1A", "B2B")
 class ChatMarkup:
     """<|im_start|>role, line break, text, <|im_end|>, line break."""
 
+    context_free = True
     OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
     @staticmethod
@@ -101,6 +104,8 @@ def locate(render: Render, turns: list, before: list = ()) -> list[dict]:
 
 
 def _format(render: Render, loss_role: str, block: int, context: int):
+    whole = not getattr(render, "context_free", False)
+
     def flush(conv, seq: int, offset: int, turns: list, before: list) -> tuple[list[dict], int]:
         rows = []
         end = 0
@@ -124,7 +129,7 @@ def _format(render: Render, loss_role: str, block: int, context: int):
                         done, offset = flush(conv, seq, offset, turns, before)
                         rows += done
                     if open_ and c == conv:
-                        seq, before, turns = seq + len(turns), turns[-context:] if context else [], []
+                        seq, before, turns = seq + len(turns), before + turns if whole else turns[-context:] if context else [], []
                     else:
                         conv, seq, offset, turns, before, open_ = c, 0, 0, [], [], True
                 turns.append((role or "", text or ""))

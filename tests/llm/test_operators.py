@@ -422,3 +422,29 @@ def test_near_passages_with_one_edit_anywhere(spark):
     found = {(r.doc_id, r.src_doc_id) for r in near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found <= {(2 * k + 1, 2 * k) for k in range(len(pairs))}
     assert len(found) >= 0.95 * len(pairs), (len(found), len(pairs))  # MinHash: by chance, not always
+
+
+def test_chat_format_sees_whole_prefixes_over_block_edges(spark):
+    from reqscope.llm.chat_format import format_conversations, locate
+
+    def forgets(turns):  # a user's turn drops the thoughts of all earlier answers
+        last = max((k for k, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"[{r}]{x if k > last else x.split('#')[0]};" for k, (r, x) in enumerate(turns))
+
+    def numbered(turns):
+        return "".join(f"{k}/{r}: {x}\n" for k, (r, x) in enumerate(turns))
+
+    def keeps_three(turns):
+        return "".join(f"[{r}]{x};" for r, x in turns[-3:])
+
+    turns = [("user", "q")] + [("assistant", f"a{k}#thought{k}") for k in range(9)] + [("user", "r"), ("assistant", "b#c")]
+    convs = spark.createDataFrame([(c, k, r, x) for c in (1, 2) for k, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    columns = ["piece", "start", "text_start", "text_end", "changed_from"]
+    for render in (forgets, numbered, keeps_three):
+        want = [tuple(x[c] for c in columns) for x in locate(render, turns)]
+        for block in (3, 256):
+            got = format_conversations(convs, render, block=block).collect()
+            for c in (1, 2):
+                assert [tuple(r[k] for k in columns) for r in sorted(got, key=lambda r: r.seq) if r.conv_id == c] == want, (render, block)
+            assert all(r.in_loss == (turns[r.seq][0] == "assistant" and r.changed_from is None) for r in got)
+    assert locate(forgets, turns)[10]["changed_from"] == len("[user]q;[assistant]a0")  # nine turns back
