@@ -5,14 +5,16 @@
     dotted or failing card and ip numbers, phones without a plus, and secrets (long runs of
     mixed letters and digits).
 3.  Candidates whose form decides them (checksum, octets, an assignment to a keyword) are
-    labelled; boosted trees are fitted on at most SAMPLE labelled candidates, taken in the order
-    of a hash, from features of form and context.
-4.  On the half of the sample that the trees did not see, each kind gets the lowest threshold
-    that keeps the precision at PRECISION; candidates above it are added to the base spans, the
-    most probable first where two of a kind overlap.
+    labelled; boosted trees are fitted on at most SAMPLE labelled candidates of one half (by a
+    hash), taken in the order of the hash, from features of form and context.
+4.  All labelled candidates that the trees did not see are scored in map tasks and counted by
+    kind, score bin and label.  From these counts each kind gets the lowest threshold that keeps
+    the precision at PRECISION (a kind with fewer than ENOUGH in the whole table that of all
+    kinds together); candidates above it are added to the base spans, the most probable first
+    where two of a kind overlap.
 
-Texts are read once, in map tasks; what goes on is spans and features, never shuffled.  Spans
-are in code points, end exclusive.
+Texts are read once, in map tasks; what goes on is spans and features, never shuffled but for the
+counts.  Spans are in code points, end exclusive.
 
 Defined results: null text is empty and has no spans.  Without labelled candidates of both
 classes nothing is added to the base spans.  Repeated rows are documents of their own; all
@@ -36,6 +38,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 SAMPLE = 20_000
 PRECISION = 0.95
 ENOUGH = 20
+#: Score bins of the thresholds; a power of two, so that their edges are exact.
+BINS = 4096
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -210,23 +214,54 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-f))
 
 
-def fit(rows: list) -> tuple[BoostedTrees | None, dict[str, float]]:
-    """Trees from the even rows of the sample, thresholds by kind from the odd ones."""
-    x = np.array([r["f"] for r in rows], np.float64)
+def fit(rows: list) -> BoostedTrees | None:
+    """Trees from the sample; none without both classes."""
     y = np.array([r["label"] for r in rows], np.float64)
-    fold = np.arange(len(rows)) % 2
-    if len(rows) < 4 or not 0 < y[fold == 0].mean() < 1:
-        return None, {}
-    trees = BoostedTrees().fit(x[fold == 0], y[fold == 0])
-    score, truth, kind = trees.predict(x[fold == 1]), y[fold == 1], x[fold == 1, 0].astype(int)
+    if len(rows) < 2 or not 0 < y.mean() < 1:
+        return None
+    return BoostedTrees().fit(np.array([r["f"] for r in rows], np.float64), y)
+
+
+def thresholds(counts: list) -> dict[str, float]:
+    """Thresholds by kind from (kind number, score bin, label, n) of all candidates that the trees did not see."""
+    n = np.zeros((len(KINDS), BINS + 1, 2), np.int64)
+    for kind, b, label, k in counts:
+        n[kind, b, label] += k
 
-    def threshold(s: np.ndarray, t: np.ndarray) -> float:
-        order = np.argsort(-s, kind="stable")
-        precise = np.cumsum(t[order]) / np.arange(1, len(t) + 1) >= PRECISION
-        return max(0.5, float(s[order][np.flatnonzero(precise)[-1]])) if precise.any() else 2.0
+    def threshold(m: np.ndarray) -> float:
+        true, every = np.cumsum(m[::-1, 1]), np.cumsum(m.sum(1)[::-1])
+        precise = np.flatnonzero((m.sum(1)[::-1] > 0) & (true >= PRECISION * every))
+        return max(0.5, (BINS - int(precise[-1])) / BINS) if len(precise) else 2.0
 
-    general = threshold(score, truth)
-    return trees, {k: threshold(score[kind == i], truth[kind == i]) if (kind == i).sum() >= ENOUGH else general for i, k in enumerate(KINDS)}
+    return {k: threshold(n[i] if n[i].sum() >= ENOUGH else n.sum(0)) for i, k in enumerate(KINDS)}
+
+
+def _counts(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("f").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                found = np.stack([x[:, 0].astype(np.int64), (model.value.predict(x) * BINS).astype(np.int64), b.column("label").to_numpy().astype(np.int64)], 1)
+                rows, n = np.unique(found, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"kind": rows[:, 0], "bin": rows[:, 1], "label": rows[:, 2], "n": n})
+    return run
+
+
+def learn(found: DataFrame, id_col: str | None) -> tuple[BoostedTrees | None, dict[str, float]]:
+    """Trees from a bounded sample of one half of the labelled candidates, thresholds from all that are not in it."""
+    spark = found.sparkSession
+    id_ = [F.col("_row").getField(id_col)] if id_col else []
+    every = (found.select("_row", F.explode("proposed").alias("c")).where("c.label is not null")
+             .select(F.xxhash64(*id_, "c.kind", "c.start", "c.end", "c.label", "c.f").alias("k"), "c.label", "c.f"))
+    sample = every.where("k & 1 = 0").orderBy("k", "label").limit(SAMPLE).collect()
+    trees = fit(sample)
+    if trees is None:
+        return None, {}
+    unseen = F.expr("k & 1 = 1") if len(sample) < SAMPLE else F.expr("k & 1 = 1") | (F.col("k") > sample[-1]["k"])
+    model = spark.sparkContext.broadcast(trees)
+    counts = (every.where(unseen).select("label", "f").mapInArrow(_counts(model), "kind long, bin long, label long, n long")
+              .groupBy("kind", "bin", "label").agg(F.sum("n")).collect())
+    return trees, thresholds(counts)
 
 
 _BASE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -271,10 +306,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ca
     packed = pack(docs, columns, _text=text_of(docs, text_col))
     row = packed.schema["_row"].dataType.simpleString()
     found = scratch(packed.mapInArrow(_propose, f"_row {row}, base {_SPAN_TYPE}, proposed {_CANDIDATE_TYPE}"), "spans")
-    key = F.xxhash64(F.col("_row").getField(id_col), "c.kind", "c.start", "c.end") if id_col in columns else F.xxhash64("c.f", "c.start")
-    sample = (found.select("_row", F.explode("proposed").alias("c")).where("c.label is not null")
-              .select(key.alias("k"), "c.start", "c.label", "c.f").orderBy("k", "start", "label").limit(SAMPLE).collect())
-    model = spark.sparkContext.broadcast(fit(sample))
+    model = spark.sparkContext.broadcast(learn(found, id_col if id_col in columns else None))
     chosen = found.mapInArrow(_select(model), f"_row {row}, base {_SPAN_TYPE}, spans {_SPAN_TYPE}")
     return unpack(chosen, columns, add={"base": F.col("base"), "spans": F.col("spans")})
 

@@ -1,5 +1,6 @@
 """Small cases for the corpus operators: nulls, empty and repeated rows, clashing names, brute force."""
 
+import ast
 import hashlib
 import random
 import re
@@ -448,3 +449,39 @@ def test_chat_format_sees_whole_prefixes_over_block_edges(spark):
                 assert [tuple(r[k] for k in columns) for r in sorted(got, key=lambda r: r.seq) if r.conv_id == c] == want, (render, block)
             assert all(r.in_loss == (turns[r.seq][0] == "assistant" and r.changed_from is None) for r in got)
     assert locate(forgets, turns)[10]["changed_from"] == len("[user]q;[assistant]a0")  # nine turns back
+
+
+def test_pii_thresholds_cover_all_labelled_candidates(spark, monkeypatch):
+    """A kind that is rare in the sample, not in the table, has a threshold of its own."""
+    from reqscope.llm import pii as P
+
+    monkeypatch.setattr(P, "SAMPLE", 200)
+    texts = [f"mail a{i}@b.org id abcdefghijklmnopqrst{i % 10}" for i in range(1500)]
+    texts += [f"at 10.{i}.0.5 then" if i % 2 else f"at 10.{i}.0.555 then" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, models, select, fit, thresholds = [], [], P._select, P.fit, P.thresholds
+    monkeypatch.setattr(P, "thresholds", lambda counts: seen.append([tuple(c) for c in counts]) or thresholds(counts))
+    monkeypatch.setattr(P, "fit", lambda rows: models.append(rows) or fit(rows))
+    monkeypatch.setattr(P, "_select", lambda model: models.append(model.value) or select(model))
+    assert P.find_pii(docs).count() == len(texts)
+    sample, (trees, chosen) = models
+    every = [(k, y, [float(np.float32(v)) for v in P.features(t, k, a, b)]) for t in texts for k, a, b, y in P.candidates(t, P.base_spans(t)) if y is not None]
+    fitted = sorted(map(str, ((P.KINDS[int(r["f"][0])], r["label"], list(r["f"])) for r in sample)))
+    assert len(fitted) == 200 and sum(f.startswith("('ip'") for f in fitted) < P.ENOUGH
+    rest = sorted(map(str, every))
+    for f in fitted:
+        rest.remove(f)
+    assert sum(c[3] for c in seen[0]) == len(rest)
+    rest = [ast.literal_eval(r) for r in rest]
+    score = trees.predict(np.array([f for _, _, f in rest]))
+
+    def lowest(kinds):  # the definition, over sorted scores
+        mine = sorted({np.floor(s * P.BINS) / P.BINS for s, (k, _, _) in zip(score, rest) if k in kinds}, reverse=True)
+        labels = lambda s: [y for x, (k, y, _) in zip(score, rest) if k in kinds and x >= s]
+        ok = [s for s in mine if np.mean(labels(s)) >= P.PRECISION]
+        return max(0.5, ok[-1]) if ok else 2.0
+
+    count = {k: sum(r[0] == k for r in rest) for k in P.KINDS}
+    assert count["ip"] > 100 and count["card"] == 0
+    assert chosen == {k: lowest([k] if count[k] >= P.ENOUGH else P.KINDS) for k in P.KINDS}
+    assert chosen["ip"] != chosen["card"] == lowest(P.KINDS)
