@@ -304,6 +304,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     100 * intersection >= percent * union of the sets of ``width``-word shingles.
 
     ``rid`` is a 64-bit key of a row's id and text, by which it can be joined again."""
+    return _rooted(docs, width, percent, id_col, text_col).drop("root")
+
+
+def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``jaccard_components`` with ``root``, which names the component also where ids are null or repeat."""
     spark = docs.sparkSession
     parts = default_parts(spark)
     rid = F.xxhash64(docs[f"`{id_col}`"], text_of(docs, text_col))
@@ -351,20 +356,26 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     named = (classes.join(roots, classes.cid == roots.node, "left")
              .select("h1", "h2", "least_id", F.coalesce("root", "cid").alias("root")))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = named.join(ids, "root").select("h1", "h2", "component_id")
+    by_class = named.join(ids, "root").select("h1", "h2", "component_id", "root")
     return members.join(by_class.withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2"),
                         (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") > 0), "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each group of linked documents the one with the
-    smallest id stays (documents without words have no copies and all stay; rows that repeat the
-    same id and text stay or go together)."""
-    found = jaccard_components(docs, width, percent, id_col, text_col)
+    """The documents without near copies: of each group of linked documents one stays, that with
+    the smallest id (null last), then the smallest hash of id and text, then the first as JSON of
+    rows that repeat both (documents without words have no copies and all stay)."""
+    found = _rooted(docs, width, percent, id_col, text_col).where("n_shingles > 0")
+    rows = scratch(found.groupBy("root", "rid").agg(F.min("doc_id").alias("id"), F.count("*").alias("k")), "linked")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best"))
+    stays = F.col("rid") == F.col("best.rid")
     # written first, so that its size is known: Spark broadcasts it below its threshold, and joins by shuffle beyond
-    gone = scratch(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("rid").distinct(), "gone")
+    marked = scratch(rows.join(best, "root").where(~stays | (F.col("k") > 1)).select("rid", stays.alias("stays")), "gone")
     rid = F.xxhash64(docs[f"`{id_col}`"], text_of(docs, text_col))
     packed = pack(docs, _rid=rid)
-    return unpack(packed.join(gone, packed["_rid"] == gone["rid"], "left_anti"), docs.columns)
+    once = packed.join(marked, packed["_rid"] == marked["rid"], "left_anti").select("_row")
+    repeated = (packed.join(marked.where("stays"), packed["_rid"] == F.col("rid"), "left_semi")
+                .groupBy("_rid").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row"))
+    return unpack(once.unionByName(repeated), docs.columns)

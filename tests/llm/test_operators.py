@@ -485,3 +485,22 @@ def test_pii_thresholds_cover_all_labelled_candidates(spark, monkeypatch):
     assert count["ip"] > 100 and count["card"] == 0
     assert chosen == {k: lowest([k] if count[k] >= P.ENOUGH else P.KINDS) for k in P.KINDS}
     assert chosen["ip"] != chosen["card"] == lowest(P.KINDS)
+
+
+def test_keep_one_leaves_one_row_of_every_group(spark):
+    from reqscope.llm.jaccard_join import keep_one
+
+    rng = random.Random(14)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a, "y"), (1, a, "x"), (1, a + " more", "x"), (2, a, "x"),  # an id repeats in its group
+            (None, b, "x"), (None, b, "x"), (None, b + " more", "x"),  # copies without ids
+            (None, c, "x"), (7, c, "x"), (1, d, "x"), (8, d + " more", "x"),  # an id of another group
+            (None, None, "x"), (None, "", "x"), (9, " ", "x"), (9, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = sorted(((r.doc_id, r.text, r.source) for r in keep_one(docs).collect()), key=repr)
+    words = [r for r in kept if (r[1] or "").strip()]
+    assert len(kept) - len(words) == 4
+    assert [r[0] for r in words].count(None) == 1 and len(words) == 4
+    assert sum(r[0] == 1 and r[1] in (a, a + " more") for r in words) == 1
+    assert (7, c, "x") in words and (1, d, "x") in words
+    assert not any(r == (1, a, "y") for r in words)  # of equal ids and texts the first
