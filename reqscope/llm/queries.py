@@ -180,3 +180,15 @@ def op10_substring_dedup(spark, sf_dir):
     from .passage_dedup import near_passages
 
     return near_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), words=50, shingle=5, percent=80)
+
+
+@query("op11_token_files")
+def op11_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from .common import scratch_path
+    from .token_files import read_digests, write_token_files
+
+    folder = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_digests(spark, folder)
