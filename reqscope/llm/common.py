@@ -42,20 +42,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     Cuts the lineage in a way that survives the loss of any executor; the folder can be
     removed when the results that were derived from it have been stored.  What the write
     shuffled is not needed any more: Spark drops the files of a shuffle once the driver's
     garbage collector finds it unused, so that is asked for here, and disks hold the
-    exchanges of one step at a time.
+    exchanges of one step at a time; ``free=False`` leaves that to the next step that asks.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -192,3 +192,36 @@ def op11_token_files(spark, sf_dir):
     folder = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_digests(spark, folder)
+
+
+_CRC = """list_reduce([cast(ascii(x) as bigint) for x in string_split(cast(conv_id as varchar), '')], lambda a, b:
+  list_reduce([cast(i as bigint) for i in range(8)], lambda r, i: case when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end, xor(a, b)), 4294967295)"""
+
+
+@query("op12_prefix_trie", f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id
+    order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as base, xor({_CRC}, 4294967295) % 9 as h from (select distinct conv_id from t)),
+r as (select c.conv_id, 0 as own, pos, role, text from c join t on t.conv_id = c.base and pos < h
+  union all select c.conv_id, 1, pos, role, text from c join t on t.conv_id = c.conv_id and pos >= h),
+p as (select conv_id, text, row_number() over w as depth, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') over w) as k
+  from r window w as (partition by conv_id order by own, pos rows between unbounded preceding and current row)),
+q as (select conv_id, depth, k, text, lag(k, 1, 'root') over (partition by conv_id order by depth) as parent,
+    depth = max(depth) over (partition by conv_id) as ends from p
+  union all select c.conv_id, 0, 'root', '', null, not exists (from r where r.conv_id = c.conv_id) from c),
+n as (select k, any_value(parent) as parent, min(conv_id) as conv_id, any_value(depth) as depth, count(*) as n_convs,
+    (count(*) - 1) * any_value(octet_length(encode(text))) as saved,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256 from q group by k),
+ch as (select parent, count(*) as n_children from n group by parent),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join ch on ch.parent = n.k),
+s as (select q.k, count(*) filter (where m.n_children = 0) as n_leaves, sum(m.saved) as saved_tokens
+  from m join q on q.conv_id = m.conv_id and q.depth <= m.depth group by q.k)
+select m.conv_id, cast(m.depth as bigint) as depth, u.conv_id as parent_conv_id, m.n_convs, m.n_children, s.n_leaves,
+  cast(s.saved_tokens as bigint) as saved_tokens, m.ends_sha256
+from m join s on s.k = m.k left join n u on u.k = m.parent""")
+def op12_prefix_trie(spark, sf_dir):
+    from .prefix_trie import borrow_heads, ordered_turns, trie
+
+    turns = ordered_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    conv = F.col("conv_id")
+    return trie(*borrow_heads(turns, conv - conv % 5, F.crc32(conv.cast("string")) % 9, most=8))
