@@ -76,8 +76,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
                         F.col("run_x1").bitwiseXOR(F.col("x1")).alias("p1"), F.col("run_x2").bitwiseXOR(F.col("x2")).alias("p2"))
 
 
-def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of a node as comma-joined pieces of LIST_PIECE ids at most."""
+def _join_ids(batches: Iterator[pa.RecordBatch], most: int = LIST_PIECE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a node as comma-joined pieces of ``most`` ids at most."""
     held: tuple | None = None
     out: list[tuple] = []
 
@@ -96,9 +96,9 @@ def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run = held[2] + run
             elif held is not None:
                 out.append(held)
-            for k in range(0, len(run) - LIST_PIECE, LIST_PIECE):
-                out.append((*key, run[k:k + LIST_PIECE]))
-            held = (*key, run[(len(run) - 1) // LIST_PIECE * LIST_PIECE:])
+            for k in range(0, len(run) - most, most):
+                out.append((*key, run[k:k + most]))
+            held = (*key, run[(len(run) - 1) // most * most:])
         if out:
             yield batch()
             out = []

@@ -225,3 +225,26 @@ def op12_prefix_trie(spark, sf_dir):
     turns = ordered_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     conv = F.col("conv_id")
     return trie(*borrow_heads(turns, conv - conv % 5, F.crc32(conv.cast("string")) % 9, most=8))
+
+
+_TERMS = "regexp_extract_all(" + SQL_LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op13_lexical_search", f"""
+with d as (select row_number() over () as rid, doc_id, {_TERMS} as w from documents),
+c as (select count(*) filter (where len(w) > 0) as nn, cast(sum(len(w)) as bigint) as ll from d),
+tf as (select rid, any_value(doc_id) as doc_id, any_value(len(w)) as n, t, count(*) as tf from (select rid, doc_id, w, unnest(w) as t from d) group by rid, t),
+i as (select row_number() over () as iid, item_id, list_distinct({_TERMS}) as w from benchmark),
+it as (select iid, item_id, unnest(w) as t from i),
+df as (select t, count(*) as df from tf where t in (select t from it) group by t),
+wt as (select t, cast(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) as bigint) as w from df, c),
+s as (select iid, rid, any_value(item_id) as item_id, any_value(doc_id) as doc_id,
+    cast(sum(wt.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // ll))))) as bigint) as score
+  from it join wt on wt.t = it.t join tf on tf.t = it.t, c group by iid, rid having score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by iid order by score desc, doc_id) as rank from s) where rank <= 10""")
+def op13_lexical_search(spark, sf_dir):
+    from .lexical_search import build_index, search
+
+    index, n, _ = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return search(index, n, table(spark, sf_dir, "benchmark"), k=10)

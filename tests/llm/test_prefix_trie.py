@@ -71,13 +71,29 @@ def test_one_conversation_and_one_start_hold_most_rows(spark, monkeypatch):
     from reqscope.llm import prefix_trie
 
     monkeypatch.setattr(prefix_trie, "PIECE", 16)
-    monkeypatch.setattr(prefix_trie, "LIST_PIECE", 4)
     rows = [(20, t, "user", f"turn {t % 7}") for t in range(400)]  # a long one
     rows += [(c, 0, "system", "same start") for c in range(21, 140)]  # all alike: one node ends most
     rows += [(c, t, "user", "x" * 20_000 if t == 1 else str(c)) for c in range(200, 280) for t in range(3)]  # many children of the root
     assert found(run(spark, rows, small=50)) == brute_force(rows)
 
 
+@pytest.mark.parametrize("most", [1, 2, 7, 100])
+def test_lists_of_ids_in_pieces(most):
+    import pyarrow as pa
+
+    from reqscope.llm.prefix_trie import _hash_lists, _join_ids
+
+    rows = [(k, k // 3, i) for k, n in enumerate([1, 9, 4, 30, 2]) for i in range(-3, n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[x:x + 5])], ["k1", "k2", "conv_id"]) for x in range(0, len(rows), 5)]
+    pieces = list(_join_ids(iter(batches), most))
+    assert max(len(x.split(",")) for b in pieces for x in b.column("ids").to_pylist()) <= most
+    got = {(r["k1"], r["k2"]): r["ends_sha256"] for b in _hash_lists(iter(pieces)) for r in b.to_pylist()}
+    want = defaultdict(list)
+    for a, b, i in rows:
+        want[a, b].append(str(i))
+    assert got == {k: hashlib.sha256(",".join(v).encode()).hexdigest() for k, v in want.items()}
+
+
 def test_empty_and_turnless(spark):
     assert run(spark, []).count() == 0
     rows = [(3, 0, "user", "only")]  # its head is borrowed from a conversation that is not there
