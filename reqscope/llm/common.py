@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reqscope.session import ensure_checkpoint_dir
 
@@ -64,13 +65,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _free(kind: T.DataType) -> T.DataType:
+    """The same type with nulls allowed everywhere."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _free(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_free(kind.elementType))
+    return T.MapType(kind.keyType, _free(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+
 def pack(docs: DataFrame, columns: list[str] | None = None, **own: Column) -> DataFrame:
     """One struct column ``_row`` with the input columns (or some), and own columns beside it.
 
     Whatever the input's columns are called, they cannot clash with the operator's."""
     small_batches(docs.sparkSession)
     row = [docs[f"`{c}`"] for c in (docs.columns if columns is None else columns)]
-    return docs.select(F.struct(F.lit(None).cast("int").alias("_"), *row).alias("_row"), *[c.alias(k) for k, c in own.items()])
+    packed = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *row).alias("_row"), *[c.alias(k) for k, c in own.items()])
+    kind = packed.schema["_row"].dataType
+    free = _free(kind)  # as functions declare it: the declared type and that of the rows must agree
+    return packed if free == kind else packed.withColumn("_row", F.col("_row").cast(free))
+
+
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that an operator uses, and all others in one column ``kept``, so that what the
+    operator adds cannot meet them; ``restored`` takes them out again."""
+    others = [docs[f"`{c}`"] for c in docs.columns if c not in used]
+    return docs.select(F.struct(F.lit(None).cast("int").alias("_"), *others).alias("kept"), *[docs[f"`{c}`"] for c in used if c in docs.columns])
+
+
+def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``docs`` after ``aside``; ``new`` gives some other values."""
+    held = df.schema["kept"].dataType.names
+    return df.select(*[(new[c] if c in new else F.col("kept").getField(c) if c in held else F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def without(docs: DataFrame, column: str) -> list[str]:

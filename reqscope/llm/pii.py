@@ -23,6 +23,7 @@ other columns pass through.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, scratch, text_of, unpack, without
+from .common import aside, pack, restored, scratch, text_of, unpack, without
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SAMPLE = 20_000
@@ -43,7 +44,8 @@ BINS = 4096
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: From the start of a run of digits only: where that fails, its other digits fail as well.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63})+", re.I)
@@ -287,12 +289,17 @@ def _select(model):
         for b in batches:
             out = []
             for base, proposed in zip(b.column("base").to_pylist(), b.column("proposed").to_pylist()):
-                kept = list(base)
+                kept, taken = list(base), {k: [] for k in KINDS}
+                for c in base:
+                    taken[c["kind"]].append((c["start"], c["end"]))
                 if trees is not None and len(proposed) > len(base):
                     score = trees.predict(np.array([c["f"] for c in proposed]))
                     more = [(s, c) for s, c in zip(score, proposed) if s >= thresholds[c["kind"]]]
                     for _, c in sorted(more, key=lambda x: (-x[0], x[1]["start"], x[1]["end"])):
-                        if not any(k["kind"] == c["kind"] and k["start"] < c["end"] and c["start"] < k["end"] for k in kept):
+                        spans = taken[c["kind"]]  # of one kind, apart, in order
+                        at = bisect.bisect_left(spans, (c["end"],))
+                        if not at or spans[at - 1][1] <= c["start"]:
+                            spans.insert(at, (c["start"], c["end"]))
                             kept.append({x: c[x] for x in ("kind", "start", "end")})
                 out.append(sorted(kept, key=lambda k: (k["start"], KINDS.index(k["kind"]))))
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("base"), pa.array(out, _BASE)], ["_row", "base", "spans"])
@@ -314,7 +321,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ca
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with each selected span replaced by its kind in brackets (of spans that overlap,
     the first; what the others cover beyond it goes too)."""
-    found = find_pii(docs, text_col, id_col)
+    found = find_pii(aside(docs, text_col, id_col), text_col, id_col)
 
     @F.pandas_udf("string")
     def replaced(text, spans):
@@ -330,4 +337,4 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
         return pd.Series([one(t or "", m) for t, m in zip(text, spans)])
 
-    return found.withColumn(text_col, replaced(F.col(f"`{text_col}`"), F.col("spans"))).select(*[f"`{c}`" for c in docs.columns])
+    return restored(found, docs.columns, **{text_col: replaced(F.col(f"`{text_col}`"), F.col("spans"))})

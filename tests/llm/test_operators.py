@@ -504,3 +504,32 @@ def test_keep_one_leaves_one_row_of_every_group(spark):
     assert sum(r[0] == 1 and r[1] in (a, a + " more") for r in words) == 1
     assert (7, c, "x") in words and (1, d, "x") in words
     assert not any(r == (1, a, "y") for r in words)  # of equal ids and texts the first
+
+
+def test_long_digit_runs_take_linear_time():
+    import time
+
+    from reqscope.llm.pii import base_spans, candidates
+
+    began = time.process_time()
+    for text in ("7" * 1_000_000, "1.2.3.4567.8.9.1 " + "1." * 300_000, "4111 1111 1111 1111 " * 20_000):
+        candidates(text, base_spans(text))
+    assert time.process_time() - began < 20
+    assert [x for x in base_spans("1.2.3.4567.8.9.10") if x[0] == "ip"] == []  # greedy match fails its check, no retry inside
+    assert ("ip", 2, 9) in base_spans("a 1.2.3.4.5.6.7.8")
+
+
+def test_redact_keeps_columns_named_like_its_own(spark):
+    from reqscope.llm.pii import redact
+
+    docs = spark.createDataFrame([(1, "write to a.b@example.org now"), (2, None)], "doc_id long, text string").withColumns({"spans": F.lit("mine"), "base": F.lit(7)})
+    got = redact(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.spans, r.base) for r in got.collect()) == [(1, "write to [email] now", "mine", 7), (2, "", "mine", 7)]
+
+
+def test_not_null_columns_pass(spark):
+    from reqscope.llm.line_dedup import dedup_lines
+
+    docs = spark.createDataFrame([(k, f"same\nown {k}") for k in range(12)], "doc_id long, text string").withColumns({"tag": F.lit("x"), "list": F.array(F.lit(1))})
+    assert sorted((r.doc_id, r.text, r.tag, r.list) for r in dedup_lines(docs, 10).collect()) == [(k, f"own {k}", "x", [1]) for k in range(12)]
