@@ -3,14 +3,15 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each is written as Parquet to
 the shared scratch folder and read again as the documents of the next one.
 
-1. language_id      documents that have no letters, so no language, go.
+1. language_id      documents that the prototypes can give no language, as they have no letters, go;
+                    without any labelled text there are no prototypes and all texts with letters stay.
 2. line_dedup       lines that 10 documents or more have go from every document.
 3. jaccard_join     of documents that are linked by near copies (5-word shingles, Jaccard 0.8
                     or more), the one with the smallest doc_id stays.
 4. decontamination  documents that contain a benchmark item (0.8 of its 5-word shingles) go.
 5. mixing           words to take of each document so that sources meet their targets.
 
-Stages 1 to 4 return the columns of documents; n_chars follows the text that line dedup left.
+Stages 1 to 4 return the columns of documents, whatever these are called; n_chars follows the text that line dedup left.
 A document that loses all lines stays, with an empty text.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqscope.llm.common import scratch
+from reqscope.llm.common import aside, restored, scratch
 from reqscope.llm.decontaminate import drop_contained
 from reqscope.llm.jaccard_join import keep_one
 from reqscope.llm.language_id import held_out, identify, train
@@ -29,12 +30,14 @@ from reqscope.llm.mixing import mix_by_source
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, docs["lang"], ~held_out(docs["doc_id"]))
-    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    if not model.langs:  # nothing to learn from: whatever has letters stays
+        return docs.where(F.coalesce(docs["text"], F.lit("")).rlike(r"\p{L}"))
+    return restored(identify(aside(docs, "text"), model).where("lang_pred <> 'und'"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs, threshold=10)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = dedup_lines(aside(docs, "text", "doc_id"), threshold=10)
+    return restored(out, docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
