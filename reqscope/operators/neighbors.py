@@ -1,25 +1,50 @@
 """Exact k-nearest neighbours, KNN scores and local outlier factor.
 
-The reference rows go to the tasks in blocks of at most REF_ROWS rows — a checked,
-bounded size — and the queries stream past a block in their own partitions: no
-query is shuffled, no pair of rows is ever materialised, a block emits k rows per
-query.  Up to REF_ROWS reference rows take one pass over the queries; more take one
-pass per block, whose lists a window merges.  Models that fit on neighbours bound
-their reference rows (``bounded_refs``).  Ties are broken by the reference id, so
-results do not depend on partitioning.
+Up to REF_ROWS reference rows, as counted, go to the tasks as one block, and the queries stream
+past it in their own partitions.  More are searched by a pivot index, which moves nothing
+through the driver but at most PIVOT_SAMPLE rows to choose pivots from:
+
+  * Every row belongs to the ring list of its nearest pivot, ordered by the distance to it; runs
+    of a list are blocks, which know their least and largest distance to each pivot.  Queries
+    are laid out in the same way, in smaller blocks.
+  * By the triangle inequality, the gap between two blocks' distances to any pivot bounds the
+    distance of their rows.  A query block first searches its HOMES nearest blocks, which
+    gives every query a kth distance; then only the pairs of blocks whose bound does not exceed
+    the largest kth distance of the query block are opened, and a window merges the lists.
+  * Blocks are tables and meet by cogroup, a reference block with a few query blocks at a time,
+    so neither a hot block nor many copies of one vector gather in a task.
+
+Ties are broken by the reference id, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+log = logging.getLogger(__name__)
+
+#: Reference rows that are broadcast as one block at most.
 REF_ROWS = 32_768
-#: Reference rows that KNN and LOF models are fitted on at most (an exact seeded sample).
-MAX_FIT_ROWS = 65_536
+#: Pivots, the rows they are chosen from, rows of a reference block (a query block has a quarter).
+PIVOTS, PIVOT_SAMPLE, BLOCK_ROWS = 32, 2048, 2048
+#: Blocks searched first; summaries compared at a time; query blocks that meet a reference block together.
+HOMES, SUMMARIES, TOGETHER = 2, 1024, 16
 NEIGHBOR_SCHEMA = "qid long, rank int, rid long, dist double"
+BLOCK_SCHEMA = "block long, n long, ids binary, vecs binary, low binary, high binary"
+BLOCK_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("ids", "vecs", "low", "high")]])
+FIRST_SCHEMA = "q long, most double, homes array<long>, found array<struct<qid:long,rid:long,dist:double>>"
+FIRST_ARROW = pa.schema([("q", pa.int64()), ("most", pa.float64()), ("homes", pa.list_(pa.int64())),
+                         ("found", pa.list_(pa.struct([("qid", pa.int64()), ("rid", pa.int64()), ("dist", pa.float64())])))])
 
 
 def _nearest(qid: np.ndarray, qv: np.ndarray, rid: np.ndarray, rv: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
@@ -44,44 +69,203 @@ def _nearest(qid: np.ndarray, qv: np.ndarray, rid: np.ndarray, rv: np.ndarray, k
     return pd.DataFrame({"qid": out_q, "rank": out_k, "rid": out_r, "dist": out_d})
 
 
+def _broadcast_knn(q: DataFrame, r: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """All reference rows, at most REF_ROWS as counted, in one block that the queries stream past."""
+    rows = r.collect()
+    if not rows:
+        return q.sparkSession.createDataFrame([], NEIGHBOR_SCHEMA)
+    held = q.sparkSession.sparkContext.broadcast((np.array([x["id"] for x in rows], np.int64), np.array([x["vec"] for x in rows], np.float64)))
+
+    def search(frames):
+        ids, vectors = held.value
+        for f in frames:
+            for lo in range(0, len(f), 512):  # a bounded matrix of distances
+                part = f.iloc[lo:lo + 512]
+                yield _nearest(part["id"].to_numpy(np.int64), np.stack(part["vec"].to_numpy()).astype(np.float64), ids, vectors, k, exclude_self)
+
+    return q.mapInPandas(search, NEIGHBOR_SCHEMA)
+
+
+# ------------------------------------------------------------------ pivot index
+
+def choose_pivots(refs: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
+    """At most ``n`` reference vectors far from each other, out of a bounded sample by id hash."""
+    rows = refs.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    v = np.array([r["vec"] for r in rows], np.float64)
+    picked, far = [0], np.sqrt(((v - v[0]) ** 2).sum(1))
+    while len(picked) < n and far.max() > 0:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, np.sqrt(((v - v[picked[-1]]) ** 2).sum(1)))
+    return v[picked]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d2 = (v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * v @ pivots.T
+    return np.sqrt(np.maximum(d2, 0))
+
+
+def _ring(pivots: np.ndarray):
+    """Nearest pivot and the distance to it: the ring list that a row belongs to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _to_pivots(_matrix(b.column("vec")), pivots)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["id", "vec", "cell", "near"])
+    return run
+
+
+def _rings_to_blocks(pivots: np.ndarray, size: int):
+    """Runs of ``size`` rows of a cell, by distance, with the least and largest distance to each pivot."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs, cell, seq = [], [], None, 0
+        part = TaskContext.get().partitionId()
+
+        def block() -> pa.RecordBatch:
+            v = np.concatenate(vecs)
+            d = _to_pivots(v, pivots)
+            slack = 1e-7 * (1.0 + d.max(0) + np.abs(v).max())  # distances to pivots are rounded
+            return pa.RecordBatch.from_pydict({"block": [(part << 32) + seq], "n": [len(v)], "ids": [np.concatenate(ids).tobytes()], "vecs": [v.tobytes()],
+                                               "low": [(d.min(0) - slack).tobytes()], "high": [(d.max(0) + slack).tobytes()]}, schema=BLOCK_ARROW)
+
+        held = 0
+        for b in batches:
+            cells, v, i = b.column("cell").to_numpy(), _matrix(b.column("vec")), b.column("id").to_numpy()
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                at = x
+                while at < y:
+                    if held and (held == size or cells[at] != cell):
+                        yield block()
+                        ids, vecs, held, seq = [], [], 0, seq + 1
+                    take = min(y - at, size - held)
+                    ids.append(i[at:at + take])
+                    vecs.append(v[at:at + take])
+                    cell, held, at = cells[at], held + take, at + take
+        if held:
+            yield block()
+    return run
+
+
+def _blocks(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ringed = rows.mapInArrow(_ring(pivots), "id long, vec array<double>, cell int, near double")
+    placed = ringed.repartitionByRange(parts, "cell", "near", F.xxhash64("id")).sortWithinPartitions("cell", "near", F.xxhash64("id"))
+    return cut_lineage(placed.mapInArrow(_rings_to_blocks(pivots, size), BLOCK_SCHEMA))
+
+
+def _pairs(homes: bool):
+    """Of some query blocks and reference blocks: for each query block its HOMES nearest (``homes``), or
+    all whose bound is not above its ``most`` and that were not its homes."""
+    def run(queries: pa.Table, refs: pa.Table) -> pa.Table:
+        qs, rs, bounds, apart = [], [], [], []
+        if queries.num_rows and refs.num_rows:
+            low_r, high_r = (np.array([np.frombuffer(x, np.float64) for x in refs.column(c).to_pylist()]) for c in ("low", "high"))
+            ref = refs.column("block").to_numpy()
+            for row in queries.to_pylist():
+                low, high = np.frombuffer(row["low"], np.float64), np.frombuffer(row["high"], np.float64)
+                bound = np.maximum(np.maximum(low - high_r, low_r - high).max(1), 0.0)
+                middle = np.abs((low_r + high_r) - (low + high)).sum(1)
+                take = np.lexsort((middle, bound))[:HOMES] if homes else np.flatnonzero((bound <= row["most"]) & ~np.isin(ref, row["homes"]))
+                qs += [row["block"]] * len(take)
+                rs += ref[take].tolist()
+                bounds += bound[take].tolist()
+                apart += middle[take].tolist()
+        return pa.table({"q": pa.array(qs, pa.int64()), "r": pa.array(rs, pa.int64()), "bound": pa.array(bounds, pa.float64()), "apart": pa.array(apart, pa.float64())})
+    return run
+
+
+def _block_rows(t: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [(x["block"], np.frombuffer(x["ids"], np.int64), np.frombuffer(x["vecs"], np.float64).reshape(x["n"], -1)) for x in t.to_pylist()]
+
+
+def _search_homes(k: int, exclude_self: bool):
+    """The first neighbours of a query block, and the largest distance a better one may have."""
+    def run(queries: pa.Table, refs: pa.Table) -> pa.Table:
+        if not queries.num_rows:
+            return FIRST_ARROW.empty_table()
+        (block, ids, v), near = _block_rows(queries)[0], _block_rows(refs)
+        found = _nearest(ids, v, np.concatenate([x[1] for x in near]), np.concatenate([x[2] for x in near]), k, exclude_self) if near else pd.DataFrame(columns=["qid", "rank", "rid", "dist"])
+        kth = found[found["rank"] == k].set_index("qid")["dist"]
+        full = len(kth) == len(set(ids.tolist()))
+        most = float(kth.max()) * (1 + 1e-9) + 1e-9 if full and k else float("inf")
+        return pa.Table.from_pylist([{"q": block, "most": most, "homes": [x[0] for x in near], "found": [
+            {"qid": int(a), "rid": int(b), "dist": float(c)} for a, b, c in zip(found["qid"], found["rid"], found["dist"])]}], schema=FIRST_ARROW)
+    return run
+
+
+def _search_rest(k: int, exclude_self: bool):
+    def run(queries: pa.Table, refs: pa.Table) -> pa.Table:
+        out = []
+        for _, rid, rv in _block_rows(refs):
+            limits = dict(zip(queries.column("block").to_pylist(), queries.column("most").to_pylist()))
+            for block, ids, v in _block_rows(queries.drop_columns(["most"])):
+                f = _nearest(ids, v, rid, rv, k, exclude_self)
+                out.append(f[f["dist"] <= limits[block]])
+        f = pd.concat(out) if out else pd.DataFrame({"qid": [], "rid": [], "dist": []})
+        return pa.table({"qid": pa.array(f["qid"], pa.int64()), "rid": pa.array(f["rid"], pa.int64()), "dist": pa.array(f["dist"], pa.float64())})
+    return run
+
+
+def _meet(queries: DataFrame, refs: DataFrame, n_queries: int, n_refs: int, homes: bool) -> DataFrame:
+    """(q, r, bound, apart): summaries of query blocks against those of reference blocks, SUMMARIES of
+    either at a time."""
+    groups, slots = -(-n_refs // SUMMARIES), -(-n_queries // SUMMARIES)
+    number = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("s", number(slots).cast("int")).withColumn("g", every(groups))
+    right = refs.select("block", "low", "high").withColumn("g", number(groups).cast("int")).withColumn("s", every(slots))
+    return left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInArrow(_pairs(homes), "q long, r long, bound double, apart double")
+
+
+def _pivot_knn(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, work: dict | None, block: int) -> DataFrame:
+    pivots = choose_pivots(r)
+    refs, queries = _blocks(r, pivots, block), _blocks(q, pivots, max(1, block // 4))
+    n_refs, n_queries = refs.count(), queries.count()
+    if not n_refs or not n_queries:
+        return q.sparkSession.createDataFrame([], NEIGHBOR_SCHEMA)
+    summary = queries.select("block", "low", "high")
+    near = _meet(summary.withColumns({"most": F.lit(0.0), "homes": F.array().cast("array<long>")}), refs, n_queries, n_refs, True)
+    first = Window.partitionBy("q").orderBy("bound", "apart", "r")
+    near = near.withColumn("i", F.row_number().over(first)).where(F.col("i") <= HOMES).select("q", "r")
+    vectors = refs.select("block", "n", "ids", "vecs")
+    sides = queries.select("block", "n", "ids", "vecs")
+    shipped = near.join(vectors, near["r"] == vectors["block"])
+    start = cut_lineage(sides.groupBy("block").cogroup(shipped.groupBy("q")).applyInArrow(_search_homes(k, exclude_self), FIRST_SCHEMA))
+    left = summary.join(start.select(F.col("q").alias("block"), "most", "homes"), "block")
+    rest = cut_lineage(_meet(left, refs, n_queries, n_refs, False).select("q", "r"))
+    # a reference block meets its query blocks a few at a time
+    slots = rest.groupBy("r").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("slots")).select(F.col("r").alias("unit"), "slots")
+    units = rest.join(slots, rest["r"] == slots["unit"]).select("q", F.col("r").alias("asked"), F.pmod(F.xxhash64("q"), F.col("slots")).cast("int").alias("part"))
+    limits = start.select(F.col("q").alias("_q"), "most")
+    asked = units.join(sides, units["q"] == sides["block"]).join(limits, units["q"] == limits["_q"]).select("asked", "part", "block", "n", "ids", "vecs", "most")
+    held = slots.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).join(vectors, slots["unit"] == vectors["block"])
+    more = (asked.groupBy("asked", "part").cogroup(held.select("unit", "slot", "block", "n", "ids", "vecs").groupBy("unit", "slot"))
+            .applyInArrow(_search_rest(k, exclude_self), "qid long, rid long, dist double"))
+    opened = rest.count()
+    log.info("kNN: %d of %d pairs of blocks opened", opened + n_queries * min(HOMES, n_refs), n_queries * n_refs)
+    if work is not None:
+        work.update(pairs=n_queries * n_refs, opened=opened + n_queries * min(HOMES, n_refs))
+    found = start.select(F.explode("found").alias("f")).select("f.qid", "f.rid", "f.dist").unionByName(more)
+    best = Window.partitionBy("qid").orderBy("dist", "rid")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rank", "rid", "dist")
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int, qid: str = "id", rid: str = "id", vec: str = "vec",
-        exclude_self: bool = False, ref_rows: int = REF_ROWS) -> DataFrame:
-    """(qid, rank 1..k, rid, dist) — exact Euclidean neighbours of each query among ``refs``."""
-    sc = queries.sparkSession.sparkContext
-    r = refs.select(F.col(rid).cast("long").alias("id"), F.col(vec).alias("vec"))
-    q = queries.select(F.col(qid).cast("long").alias("id"), F.col(vec).alias("vec"))
-    blocks = max(1, -(-r.count() // ref_rows))
-    out = None
-    for b in range(blocks):
-        rows = r.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about ref_rows rows
-        if not rows:
-            continue
-        held = sc.broadcast((np.array([x["id"] for x in rows], np.int64), np.array([x["vec"] for x in rows], np.float64)))
-
-        def search(frames, held=held):
-            ids, vectors = held.value
-            for f in frames:
-                for lo in range(0, len(f), 512):  # a bounded matrix of distances
-                    part = f.iloc[lo:lo + 512]
-                    yield _nearest(part["id"].to_numpy(np.int64), np.stack(part["vec"].to_numpy()).astype(np.float64),
-                                   ids, vectors, k, exclude_self)
-
-        found = q.mapInPandas(search, NEIGHBOR_SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], NEIGHBOR_SCHEMA)
-    if blocks > 1:
-        w = Window.partitionBy("qid").orderBy("dist", "rid")
-        out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out
-
-
-def bounded_refs(refs: DataFrame, key: str, seed: int, most: int = MAX_FIT_ROWS) -> DataFrame:
-    """At most ``most`` rows to fit on: all of them, or an exact seeded sample."""
-    from .splits import sample_exact
-
-    n = refs.count()
-    return refs if n <= most else sample_exact(refs, most / n, seed, key=key)
+        exclude_self: bool = False, broadcast_rows: int = REF_ROWS, work: dict | None = None, block: int = BLOCK_ROWS) -> DataFrame:
+    """(qid, rank 1..k, rid, dist) — exact Euclidean neighbours of each query among ``refs``.
+
+    Up to ``broadcast_rows`` counted reference rows go to the tasks as one block, more by the pivot
+    index (``work`` gets its pairs of blocks, and those opened)."""
+    r = refs.select(F.col(rid).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    q = queries.select(F.col(qid).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    if r.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return _broadcast_knn(q, r, k, exclude_self)
+    return _pivot_knn(q, r, k, exclude_self, work, block)
 
 
 def knn_scores(neighbors: DataFrame, ref_labels: DataFrame, label_col: str = "y", positive_label: int = 1):
@@ -92,18 +276,18 @@ def knn_scores(neighbors: DataFrame, ref_labels: DataFrame, label_col: str = "y"
 
 
 def lof(queries: DataFrame, refs: DataFrame, k: int = 20, vec: str = "vec",
-        qid: str = "id", rid: str = "id") -> DataFrame:
+        qid: str = "id", rid: str = "id", broadcast_rows: int = REF_ROWS) -> DataFrame:
     """M8: novelty LOF of each query against ``refs``: (qid, lof); anomaly when lof > 1.5.
 
     Reference neighbours exclude the point itself; query neighbours do not.
     """
-    ref_nn = knn(refs, refs, k, rid, rid, vec, exclude_self=True)
+    ref_nn = knn(refs, refs, k, rid, rid, vec, exclude_self=True, broadcast_rows=broadcast_rows)
     kdist = ref_nn.where(F.col("rank") == k).select(F.col("qid").alias("rid"), F.col("dist").alias("kdist"))
     ref_reach = ref_nn.join(kdist, "rid").select(
         "qid", F.greatest(F.col("kdist"), F.col("dist")).alias("reach"))
     lrd_ref = ref_reach.groupBy("qid").agg((1.0 / (F.avg("reach") + 1e-10)).alias("lrd")) \
         .select(F.col("qid").alias("rid"), "lrd")
-    q_nn = knn(queries, refs, k, qid, rid, vec, exclude_self=False)
+    q_nn = knn(queries, refs, k, qid, rid, vec, exclude_self=False, broadcast_rows=broadcast_rows)
     qj = q_nn.join(kdist, "rid").join(lrd_ref, "rid")
     agg = qj.groupBy("qid").agg(
         (1.0 / (F.avg(F.greatest(F.col("kdist"), F.col("dist"))) + 1e-10)).alias("_lrd_q"),

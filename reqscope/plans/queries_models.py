@@ -77,19 +77,30 @@ def q_projection_2d(spark, sf):
 _DIST = "list_distance(list_transform({a}, lambda x: x::double), list_transform({b}, lambda x: x::double))"
 
 
-@register("knn_topk", sql_round(f"""
+_KNN_SQL = sql_round(f"""
 with e as (select vec_id, embedding, label from embeddings),
 r as (select * from e where label <> 0),
 d as (select q.vec_id as qid, r.vec_id as rid, {_DIST.format(a='q.embedding', b='r.embedding')} as dist
       from e q, r where q.vec_id <> r.vec_id),
 k as (select qid, rid, dist, row_number() over (partition by qid order by dist, rid) as rank from d)
-select qid, cast(rank as integer) as rank, rid, dist from k where rank <= 15""", ["dist"]))
+select qid, cast(rank as integer) as rank, rid, dist from k where rank <= 15""", ["dist"])
+
+
+@register("knn_topk", _KNN_SQL)
 def q_knn_topk(spark, sf):
     emb = views.table(spark, sf, "embeddings")
     refs = emb.where(F.col("label") != 0)
     return rounded(NB.knn(emb, refs, 15, "vec_id", "vec_id", "embedding", exclude_self=True))
 
 
+@register("knn_pivot", _KNN_SQL)
+def q_knn_pivot(spark, sf):
+    """The same by the pivot index, whatever the size."""
+    emb = views.table(spark, sf, "embeddings")
+    refs = emb.where(F.col("label") != 0)
+    return rounded(NB.knn(emb, refs, 15, "vec_id", "vec_id", "embedding", exclude_self=True, broadcast_rows=0))
+
+
 @register("lof_scores", sql_round(f"""
 with e as (select vec_id, embedding, label from embeddings),
 r as (select * from e where label <> 0),

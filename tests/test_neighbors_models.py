@@ -29,7 +29,7 @@ def _brute_knn(q, r, k, exclude_self):
 def test_knn_exact_and_block_independent(points):
     x, df = points
     a = NB.knn(df, df, 5, exclude_self=True).collect()
-    b = NB.knn(df, df, 5, exclude_self=True, ref_rows=37).collect()
+    b = NB.knn(df, df, 5, exclude_self=True, broadcast_rows=0, block=37).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) or \
         sorted((r.qid, r.rank, r.rid) for r in a) == sorted((r.qid, r.rank, r.rid) for r in b)
     idx, dist = _brute_knn(x, x.astype(np.float64), 5, True)
@@ -43,10 +43,40 @@ def test_knn_exact_and_block_independent(points):
 def test_knn_merges_reference_blocks(points):
     x, df = points
     a = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 4, exclude_self=True).collect()}
-    b = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 4, exclude_self=True, ref_rows=23).collect()}
+    b = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 4, exclude_self=True, broadcast_rows=0, block=23).collect()}
     assert a == b
 
 
+def test_pivot_index_skips_pairs_and_survives_copies(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 30
+    x = np.concatenate([c + rng.normal(size=(60, 8)) for c in centres] + [np.repeat(centres[:1], 300, 0)])  # a third are copies
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "id long, vec array<double>").repartition(3)
+    work: dict = {}
+    got = {(r.qid, r.rank): (r.rid, r.dist) for r in NB.knn(df, df, 6, exclude_self=True, broadcast_rows=0, block=64, work=work).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, 1, kind="stable")[:, :6]
+    for i in range(len(x)):
+        for j in range(6):
+            assert got[i, j + 1][1] == pytest.approx(np.sqrt(d[i, order[i, j]]), rel=1e-9, abs=1e-12)
+    assert [got[800, j + 1][0] for j in range(6)] == order[800].tolist()  # ties by id
+    assert 0 < work["opened"] < 0.5 * work["pairs"]
+
+
+def test_pivot_index_with_few_rows_and_none(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id long, vec array<double>")
+    got = sorted(map(tuple, NB.knn(df, df, 5, exclude_self=True, broadcast_rows=0).collect()))
+    assert got == [(1, 1, 2, 5.0), (2, 1, 1, 5.0)]
+    assert NB.knn(df, df.limit(0), 5).count() == 0 and NB.knn(df.limit(0), df, 5, broadcast_rows=0).count() == 0
+
+
+def test_lof_is_the_same_by_either_way(points):
+    _, df = points
+    a, b = ({r.qid: r.lof for r in NB.lof(df, df.where(F.col("id") >= 10), 10, "vec", broadcast_rows=n).collect()} for n in (0, 1000))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
+
+
 def test_lof_matches_brute_force(points):
     x, df = points
     k = 10
