@@ -1,6 +1,13 @@
 """Exact, seeded, partition-independent splits and samples (S7, X1–X7, note B).
 
-Rows are ordered by ``md5('<seed>:<key>')``.  A rank inside a group is computed
+Rows are ordered by ``md5('<seed>:<key>')``.  The first q rows of each group are those whose
+hash is not above the group's *cut*, the q-th smallest hash, so samples, holdouts and
+validation sets are plain filters on the rows where they are: ``seeded_cuts`` counts rows per
+(group, hash prefix), finds the prefix that holds the q-th row by a running sum over that
+bounded table, and ranks only the hashes of that one bucket (in a further level if the
+bucket is large).  Keys are unique within a group; rows that share one stay together.
+
+Where the rank itself is the result (folds), it is computed
 in two levels so no window ever holds a whole group: rows are bucketed by a hash
 prefix (or a range of an ordering column) sized to ~64k rows per bucket; bucket
 counts (a small table) give each bucket's offset by a prefix sum, and
@@ -12,11 +19,12 @@ reproduced; sizes, disjointness and determinism are.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import join_keys, weighted_prefix
 
 BUCKET_ROWS = 65536
@@ -81,21 +89,82 @@ def keep_count(n: int, fraction: float) -> int:
     return max(1, round(n * fraction))
 
 
+#: Hex digits of the hash that a level of the cut counts by, and groups whose cuts go into a filter
+#: as literals (more are joined).
+CUT_DIGITS, LITERAL_GROUPS = 4, 128
+_ALL, _NONE = "~", ""  # above and below every hash
+
+
+def seeded_cuts(df: DataFrame, key: str, seed: int, quota: Callable[[Column], Column], group_cols: Sequence[str] = (),
+                digits: int = CUT_DIGITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(group columns, _cut): the hash of the ``quota(rows of the group)``-th row of each group.
+
+    Only hashes are read, and only those of the boundary buckets are exchanged."""
+    g = list(group_cols)
+    names = [f"_g{i}" for i in range(len(g))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(g, names)], seeded_hash(key, seed).alias("_h"))
+    level = digits
+    every = Window.partitionBy(*names)
+    upto = every.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = rows.groupBy(*names, F.substring("_h", 1, level).alias("_b")).agg(F.count("*").alias("_n"))
+    hist = hist.select("*", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(every).alias("_total"))
+    hist = hist.withColumn("_q", quota(F.col("_total"), *[F.col(n) for n in names]).cast("long"))
+    done = F.when(F.col("_q") >= F.col("_total"), F.lit(_ALL)).when(F.col("_q") <= 0, F.lit(_NONE))
+    holds = (F.col("_before") < F.col("_q")) & (F.col("_q") <= F.col("_before") + F.col("_n"))
+    first = (F.col("_before") == 0) & done.isNotNull()
+    at = cut_lineage(hist.where(F.coalesce(first | (done.isNull() & holds), F.lit(False)))
+                     .select(*names, "_b", "_n", (F.col("_q") - F.col("_before")).alias("_need"), done.alias("_cut")))
+    fixed, open_ = at.where("_cut is not null").select(*names, "_cut"), at.where("_cut is null")
+
+    def within(buckets: DataFrame, length: int) -> DataFrame:
+        """The rows of the boundary buckets, with what their group still needs."""
+        few = buckets.limit(LITERAL_GROUPS + 1).collect()
+        prefix = F.substring("_h", 1, length)
+        if len(few) > LITERAL_GROUPS:
+            return join_keys(rows.withColumn("_b", prefix), buckets.select(*names, "_b", "_need"), [*names, "_b"])
+        hit, need = F.lit(False), F.lit(None).cast("long")
+        for r in few:
+            same = prefix == r["_b"]
+            for n in names:
+                same = same & F.col(n).eqNullSafe(F.lit(r[n]))
+            hit, need = hit | same, F.when(same, F.lit(r["_need"])).otherwise(need)
+        return rows.where(hit).withColumn("_need", need)
+
+    largest = open_.agg(F.max("_n")).first()[0] or 0
+    while largest > bucket_rows and level < 32:
+        inside = within(open_, level)
+        level = min(32, level + digits)
+        hist = inside.groupBy(*names, F.substring("_h", 1, level).alias("_b")).agg(F.count("*").alias("_n"), F.first("_need").alias("_need"))
+        hist = hist.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+        open_ = cut_lineage(hist.where("_before < _need and _need <= _before + _n").select(*names, "_b", "_n", (F.col("_need") - F.col("_before")).alias("_need")))
+        largest = open_.agg(F.max("_n")).first()[0] or 0
+    ranked = within(open_, level).withColumn("_r", F.row_number().over(every.orderBy("_h")))
+    cuts = fixed.unionByName(ranked.where("_r = _need").select(*names, F.col("_h").alias("_cut")))
+    return cut_lineage(cuts.select(*[F.col(n).alias(c) for n, c in zip(names, g)], "_cut"))
+
+
+def mark_first(df: DataFrame, key: str, seed: int, quota: Callable[[Column], Column], group_cols: Sequence[str] = (), out: str = "_first", **levels) -> DataFrame:
+    """``df`` with a boolean: whether a row is among the first ``quota(rows of its group)`` of its group."""
+    g = list(group_cols)
+    cuts = seeded_cuts(df, key, seed, quota, g, **levels)
+    few = cuts.limit(LITERAL_GROUPS + 1).collect()
+    if len(few) > LITERAL_GROUPS:
+        joined = join_keys(df, cuts, g)
+        return joined.withColumn(out, seeded_hash(key, seed) <= F.col("_cut")).drop("_cut")
+    cut = F.lit(_NONE)
+    for r in few:
+        same = F.lit(True)
+        for c in g:
+            same = same & F.col(c).eqNullSafe(F.lit(r[c]))
+        cut = F.when(same, F.lit(r["_cut"])).otherwise(cut)
+    return df.withColumn(out, F.coalesce(seeded_hash(key, seed) <= cut, cut == _ALL))
+
+
 def sample_exact(df: DataFrame, fraction: float, seed: int, key: str = "pos",
                  group_cols: Sequence[str] = ()) -> DataFrame:
     """Exactly ``max(1, round(n*f))`` rows per group (all if that is ≥ n)."""
-    if group_cols:
-        sizes = df.groupBy(*group_cols).agg(F.count("*").alias("_n"))
-        k = F.when(F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction))) >= F.col("_n"),
-                   F.col("_n")).otherwise(F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction))))
-        ranked = seeded_rank(df, key, seed, group_cols, out="_r")
-        return (join_keys(ranked, sizes.select(*group_cols, k.alias("_k")), list(group_cols))
-                .where(F.col("_r") < F.col("_k")).drop("_r", "_k"))
-    n = df.count()
-    k = keep_count(n, fraction)
-    if k >= n:
-        return df
-    return seeded_rank(df, key, seed, (), out="_r").where(F.col("_r") < k).drop("_r")
+    quota = lambda n, *_: F.greatest(F.lit(1), F.bround(n * F.lit(float(fraction))))
+    return mark_first(df, key, seed, quota, group_cols).where("_first").drop("_first")
 
 
 def head_cap(df: DataFrame, cap: int | None, pos_col: str = "pos") -> DataFrame:
@@ -139,12 +208,15 @@ def holdout_split(df: DataFrame, label_col: str = "label", key: str = "pos",
     if min(n_test, n - n_test) < len(counts):  # a side would lack a class
         return df.withColumn("split", F.lit("both"))
     tc = stratified_test_counts(counts, test_size)
-    spark = df.sparkSession
-    quota = spark.createDataFrame([(k, v) for k, v in tc.items()], f"{label_col} int, _q long")
-    ranked = seeded_rank(df, key, seed, (label_col,), out="_r", max_group=max(counts.values()))
-    return (ranked.join(F.broadcast(quota), label_col)  # one row per class, collected above
-            .withColumn("split", F.when(F.col("_r") < F.col("_q"), "test").otherwise("train"))
-            .drop("_r", "_q"))
+
+    def quota(_: Column, label: Column) -> Column:
+        q = F.lit(None).cast("long")
+        for k, v in tc.items():  # one value per class, counted above
+            q = F.when(label == F.lit(k), F.lit(v)).otherwise(q)
+        return q
+
+    marked = mark_first(df, key, seed, quota, (label_col,), out="_test")
+    return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def is_train(split: Column | None = None) -> Column:
@@ -179,5 +251,4 @@ def validation_split(df: DataFrame, fraction: float = 0.05, seed: int = 42,
     if fraction <= 0 or n < min_rows:
         return df.withColumn("is_val", F.lit(False))
     k = keep_count(n, fraction)
-    return (seeded_rank(df, key, seed, (), out="_r")
-            .withColumn("is_val", F.col("_r") < k).drop("_r"))
+    return mark_first(df, key, seed, lambda _: F.lit(k), out="is_val")

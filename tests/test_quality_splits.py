@@ -64,6 +64,28 @@ def test_validation_split(spark):
     assert sp.validation_split(df.limit(10), 0.05).where(F.col("is_val")).count() == 0
 
 
+def test_cuts_match_plain_ranks(spark, monkeypatch):
+    """Whatever the levels, the number of groups, null groups and quotas of none and all."""
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else i % 5) for i in range(2000)], "pos long, g int")
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(sp.seeded_hash("pos", 7)))
+    for quota in (lambda n, *_: F.floor(n / 3), lambda n, g: F.when(g == 1, 0).when(g == 2, n + 5).otherwise(7)):
+        want = {r.pos for r in df.withColumns({"r": rank, "n": F.count("*").over(Window.partitionBy("g"))}).where(F.col("r") <= quota(F.col("n"), F.col("g"))).collect()}
+        for literal, levels in ((128, {}), (128, {"digits": 1, "bucket_rows": 3}), (2, {"digits": 1, "bucket_rows": 3})):
+            monkeypatch.setattr(sp, "LITERAL_GROUPS", literal)
+            got = sp.mark_first(df, "pos", 7, quota, ("g",), **levels).where("_first")
+            assert {r.pos for r in got.collect()} == want and want
+    assert sp.sample_exact(df.limit(0), 0.5, 1, "pos").count() == 0
+
+
+def test_samples_and_splits_move_no_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("label", (F.col("doc_id") % 2).cast("int"))
+    for out in (sp.sample_exact(df, 0.4, 1, "doc_id", ("label",)), sp.holdout_split(df, "label", "doc_id"), sp.validation_split(df, 0.1, 1, "doc_id")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan, plan
+
+
 def test_seeded_rank_two_level_matches_plain_window(spark):
     from pyspark.sql import Window
     df = spark.createDataFrame([(i, i % 3) for i in range(3000)], "pos long, g int")
