@@ -273,11 +273,8 @@ def descriptive_baseline(features: DataFrame, numeric: Sequence[str], seed: int
     return out.withColumn("model", F.concat(F.lit("descriptive_"), F.col("model")))
 
 
-def lexical_baseline(requests: DataFrame, text_col: str = "raw", seed: int = 42, num_features: int = 1 << 16,
-                     max_iter: int = 100) -> DataFrame:
-    """Char n-gram TF-IDF (hashed, fitted on train) + linear models, shared holdout.
-
-    The matrix is wide, so the linear models stop after ``max_iter`` steps here."""
+def lexical_baseline(requests: DataFrame, text_col: str = "raw", seed: int = 42, num_features: int | None = None) -> DataFrame:
+    """Char n-gram TF-IDF (exact n-grams, fitted on train) + linear models, shared holdout."""
     from .lm import tfidf_features
 
     base = requests.select(F.col("pos").cast("long").alias("pos"), F.col("label").cast("int").alias("y"),
@@ -290,7 +287,7 @@ def lexical_baseline(requests: DataFrame, text_col: str = "raw", seed: int = 42,
     te = fitted.transform(test).select("pos", "y", "features")
     tr, te = tr.cache(), te.cache()
     specs = [s for s in build_classifiers(seed) if s.name in ("logistic_regression", "linear_svc")]
-    preds = [fit_predict(ModelSpec(s.name, lambda n, s=s: s.make(n).setMaxIter(max_iter), s.score, standardize=False), tr, te) for s in specs]
+    preds = [fit_predict(ModelSpec(s.name, s.make, s.score, standardize=False), tr, te) for s in specs]
     out = preds[0].unionByName(preds[1])
     return out.withColumn("model", F.concat(F.lit("lexical_"), F.col("model")))
 
