@@ -58,7 +58,9 @@ def _raw1():
 
 def build_classifiers(seed: int = 42) -> list[ModelSpec]:
     """M2–M5 (M6 KNN is handled by the neighbour join)."""
-    from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+
+    from .optim import SquaredHingeSVC
 
     return [
         # L2 with C = 1 as the reference's default: C·Σloss + ½‖w‖² ≡ mean loss + ½‖w‖²/(C·n)
@@ -68,8 +70,7 @@ def build_classifiers(seed: int = 42) -> list[ModelSpec]:
         ModelSpec("random_forest", lambda n: RandomForestClassifier(numTrees=RF_TREES, seed=seed, labelCol="y"),
                   _prob1, standardize=False),
         # scaling is explicit (E8) as in the reference; no hidden re-standardisation
-        ModelSpec("linear_svc", lambda n: LinearSVC(maxIter=SVC_MAX_ITER, regParam=1.0 / (SVC_C * max(n, 1)),
-                                                    tol=LINEAR_TOL, standardization=False, labelCol="y"), _raw1),
+        ModelSpec("linear_svc", lambda n: SquaredHingeSVC(SVC_C, LINEAR_TOL, SVC_MAX_ITER), _raw1),
         ModelSpec("gradient_boosting", lambda n: GBTClassifier(maxIter=GBT_ROUNDS, seed=seed, labelCol="y"),
                   _prob1, standardize=False),
     ]
@@ -197,51 +198,24 @@ def anomaly_predictions(frame: DataFrame, normal_train: DataFrame, test: DataFra
 
 
 def mlp_head(train: DataFrame, test: DataFrame, seed: int = 42, max_epochs: int = MLP_MAX_EPOCHS,
-             patience: int = MLP_PATIENCE, iters_per_epoch: int = 5):
-    """M9: [d, 256, 2] perceptron, warm-started epoch by epoch, early stop on validation loss.
+             patience: int = MLP_PATIENCE):
+    """M9: [d, 256, 2] perceptron by mini-batch Adam with dropout and weight decay, early stop on
+    the loss of a validation part (``optim.MiniBatchMlp``).
 
     Returns (predictions, history) — history rows (run, epoch, loss, eval_loss).
-    An epoch is ``iters_per_epoch`` L-BFGS steps over all rows: MLlib's solver has no
-    learning rate or mini-batch, and the perceptron no dropout or weight decay.
     """
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from .optim import MiniBatchMlp
 
     tr, te = _scaled(train, test)
     val_flag = sp.holdout_split(tr, "y", "pos", MLP_VAL_FRACTION, seed)
-    fit_df = val_flag.where(sp.is_train()).drop("split").cache()
-    val_df = val_flag.where(sp.is_test()).drop("split").cache()
-    d = len(tr.select(vector_to_array("features")).first()[0])
-    layers = [d, MLP_HIDDEN, 2]
-    weights, best, best_w, bad, hist = None, float("inf"), None, 0, []
-
-    def log_loss(model, df):
-        p = model.transform(df).select("y", vector_to_array("probability").alias("_p"))
-        return p.agg(F.avg(-F.log(F.greatest(F.when(F.col("y") == 1, F.col("_p")[1])
-                                             .otherwise(F.col("_p")[0]), F.lit(1e-15))))).first()[0]
-
-    model = None
-    for epoch in range(1, max_epochs + 1):
-        est = MultilayerPerceptronClassifier(layers=layers, maxIter=iters_per_epoch, seed=seed, labelCol="y")
-        if weights is not None:
-            est.setInitialWeights(weights)
-        model = est.fit(fit_df)
-        weights = model.weights
-        tl, vl = log_loss(model, fit_df), log_loss(model, val_df)
-        hist.append(("mlp_head", float(epoch), float(tl), float(vl)))
-        if vl < best - 1e-12:
-            best, best_w, bad = vl, weights, 0
-        else:
-            bad += 1
-            if bad >= patience:
-                break
-    final = MultilayerPerceptronClassifier(layers=layers, maxIter=0, seed=seed, labelCol="y",
-                                           initialWeights=best_w or weights).fit(fit_df)
-    preds = final.transform(te).select(
+    mlp = MiniBatchMlp(MLP_HIDDEN, epochs=max_epochs, patience=patience, seed=seed)
+    theta, history = mlp.fit(val_flag.where(sp.is_train()).drop("split"), val_flag.where(sp.is_test()).drop("split"))
+    preds = mlp.predict(theta, te, ["pos", "y"]).select(
         F.lit("mlp_head").alias("model"), F.lit(-1).alias("fold"), "pos", F.col("y").alias("y_true"),
-        F.col("prediction").cast("int").alias("y_pred"), _prob1().cast("double").alias("y_score"))
-    spark = train.sparkSession
-    history = spark.createDataFrame(hist, "run string, epoch double, loss double, eval_loss double")
-    return preds, history
+        (F.col("p1") > 0.5).cast("int").alias("y_pred"), F.col("p1").alias("y_score"))
+    hist = train.sparkSession.createDataFrame([("mlp_head", float(e), float(a), float(b)) for e, a, b in history],
+                                              "run string, epoch double, loss double, eval_loss double")
+    return preds, hist
 
 
 def descriptive_frame(features: DataFrame, numeric: Sequence[str]):
