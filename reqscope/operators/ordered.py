@@ -93,3 +93,17 @@ def exact_quantiles(long: DataFrame, part_col: str, value_col: str,
     hi = F.when((F.ceil(h) >= F.col("_before")) & (F.ceil(h) < F.col("_upto")), F.col(value_col))
     agg = j.groupBy(part_col, F.col("_t")["prob"].alias("prob"), h.alias("_h")).agg(F.min(lo).alias("_vlo"), F.min(hi).alias("_vhi"))
     return agg.select(part_col, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h"))).alias("q"))
+
+
+def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(column, prob, q) in bounded memory: one aggregation for all columns, partial in every task, with
+    Spark's mergeable quantile summaries.  ``q`` is a value of the column whose rank differs from
+    prob * n by n / ``accuracy`` at most; NULL and NaN take no part, a column without values gives NULL."""
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    ps = [float(p) for p in probs]
+    row = df.agg(*[F.percentile_approx(value(c), ps, accuracy).alias(f"q{i}") for i, c in enumerate(cols)])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("qs")) for i, c in enumerate(cols)])
+    named = row.select(F.explode(each).alias("x")).select("x.column", F.posexplode_outer("x.qs").alias("i", "q"))
+    prob = F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("i") + 1)
+    given = F.array(*[F.lit(p) for p in ps])
+    return named.select("column", F.explode(F.when(F.col("i").isNull(), given).otherwise(F.array(prob))).alias("prob"), "q")

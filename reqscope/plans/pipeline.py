@@ -116,11 +116,12 @@ def run_pipeline(spark: SparkSession, raw_dir: str, out_dir: str | None = None,
     lm_scores = ngram.score(lm_rows, "pos", "text", keep=("split",))
     out["lm_perplexity"] = lm.split_perplexity(lm_scores, "split")
 
-    # embeddings (E6 default, fitted on normal training lines) of both views
-    embedder = E.Word2VecLineEmbedder(dim=cfg.embedding_dim, seed=cfg.seed).fit(E.request_lines(lm_train))
-    emb_inf = cut_lineage(E.embed_requests(inference, embedder, cfg.embedding_dim)
-                          .join(inference.select("pos", F.col("label").alias("y")), "pos"))
-    emb_lm = E.embed_requests(lm_train, embedder, cfg.embedding_dim).withColumn("y", F.lit(0))
+    # embeddings of the learned tokens (E6, fitted on normal training lines), both views in one pass
+    embedder = E.BpeLineEmbedder(vocab, cfg.max_length, dim=cfg.embedding_dim, seed=cfg.seed).fit(E.request_lines(lm_train))
+    keyed_rows = bundle.select(F.struct("split", "pos", "label").alias("key"), "lines")
+    emb = cut_lineage(E.embed_requests(keyed_rows, embedder, cfg.embedding_dim, id_col="key"))
+    emb = emb.select("key.split", "key.pos", F.col("key.label").alias("y"), "embedding")
+    emb_inf, emb_lm = (emb.where(F.col("split") == x).drop("split") for x in ("inference", "lm_train"))
     frame = ML.vector_frame(emb_inf, "pos", "y", "embedding")
 
     # models on one shared holdout (M11, M13, M9) and CV
@@ -171,6 +172,9 @@ def run_pipeline(spark: SparkSession, raw_dir: str, out_dir: str | None = None,
     record = record.unionByName(long.where(~F.isnan("value")).select(F.concat_ws(".", F.lit("metric"), "model", "metric").alias("key"), F.round("value", 4).cast("string").alias("value")))
     record = record.unionByName(out["class_balance"].select(F.concat(F.lit("class."), F.col("label").cast("string")).alias("key"), F.col("n").cast("string").alias("value")))
     record = record.unionByName(out["duplicates"].select(F.concat(F.lit("duplicate_rate."), "level").alias("key"), F.round("duplicate_rate", 4).cast("string").alias("value")))
+    for name in ("leakage_holdout", "leakage_cross"):
+        record = record.unionByName(out[name].select(F.lit(name).alias("key"), F.round("leakage_rate", 4).cast("string").alias("value")))
+    record = record.unionByName(out["dedup_delta"].where(~F.isnan("delta")).select(F.concat(F.lit("dedup_delta."), "metric").alias("key"), F.round("delta", 4).cast("string").alias("value")))
     if "best" in out:
         record = record.unionByName(out["best"].select(F.lit("best_model").alias("key"), F.col("model").alias("value")))
     out["record"] = record

@@ -218,6 +218,25 @@ def q_percentiles(spark, sf):
                             F.col("`0.99`").alias("p99")))
 
 
+_APPROX_COLS, _APPROX_PROBS, _APPROX = ("l_quantity", "l_extendedprice", "l_discount"), (0.01, 0.25, 0.5, 0.9, 0.999), 1000
+
+
+@register("percentiles_approx", " union all ".join(
+    f"select '{c}' as \"column\", {p}::double as prob, count({c}) as n, true as within from lineitem" for c in _APPROX_COLS for p in _APPROX_PROBS))
+def q_percentiles_approx(spark, sf):
+    """A8 in bounded memory: whether each quantile's exact ranks lie within the stated bound."""
+    from ..operators.ordered import approx_quantiles
+
+    li = views.table(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _APPROX_COLS])
+    found = approx_quantiles(li, _APPROX_COLS, _APPROX_PROBS, _APPROX).collect()  # a row per column and probability
+    ranks = li.agg(*[F.struct(F.count(r["column"]).alias("n"), F.count_if(F.col(r["column"]) < r["q"]).alias("below"),
+                              F.count_if(F.col(r["column"]) <= r["q"]).alias("upto")).alias(f"r{i}") for i, r in enumerate(found)])
+    rows = F.array(*[F.struct(F.lit(r["column"]).alias("column"), F.lit(float(r["prob"])).alias("prob"), F.col(f"r{i}").alias("r")) for i, r in enumerate(found)])
+    out = ranks.select(F.explode(rows).alias("x")).select("x.column", "x.prob", "x.r.n", "x.r.below", "x.r.upto")
+    slack, at = F.col("n") / _APPROX + 1, F.col("prob") * F.col("n")
+    return out.select("column", "prob", "n", ((F.col("below") <= at + slack) & (F.col("upto") >= at - slack)).alias("within"))
+
+
 def _const_sql(cols):
     parts = [f"""select '{c}' as column, cast(case when count(distinct {c}) + max(case when {c} is null then 1 else 0 end)
   <= 1 then 1 else 0 end as integer) as is_constant from ff""" for c in cols]

@@ -67,3 +67,34 @@ def test_long_pretoken_encodes_fast():
 
     ranks = {(5, 5): (0, 6), (6, 6): (1, 7)}
     assert _bpe_word([5] * 20_000, ranks) == [7] * 5000 and _bpe_word([5] * 7, ranks) == [7, 6, 5]
+
+
+def test_run_pipeline_from_dumps_to_reports(spark, tmpdir_path):
+    """Entry points 1 to 3 on a small dump folder: every report is there, and the record holds them all."""
+    from reqscope.plans.pipeline import PipelineConfig, run_pipeline
+    from reqscope.sources.dumps import CSIC_FILES
+
+    raw, out_dir = f"{tmpdir_path}/raw", f"{tmpdir_path}/out"
+    os.makedirs(raw)
+    for (name, label, _), n in zip(CSIC_FILES, (30, 40, 30)):
+        texts = []
+        for i in range(n):
+            path = f"/shop/item{i % 13}.jsp?id={i}&q=a{i * 7 % 11}" + ("' OR '1'='1" + "<script>" * (i % 4) if label else "")
+            texts.append(f"GET {path} HTTP/1.1\nHost: shop.example\nX-N: {i % 5}" if i % 3 else f"POST /login{i % 4} HTTP/1.1\nHost: shop.example\n\nuser=u{i}&pw={'%27' * label}{i}")
+        _dump(raw, name, texts)
+    cfg = PipelineConfig(vocab_size=300, max_length=64, embedding_dim=8, run_cv=False)
+    out = run_pipeline(spark, raw, out_dir, cfg)
+    models = {r.model for r in out["metrics"].select("model").distinct().collect()}
+    assert {"logistic_regression", "linear_svc", "random_forest", "gradient_boosting", "knn", "mlp_head", "isolation_forest",
+            "local_outlier_factor", "descriptive_logistic_regression", "lexical_linear_svc"} <= models
+    assert out["bpe_merges"].count() == 300 - 261 and out["class_balance"].agg(F.sum("n")).first()[0] == 70
+    record = {}
+    for f in os.listdir(f"{out_dir}/record"):
+        if f.endswith(".json"):
+            with open(f"{out_dir}/record/{f}") as h:
+                record.update((r["key"], r["value"]) for r in map(json.loads, h))
+    assert {"config.vocab_size", "class.0", "class.1", "duplicate_rate.raw_text", "leakage_holdout", "leakage_cross", "dedup_delta.f1",
+            "metric.logistic_regression.f1", "metric.mlp_head.mcc"} <= record.keys()
+    assert record["class.1"] == "30" and record["config.max_length"] == "64"
+    for name in ("comparison", "metrics", "confusion", "roc", "errors", "duplicates", "dedup_delta", "summary"):
+        assert any(not f.startswith(("_", ".")) for f in os.listdir(f"{out_dir}/{name}")), name
