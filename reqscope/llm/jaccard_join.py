@@ -58,6 +58,10 @@ def set_hash(value: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarra
     return as_long(mix64(one)), as_long(mix64(two))
 
 
+#: Bytes of sets that a pass of the second round shuffles at least.
+PASS_BYTES = 1 << 26
+
+
 class Bands:
     """Bands of set sizes such that sets above the threshold lie in the same or in
     neighbouring bands; for each band and its upper neighbour, by how many tokens two sets
@@ -285,13 +289,15 @@ def _tokens(width: int):
     return run
 
 
-def _pairs_of_blocks(sets: DataFrame, percent: int, units: int) -> DataFrame:
-    """Links of the blocks that meet: ``meets`` lists the pairs of blocks for each row's block."""
+def _pairs_of_blocks(sets: DataFrame, percent: int, units: int, passes: int = 1, number: int = 0) -> DataFrame:
+    """Links of the blocks that meet: ``meets`` lists the pairs of blocks for each row's block; of
+    several ``passes``, the ``number``-th takes its share of the units."""
     small = F.pmod(F.xxhash64("grp"), F.lit(units))
     large = F.xxhash64("grp", "meet.x", "meet.y").bitwiseOR(F.lit(1 << 62))
     rows = sets.select("cid", "grp", "tokens", "blocks", "block", F.explode("meets").alias("meet"))
     rows = rows.select(F.when(F.col("blocks") == 1, small).otherwise(large).alias("unit"), "cid", "grp", "tokens",
                        F.when(F.col("meet.x") == F.col("meet.y"), 0).otherwise((F.col("block") == F.col("meet.y")).cast("int")).alias("side"))
+    rows = rows.where(F.pmod("unit", F.lit(passes)) == number) if passes > 1 else rows
     return rows.groupBy("unit").applyInArrow(_compare(percent), "a long, b long")
 
 
@@ -335,10 +341,11 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     links = scratch(_pairs_of_blocks(leader, percent, parts * 2), "round1")
 
     # round 2: in large groups, members outside the largest connected part meet all blocks but the leader
-    large = sets.where("blocks > 1")
+    large = sets.where("blocks > 1").select("cid", "grp", "blocks", "block")
     if not large.isEmpty():
+        # which blocks meet is worked out without the token sets, which then are joined once
         joined = components(links)
-        part = large.join(joined, large.cid == joined.node, "left").select("cid", "grp", "blocks", "block", "tokens", F.coalesce("root", "cid").alias("part"))
+        part = scratch(large.join(joined, large.cid == joined.node, "left").select("cid", "grp", "blocks", "block", F.coalesce("root", "cid").alias("part")), "parts")
         main = (part.groupBy("grp", "part").agg(F.count("*").alias("k"))
                 .groupBy("grp").agg(F.max(F.struct("k", "part")).alias("m")).select("grp", F.col("m.part").alias("main")))
         part = part.join(main, "grp").withColumn("out", F.col("part") != F.col("main"))
@@ -349,8 +356,14 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
         part = part.withColumn("block", number)
         meets = F.when(F.col("out"), F.transform(F.expr("sequence(0, outs + blocks - 1)"), lambda y: F.struct(F.least("block", y).alias("x"), F.greatest("block", y).alias("y")))) \
             .otherwise(F.transform(F.expr("sequence(0, outs - 1)"), lambda y: F.struct(y.alias("x"), F.col("block").alias("y"))))
-        part = part.withColumn("meets", meets)
-        links = scratch(links.unionByName(_pairs_of_blocks(part, percent, parts * 2)), "round2")
+        part = scratch(part.select("cid", "grp", "blocks", "block", meets.alias("meets")), "meetings")
+        part = scratch(part.join(sets.where("blocks > 1").select("cid", "tokens"), "cid"), "round2-sets")
+        # a set goes to each of its meetings; so many go at a time as the sets themselves have bytes
+        size = F.octet_length("tokens").cast("long")
+        sent, own = part.agg(F.sum(size * F.size("meets")), F.sum(size)).first()
+        passes = max(1, -(-int(sent or 0) // max(int(own or 0), PASS_BYTES)))
+        for number in range(passes):
+            links = links.unionByName(scratch(_pairs_of_blocks(part, percent, parts * 2, passes, number), "round2"))
 
     roots = components(links)
     named = (classes.join(roots, classes.cid == roots.node, "left")
