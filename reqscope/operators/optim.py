@@ -32,6 +32,8 @@ DENSE, TOGETHER = 512, 64
 
 def _total(parts: DataFrame, schema: str, n: int) -> tuple:
     """The sum of the rows, one a partition of ``n``, of numbers and binary float64 arrays, in a tree."""
+    names = parts.columns  # not the table itself, which tasks cannot hold
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
@@ -39,7 +41,7 @@ def _total(parts: DataFrame, schema: str, n: int) -> tuple:
                 row = [np.frombuffer(x, np.float64) if isinstance(x, bytes) else x for x in row]
                 total = row if total is None else [x + y for x, y in zip(total, row)]
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() if isinstance(x, np.ndarray) else x]) for x in total], parts.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() if isinstance(x, np.ndarray) else x]) for x in total], names)
 
     while n > TOGETHER:
         n = math.isqrt(n)

@@ -1,6 +1,7 @@
 """Linear SVC and perceptron against plain NumPy: weights, gradients, one Adam step, histories."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -89,6 +90,19 @@ def test_one_step_from_fixed_weights(spark):
     assert history[0][1] == pytest.approx(loss / 40) and history[0][2] == pytest.approx(O.gradient(want, x, y, 6)[0] / 40)
 
 
+def test_sums_of_many_partitions_are_added_in_a_tree(spark):
+    rows = spark.range(0, 300, 1, 90)
+    one = "n long, loss double, grad binary"
+
+    def sums(batches):
+        for b in batches:
+            x = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_pydict({"n": [len(x)], "loss": [float(x.sum())], "grad": [np.array([x.sum(), 1.0 * len(x)]).tobytes()]})
+
+    n, loss, grad = O._total(rows.mapInArrow(sums, one), one, 90)
+    assert (n, loss, grad.tolist()) == (300, 44850.0, [44850.0, 300.0])
+
+
 def test_perceptron_learns_and_keeps_a_row_an_epoch(emb):
     split = emb.withColumn("u", F.xxhash64("pos") % 4)
     preds, hist = ML.mlp_head(split.where("u <> 0").drop("u"), split.where("u = 0").drop("u"), max_epochs=6)
