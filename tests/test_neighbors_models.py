@@ -64,6 +64,33 @@ def test_pivot_index_skips_pairs_and_survives_copies(spark):
     assert 0 < work["opened"] < 0.5 * work["pairs"]
 
 
+def test_later_blocks_return_only_what_is_within_a_rows_own_kth(points):
+    import pyarrow as pa
+
+    x, _ = points
+    v, ids = x.astype(np.float64), np.arange(len(x))
+    block = lambda k, at: {"block": k, "n": len(at), "ids": ids[at].tobytes(), "vecs": v[at].tobytes()}
+    q, near, far = np.arange(5, 60), np.arange(0, 150), np.arange(150, 300)
+    first = NB._search_homes(4, True)(pa.Table.from_pylist([block(7, q)]), pa.Table.from_pylist([block(1, near)])).to_pylist()[0]
+    asked = pa.Table.from_pylist([{**block(7, q), "wanted": [2], "limits": first["limits"]}])
+    more = NB._search_rest(4, True)(asked, pa.Table.from_pylist([block(2, far), block(3, near)])).to_pylist()
+    d = np.sqrt(((v[q][:, None] - v[None]) ** 2).sum(-1))
+    d[np.arange(len(q)), q] = np.inf
+    kth = np.sort(d[:, near], 1)[:, 3]
+    want = {(int(i), int(j)) for a, i in enumerate(q) for j in sorted(far, key=lambda j: (d[a, j], j))[:4] if d[a, j] <= kth[a]}
+    assert {(r["qid"], r["rid"]) for r in more} == want and 0 < len(want) < 4 * len(q)
+    assert all(r["dist"] == pytest.approx(d[r["qid"] - 5, r["rid"]], rel=1e-12) for r in more)
+
+
+def test_pivot_index_sends_a_block_once_for_several_pairs(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(640, 6)))], "id long, vec array<double>")
+    work: dict = {}
+    got = {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 3, exclude_self=True, broadcast_rows=0, block=16, work=work).collect()}
+    assert got == {(r.qid, r.rank, r.rid) for r in NB.knn(df, df, 3, exclude_self=True).collect()}
+    assert work["sent"] < 0.25 * work["opened"]
+
+
 def test_pivot_index_with_few_rows_and_none(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id long, vec array<double>")
     got = sorted(map(tuple, NB.knn(df, df, 5, exclude_self=True, broadcast_rows=0).collect()))
