@@ -6,10 +6,13 @@
     Classes that agree on a slice are tied together (each slice content names one pivot, so a
     group of n copies makes n ties, not n * n pairs), and the connected ties are the groups.
     Every link lies inside one group.
-3.  Token-group matrix: a group is cut into subgroups; each stores the union of its tokens.
+3.  A large group is divided again: short slices of frequent tokens tie many sets that are not
+    alike.  Two linked sets share one of their rarest tokens, as many as they can differ in and
+    one more (prefix filter); only sets that share such a token stay tied.
+4.  Token-group matrix: a group is cut into subgroups; each stores the union of its tokens.
     A query opens a subgroup only if its overlap with that union can reach the threshold;
     members of opened subgroups are compared exactly.
-4.  A large group is cut into blocks.  First all blocks meet the leader block; what is then
+5.  A group that is still large is cut into blocks.  First all blocks meet the leader block; what is then
     connected needs no further comparison, so only blocks of the members outside the largest
     connected part meet all others.
 
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_long, default_parts, distinct_sets, mix64, pack, scratch, seeded, shingles, slices, text_of, trim, unpack, word_hashes
@@ -40,6 +43,8 @@ BLOCK = 512
 SUBGROUP = 16
 #: Slice contents that a map task matches at a time.
 HELD = 1 << 19
+#: Cells of the frequency table of tokens (as a power of two), and parts by which it is summed.
+CELL_BITS, PARTS = 21, 64
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<i8")])
 
 
@@ -170,33 +175,42 @@ def _members(width: int):
     return run
 
 
-def _entries(width: int, percent: int, shards: int):
-    """Slice contents, one blob per shard, and the ties found on the way; matched in the task
-    HELD entries at a time."""
-
-    def flush(found: list) -> pa.RecordBatch:
-        kept, ties = tie(np.concatenate(found))
-        shard = (kept["sig"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        rows = [(int(s), False, pack_entries(kept[cuts[s]:cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts))]
-        if len(ties):
-            rows.append((int(ties[0, 0]) % shards, True, ties.tobytes()))
-        return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "tied": pa.array([r[1] for r in rows], pa.bool_()),
-                                           "payload": pa.array([r[2] for r in rows], pa.binary())})
+def _dealt(found: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    """Entries matched among themselves: one blob per shard, and the ties found on the way."""
+    kept, ties = tie(np.concatenate(found))
+    shard = (kept["sig"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    cuts = np.searchsorted(shard, np.arange(shards + 1))
+    rows = [(int(s), False, pack_entries(kept[cuts[s]:cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts))]
+    if len(ties):
+        rows.append((int(ties[0, 0]) % shards, True, ties.tobytes()))
+    return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "tied": pa.array([r[1] for r in rows], pa.bool_()),
+                                       "payload": pa.array([r[2] for r in rows], pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
+
+def _matched(entries: Iterator[np.ndarray], shards: int) -> Iterator[pa.RecordBatch]:
+    """Entries matched in the task, HELD at a time."""
+    found, held = [], 0
+    for e in entries:
+        found.append(e)
+        held += len(e)
+        if held >= HELD:
+            yield _dealt(found, shards)
+            found, held = [], 0
+    if found:
+        yield _dealt(found, shards)
+
+
+def _entries(width: int, percent: int, shards: int):
+    """Slice contents, one blob per shard, and the ties found on the way."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             for lo, hi, value, row in sets_of(b.column("_text"), width):
                 n = np.bincount(row, minlength=hi - lo)
                 one, _ = set_hash(value, row, hi - lo)
-                found.append(slice_entries(value, row, n, one, Bands(percent, int(n.max(initial=1)))))
-                held += len(found[-1])
-                if held >= HELD:
-                    yield flush(found)
-                    found, held = [], 0
-        if found:
-            yield flush(found)
+                yield slice_entries(value, row, n, one, Bands(percent, int(n.max(initial=1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _matched(each(batches), shards)
 
     return run
 
@@ -301,6 +315,83 @@ def _pairs_of_blocks(sets: DataFrame, percent: int, units: int, passes: int = 1,
     return rows.groupBy("unit").applyInArrow(_compare(percent), "a long, b long")
 
 
+def _cell(token: np.ndarray) -> np.ndarray:
+    return (seeded(token, 31) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of a task's tokens in each cell, at most 65,535, in PARTS parts."""
+    counts = np.zeros(1 << CELL_BITS, np.uint32)
+    for b in batches:
+        for x in b.column("tokens"):
+            np.add.at(counts, _cell(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+    parts = np.minimum(counts, 65535).astype(np.uint16).reshape(PARTS, -1)
+    some = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "counts": pa.array([parts[k].tobytes() for k in some], pa.binary())})
+
+
+def _added(t: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, np.uint16) for x in t.column("counts").to_pylist()], 0, np.uint64)
+    return pa.table({"part": t.column("part")[:1], "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+
+
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """For each cell that tokens are hashed to the tokens of all sets, at most 65,535: a bounded
+    summary that puts rare tokens first.  Any order would do; none leaves out a pair."""
+    rows = sets.select("tokens").mapInArrow(_frequencies, "part int, counts binary").groupBy("part").applyInArrow(_added, "part int, counts binary")
+    out = np.zeros((PARTS, (1 << CELL_BITS) // PARTS), np.uint16)
+    for r in rows.collect():
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint16)
+    return out.ravel()
+
+
+def rare_entries(token: np.ndarray, counts: np.ndarray, percent: int, group: int, node: int) -> np.ndarray:
+    """The tokens that a set shares with every set it links with, one of them at least: all but
+    the most frequent that make up less than what linked sets have in common.  A token whose cell
+    has no other ties nothing."""
+    n = len(token)
+    often = counts[_cell(token)]
+    head = np.lexsort((token, often))[:n - (percent * n + 99) // 100 + 1]
+    head = head[often[head] > 1]
+    e = np.empty(len(head), ENTRY)
+    e["sig"], e["node"] = mix64(seeded(token[head], 57) + seeded(np.array([group]).view(np.uint64), 91)), node
+    return e
+
+
+def _rare(held, percent: int, shards: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        counts = held.value
+        for b in batches:
+            for x, cid, group in zip(b.column("tokens"), b.column("cid").to_pylist(), b.column("grp").to_pylist()):
+                yield rare_entries(np.frombuffer(x.as_buffer(), np.uint64), counts, percent, group, cid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _matched(each(batches), shards)
+
+    return run
+
+
+def _blocks(groups: DataFrame) -> DataFrame:
+    """``groups`` (cid, grp) without those that are alone, with the number of blocks of the group."""
+    counts = groups.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
+    return groups.join(counts, "grp").select("cid", "grp", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block")
+
+
+def regrouped(sets: DataFrame, percent: int, shards: int) -> DataFrame:
+    """The sets with their large groups divided by rare tokens; what is alone then has no links."""
+    large = sets.where("blocks > 1")
+    held = sets.sparkSession.sparkContext.broadcast(token_counts(large))
+    ties = (large.select("cid", "grp", "tokens").mapInArrow(_rare(held, percent, shards), "shard int, tied boolean, payload binary")
+            .groupBy("shard").applyInArrow(_meet, "a long, b long"))
+    groups = scratch(_blocks(components(ties).select(F.col("node").alias("cid"), F.col("root").alias("grp"))), "regrouped")
+    again = large.select("cid", "tokens").join(groups, "cid").select("cid", "grp", "blocks", "tokens", _block())
+    return scratch(sets.where("blocks = 1").unionByName(again), "tokens")
+
+
 def _meeting(x: str, y: str):
     return F.struct(F.least(F.expr(x), F.expr(y)).alias("x"), F.greatest(F.expr(x), F.expr(y)).alias("y"))
 
@@ -329,11 +420,12 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
 
     # classes that share a group with another one, their number and their blocks
     inside = scratch(classes.join(groups, classes.h1 == groups.node).select("cid", F.col("root").alias("grp"), "h2"), "grouped")
-    counts = inside.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
-    inside = inside.join(counts, "grp").select("cid", "grp", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    inside = _blocks(inside.select("cid", "grp"))
     sets = scratch(texts.join(inside.hint("merge"), texts["_rid"] == inside["cid"]).select("cid", "grp", "blocks", "_text")
                    .mapInArrow(_tokens(width), "cid long, grp long, blocks int, tokens binary").dropDuplicates(["cid"])
-                   .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "tokens")
+                   .select("cid", "grp", "blocks", "tokens", _block()), "tokens")
+    if not sets.where("blocks > 1").isEmpty():
+        sets = regrouped(sets, percent, shards)
 
     # round 1: whole small groups; the leader block of large ones with every block
     leader = sets.withColumn("meets", F.when(F.col("block") == 0, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.lit(0).alias("x"), y.alias("y"))))

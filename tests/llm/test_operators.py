@@ -154,6 +154,40 @@ def test_slices_meet_for_all_pairs_above_the_threshold():
             assert set(e["sig"][e["node"] == 1]) & set(e["sig"][e["node"] == 2])
 
 
+def test_large_groups_are_divided_by_rare_tokens(spark, monkeypatch):
+    """Sets that share frequent tokens only part; linked sets stay together, whatever is frequent."""
+    from reqscope.llm import jaccard_join as J
+
+    rng = np.random.default_rng(8)
+    frequent, rows, linked = rng.integers(0, 2**63, 12).astype(np.uint64), [], []
+    for k in range(60):
+        own = rng.integers(0, 2**63, 40).astype(np.uint64)
+        sets = [own] + ([np.append(own[3:], rng.integers(0, 2**63, 2).astype(np.uint64))] if k % 4 == 0 else [])
+        linked += [(len(rows), len(rows) + 1)] if len(sets) > 1 else []
+        rows += [(len(rows) + j, 7, 9, bytearray(np.unique(np.concatenate([x, frequent])).tobytes()), 0) for j, x in enumerate(sets)]
+    rows += [(1000 + j, 8, 1, bytearray(np.arange(j, 20 + j, dtype=np.uint64).tobytes()), 0) for j in range(2)]  # a small group
+    sets = spark.createDataFrame(rows, "cid long, grp long, blocks int, tokens binary, block int")
+    monkeypatch.setattr(J, "HELD", 100)
+    got = J.regrouped(sets, 80, 4)
+    assert got.columns == sets.columns
+    group = {r.cid: r.grp for r in got.collect()}
+    assert all(group[a] == group[b] for a, b in [*linked, (1000, 1001)])
+    assert len(group) == 2 * len(linked) + 2 and len(set(group.values())) == len(linked) + 1
+
+
+def test_linked_sets_share_a_rare_token():
+    from reqscope.llm.jaccard_join import CELL_BITS, rare_entries
+
+    rng = np.random.default_rng(6)
+    counts = rng.integers(2, 9, 1 << CELL_BITS).astype(np.uint16)
+    for percent in (60, 80, 85, 100):
+        for _ in range(150):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 60))).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > (100 - percent) / 150], rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64)]))
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                assert np.intersect1d(*(rare_entries(x, counts, percent, 3, 1)["sig"] for x in (a, b))).size
+
+
 def test_packed_entries_round_trip():
     from reqscope.llm.jaccard_join import ENTRY, pack_entries, unpack_entries
 
