@@ -113,3 +113,30 @@ def test_split_independent_block_numbering(spark, tmpdir_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(one) == 400 and one == many
     assert one[7] == (7, "/p7", "body7", "GET /p7 HTTP/1.1\nHost: h7\n\nbody7")
+
+
+def test_blank_and_carriage_return_lines_as_python_has_them(spark):
+    """Blank lines by their first other character, CRs only looked for where there are any."""
+    from reqscope.functions.request import split_lines
+    from reqscope.functions.text import is_blank
+
+    texts = ["", " ", "\t\x0b\x1c\x1f ", " x ", "x", " ", "\x85  ", "​", "a\r\r", "\r", "a\rb", "é \r", "\U0001f600", " " * 300 + "y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    assert {r.i: r.b for r in df.select("i", is_blank(F.col("t")).alias("b")).collect()} == {i: not t.strip() for i, t in enumerate(texts)}
+    got = {r.i: r.l for r in df.select("i", split_lines(F.concat(F.col("t"), F.lit("\nz\r"))).alias("l")).collect()}
+    assert got == {i: [t.rstrip("\r"), "z"] for i, t in enumerate(texts)}
+    assert spark.range(1).select(is_blank(F.lit(None).cast("string")).alias("b")).first().b is None
+
+
+def test_lines_are_exploded_without_parsing_again(spark):
+    """The plan holds the parse once, not once more for each use in a test below the explode."""
+    from reqscope.operators.embed import request_lines
+    from reqscope.plans.queries import q_explode_lines
+    from reqscope.sources import views
+
+    r = rq.with_request_text(views.page_requests(spark, "/root/testdata/sf0.001"))
+    for df in (q_explode_lines(spark, "/root/testdata/sf0.001"), request_lines(r)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    df = spark.createDataFrame([(1, ["a", None, ""]), (2, []), (3, None)], "pos long, lines array<string>")
+    assert sorted((x.pos, x.line_no, x.line) for x in rq.exploded_lines(df, "pos").collect()) == [(1, 0, "a"), (1, 1, None), (1, 2, "")]
+    assert [(x.pos, x.line) for x in request_lines(df).collect()] == [(1, "a"), (1, None), (1, "")]
