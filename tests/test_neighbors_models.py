@@ -153,3 +153,22 @@ def test_embed_requests_mean_of_distinct_lines(spark):
         return lines.join(table, "line")
     got = {r.pos: list(r.embedding) for r in E.embed_requests(req, line_vectors, 2).collect()}
     assert got == {0: [0.5, 1.0], 1: [1.0, 0.0], 2: [0.0, 0.0]}
+
+
+def test_dedup_reeval_parses_the_pages_once(spark, monkeypatch):
+    """Both models read rows that are kept, not the pages again."""
+    from reqscope.plans import queries_models as Q
+
+    class Seen(Exception):
+        pass
+
+    def seen(frame, keys, *rest):
+        for df in (frame, keys):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "html" not in plan and "regexp" not in plan
+        raise Seen
+
+    monkeypatch.setattr(Q.ML, "holdout_predictions", lambda frame, *a, **k: frame)
+    monkeypatch.setattr(Q.ML, "dedup_reevaluate", seen)
+    with pytest.raises(Seen):
+        Q.q_dedup_reeval(spark, "/root/testdata/sf0.001")
