@@ -475,6 +475,22 @@ def test_near_passages_with_one_edit_anywhere(spark):
     assert len(found) >= 0.95 * len(pairs), (len(found), len(pairs))  # MinHash: by chance, not always
 
 
+def test_near_passages_meet_every_unlike_text(spark):
+    from reqscope.llm.passage_dedup import near_passages
+
+    rng = random.Random(21)
+    base = prose(rng, 120).split()
+
+    # every text has another word changed, so no two are equal; only the two smallest ids were sources before
+    texts = [" ".join(f"new{k}" if k == 10 + 18 * i else w for k, w in enumerate(base)) for i in range(6)]
+    rows = [*enumerate(texts), (10, texts[0]), (11, texts[3]), (None, texts[5])]
+    got = near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.src_doc_id) for r in got}
+    assert {(i, j) for i in range(6) for j in range(i)} <= found
+    assert {(10, 0), (11, 3), (None, 5)} <= found  # copies are told by their representative
+    assert not any(b is None or a == b or (a is not None and a < b) for a, b in found)
+
+
 def test_chat_format_sees_whole_prefixes_over_block_edges(spark):
     from reqscope.llm.chat_format import format_conversations, locate
 
