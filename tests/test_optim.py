@@ -111,3 +111,22 @@ def test_perceptron_learns_and_keeps_a_row_an_epoch(emb):
     again = ML.mlp_head(split.where("u <> 0").drop("u"), split.where("u = 0").drop("u"), max_epochs=6)[1].orderBy("epoch").collect()
     assert [r.loss for r in again] == pytest.approx([r.loss for r in rows])
     assert preds.columns == ["model", "fold", "pos", "y_true", "y_pred", "y_score"] and preds.where("y_score < 0 or y_score > 1").count() == 0
+
+
+def test_newton_logistic_is_at_the_optimum_with_rare_features(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from reqscope.operators.optim import NewtonLogistic
+
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((200, 60)) < np.geomspace(0.5, 0.006, 60), rng.random((200, 60)), 0.0)  # features of falling frequency
+    y = (x[:, 0] + x[:, 30] + 0.3 * rng.normal(size=200) > 0.4).astype(int)
+    rows = [(int(t), Vectors.sparse(60, [(j, float(v)) for j, v in enumerate(r) if v])) for t, r in zip(y, x)]
+    df = spark.createDataFrame(rows, ["y", "features"])
+    model = NewtonLogistic(1.0, 1e-4, 2000).fit(df)
+    p = 1 / (1 + np.exp(-(x @ model.weights + model.intercept)))
+    grad = np.append(model.weights + x.T @ (p - y), (p - y).sum())
+    first = np.append(x.T @ (0.5 - y), (0.5 - y).sum())
+    assert model.steps < 20 and np.linalg.norm(grad) <= 1e-4 * np.linalg.norm(first)
+    got = model.transform(df).select("prediction", "probability").collect()
+    assert np.allclose([r.probability[1] for r in got], p) and [r.prediction for r in got] == (p > 0.5).astype(int).tolist()
