@@ -8,7 +8,9 @@
     Every link lies inside one group.
 3.  A large group is divided again: short slices of frequent tokens tie many sets that are not
     alike.  Two linked sets share one of their rarest tokens, as many as they can differ in and
-    one more (prefix filter); only sets that share such a token stay tied.
+    one more (prefix filter); only sets that share such a token stay tied.  Beyond COUNTED tokens
+    their numbers are counted exactly, by shards of tokens, as a table of cells would be full and
+    no token rare: chance meetings then tie most sets again.
 4.  Token-group matrix: a group is cut into subgroups; each stores the union of its tokens.
     A query opens a subgroup only if its overlap with that union can reach the threshold;
     members of opened subgroups are compared exactly.
@@ -45,6 +47,8 @@ SUBGROUP = 16
 HELD = 1 << 19
 #: Cells of the frequency table of tokens (as a power of two), and parts by which it is summed.
 CELL_BITS, PARTS = 21, 64
+#: Tokens up to which that table tells rare ones; more are counted exactly, SHARE a shard at most on average.
+COUNTED, SHARE = 1 << 19, 1 << 21
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<i8")])
 
 
@@ -175,11 +179,14 @@ def _members(width: int):
     return run
 
 
+def _shard(sig: np.ndarray, shards: int) -> np.ndarray:
+    return (sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
 def _dealt(found: list[np.ndarray], shards: int) -> pa.RecordBatch:
     """Entries matched among themselves: one blob per shard, and the ties found on the way."""
     kept, ties = tie(np.concatenate(found))
-    shard = (kept["sig"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
+    cuts = np.searchsorted(_shard(kept["sig"], shards), np.arange(shards + 1))
     rows = [(int(s), False, pack_entries(kept[cuts[s]:cuts[s + 1]])) for s in np.flatnonzero(np.diff(cuts))]
     if len(ties):
         rows.append((int(ties[0, 0]) % shards, True, ties.tobytes()))
@@ -353,8 +360,13 @@ def rare_entries(token: np.ndarray, counts: np.ndarray, percent: int, group: int
     often = counts[_cell(token)]
     head = np.lexsort((token, often))[:n - (percent * n + 99) // 100 + 1]
     head = head[often[head] > 1]
-    e = np.empty(len(head), ENTRY)
-    e["sig"], e["node"] = mix64(seeded(token[head], 57) + seeded(np.array([group]).view(np.uint64), 91)), node
+    return token_entries(token[head], group, node)
+
+
+def token_entries(token: np.ndarray, group: int, node: int) -> np.ndarray:
+    """Entries of tokens as the members of one group see them."""
+    e = np.empty(len(token), ENTRY)
+    e["sig"], e["node"] = mix64(seeded(token, 57) + seeded(np.array([group]).view(np.uint64), 91)), node
     return e
 
 
@@ -371,6 +383,91 @@ def _rare(held, percent: int, shards: int):
     return run
 
 
+def _every(shards: int):
+    """All tokens of the sets, HELD at a time, one blob per shard."""
+    def dealt(found: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.concatenate(found)
+        shard = _shard(e["sig"], shards)
+        e = e[np.argsort(shard, kind="stable")]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(shard.astype(np.int64), minlength=shards))])
+        some = np.flatnonzero(np.diff(cuts))
+        return pa.RecordBatch.from_pydict({"shard": pa.array(some, pa.int32()), "payload": pa.array([pack_entries(e[cuts[s]:cuts[s + 1]]) for s in some], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for b in batches:
+            for x, cid, group in zip(b.column("tokens"), b.column("cid").to_pylist(), b.column("grp").to_pylist()):
+                found.append(token_entries(np.frombuffer(x.as_buffer(), np.uint64), group, cid))
+                held += len(found[-1])
+                if held >= HELD:
+                    yield dealt(found)
+                    found, held = [], 0
+        if found:
+            yield dealt(found)
+
+    return run
+
+
+def _shared(buckets: int):
+    """Of one shard, the tokens that two sets or more have, with their number, dealt by set."""
+    def run(t: pa.Table) -> pa.Table:
+        trim()
+        e = np.concatenate([unpack_entries(p) for p in t.column("payload").to_pylist()])
+        e = e[np.argsort(e["sig"], kind="stable")]
+        at = np.flatnonzero(np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]]))
+        often = np.repeat(n := np.diff(at, append=len(e)), n)
+        e, often = e[often > 1], often[often > 1].astype(np.uint32)
+        bucket = e["node"] % buckets
+        order = np.argsort(bucket, kind="stable")
+        e, often = e[order], often[order]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+        some = np.flatnonzero(np.diff(cuts))
+        return pa.table({"bucket": pa.array(some, pa.int32()), "shard": pa.array([t.column("shard")[0].as_py()] * len(some), pa.int32()),
+                         "often": pa.array([often[cuts[k]:cuts[k + 1]].tobytes() for k in some], pa.binary()),
+                         "payload": pa.array([pack_entries(e[cuts[k]:cuts[k + 1]]) for k in some], pa.binary())})
+    return run
+
+
+def rarest(sig: np.ndarray, node: np.ndarray, often: np.ndarray, cid: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """As ``rare_entries``, of many sets (``cid`` with ``n`` tokens) whose shared tokens are given
+    with their exact number; all tokens that are not given are a set's own, and rarer."""
+    by = np.argsort(cid)
+    order = np.lexsort((sig, often, node))
+    sig, node = sig[order], node[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+    k = np.diff(first, append=len(node))
+    size = n[by][np.searchsorted(cid[by], node[first])]
+    room = size - (percent * size + 99) // 100 + 1 - (size - k)  # places that a set's own tokens leave
+    head = np.arange(len(node)) - np.repeat(first, k) < np.repeat(room, k)
+    e = np.empty(int(head.sum()), ENTRY)
+    e["sig"], e["node"] = sig[head], node[head]
+    return e
+
+
+def _heads(percent: int, shards: int):
+    def run(shared: pa.Table, sizes: pa.Table) -> pa.Table:
+        trim()
+        if not shared.num_rows:
+            return pa.table({"shard": pa.array([], pa.int32()), "tied": pa.array([], pa.bool_()), "payload": pa.array([], pa.binary())})
+        sig, node = [], []
+        for shard, p in zip(shared.column("shard").to_pylist(), shared.column("payload").to_pylist()):
+            e = unpack_entries(p)
+            sig.append(mix64(e["sig"] + (np.uint64(shard) << np.uint64(40))))
+            node.append(e["node"])
+        often = np.concatenate([np.frombuffer(x, np.uint32) for x in shared.column("often").to_pylist()])
+        e = rarest(np.concatenate(sig), np.concatenate(node), often, sizes.column("cid").to_numpy(), sizes.column("n").to_numpy(), percent)
+        return pa.Table.from_batches([_dealt([e], shards)])
+    return run
+
+
+def exact_ties(large: DataFrame, percent: int, shards: int) -> DataFrame:
+    """Entries of the rarest tokens of each set, by the exact number of each token in its group."""
+    every = large.select("cid", "grp", "tokens").mapInArrow(_every(shards), "shard int, payload binary")
+    shared = scratch(every.groupBy("shard").applyInArrow(_shared(shards), "bucket int, shard int, often binary, payload binary"), "shared")
+    sizes = large.select(F.pmod("cid", F.lit(shards)).cast("int").alias("of"), "cid", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    return shared.groupBy("bucket").cogroup(sizes.groupBy("of")).applyInArrow(_heads(percent, shards), "shard int, tied boolean, payload binary")
+
+
 def _blocks(groups: DataFrame) -> DataFrame:
     """``groups`` (cid, grp) without those that are alone, with the number of blocks of the group."""
     counts = groups.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
@@ -384,9 +481,13 @@ def _block() -> Column:
 def regrouped(sets: DataFrame, percent: int, shards: int) -> DataFrame:
     """The sets with their large groups divided by rare tokens; what is alone then has no links."""
     large = sets.where("blocks > 1")
-    held = sets.sparkSession.sparkContext.broadcast(token_counts(large))
-    ties = (large.select("cid", "grp", "tokens").mapInArrow(_rare(held, percent, shards), "shard int, tied boolean, payload binary")
-            .groupBy("shard").applyInArrow(_meet, "a long, b long"))
+    tokens = int(large.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0) // 8
+    if tokens <= COUNTED:
+        held = sets.sparkSession.sparkContext.broadcast(token_counts(large))
+        entries = large.select("cid", "grp", "tokens").mapInArrow(_rare(held, percent, shards), "shard int, tied boolean, payload binary")
+    else:
+        entries = exact_ties(large, percent, max(shards, -(-tokens // SHARE)))
+    ties = entries.groupBy("shard").applyInArrow(_meet, "a long, b long")
     groups = scratch(_blocks(components(ties).select(F.col("node").alias("cid"), F.col("root").alias("grp"))), "regrouped")
     again = large.select("cid", "tokens").join(groups, "cid").select("cid", "grp", "blocks", "tokens", _block())
     return scratch(sets.where("blocks = 1").unionByName(again), "tokens")
@@ -448,14 +549,16 @@ def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
         part = part.withColumn("block", number)
         meets = F.when(F.col("out"), F.transform(F.expr("sequence(0, outs + blocks - 1)"), lambda y: F.struct(F.least("block", y).alias("x"), F.greatest("block", y).alias("y")))) \
             .otherwise(F.transform(F.expr("sequence(0, outs - 1)"), lambda y: F.struct(y.alias("x"), F.col("block").alias("y"))))
-        part = scratch(part.select("cid", "grp", "blocks", "block", meets.alias("meets")), "meetings")
-        part = scratch(part.join(sets.where("blocks > 1").select("cid", "tokens"), "cid"), "round2-sets")
+        # the lists of meetings grow with the square of a group and are small only in a file, by which Spark
+        # would size them for a broadcast: they are made where they are used, and the join is a shuffle
+        part = scratch(part.select("cid", "grp", "blocks", "block", "outs", "out"), "meetings")
+        part = scratch(part.hint("merge").join(sets.where("blocks > 1").select("cid", "tokens"), "cid"), "round2-sets")
         # a set goes to each of its meetings; so many go at a time as the sets themselves have bytes
         size = F.octet_length("tokens").cast("long")
-        sent, own = part.agg(F.sum(size * F.size("meets")), F.sum(size)).first()
+        sent, own = part.agg(F.sum(size * F.expr("if(out, outs + blocks, outs)")), F.sum(size)).first()
         passes = max(1, -(-int(sent or 0) // max(int(own or 0), PASS_BYTES)))
         for number in range(passes):
-            links = links.unionByName(scratch(_pairs_of_blocks(part, percent, parts * 2, passes, number), "round2"))
+            links = links.unionByName(scratch(_pairs_of_blocks(part.withColumn("meets", meets), percent, parts * 2, passes, number), "round2"))
 
     roots = components(links)
     named = (classes.join(roots, classes.cid == roots.node, "left")
